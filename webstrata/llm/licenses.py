@@ -99,7 +99,7 @@ def background(docs: DataFrame, rows: int = 300, paragraph_chars: int = 160, tex
     return [p for p in out if p.strip() and not re.search(r"(?i)licen[cs]|copyright|rights|spdx|public domain|permission", p)]
 
 
-def train(paragraphs: list[str], bits: int = 15, copies: int = 12, rounds: int = 120, rate: float = 0.5, decay: float = 1e-4, seed: int = 11) -> Model:
+def train(paragraphs: list[str], bits: int = 15, copies: int = 12, rounds: int = 80, rate: float = 0.5, decay: float = 1e-4, seed: int = 11) -> Model:
     """Fit the regression by gradient descent, then the temperature on copies held out."""
     rng = np.random.default_rng(seed)
     families = tuple(TEMPLATES)
@@ -115,7 +115,7 @@ def train(paragraphs: list[str], bits: int = 15, copies: int = 12, rounds: int =
                 xs.append(features(" ".join([*kept, *around]), bits))
                 ys.append(k)
     plain = [*paragraphs, "Licensed drivers only.", "The license plate was lost.", "Copyright law is taught here.", "All rights and duties.", "Version 2.0 was released.", "Released in spring."]
-    for p in plain[:1200]:
+    for p in plain[:500]:
         xs.append(features(p, bits))
         ys.append(len(families))
     y = np.array(ys)
