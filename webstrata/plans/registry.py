@@ -1,19 +1,347 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the driver's tables, and the same in DuckDB SQL."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from webstrata.functions import urls, values
+from webstrata.operators import documents, listing, search
+from webstrata.streaming import ingest
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+#: Captures need a time; pages have none, so all are of one fixed instant.
+AS_OF = "2025-01-01 00:00:00"
+EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+
+def register(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.with_domain(urls.with_url_facts(table(spark, sf_dir, "pages").select("page_id", "url")))
+
+
+def page_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captured exchanges: GET, status 200, an HTML body."""
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    kind = F.array(F.struct(F.lit("Content-Type").alias("name"), F.lit("text/html; charset=utf-8").alias("value")))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.lit("GET").alias("method"), none.alias("request_headers"), F.lit(None).cast("string").alias("request_body"), F.lit(200).alias("status_code"),
+        kind.alias("response_headers"), F.col("html").alias("response_body"), F.lit("2025-01-01T00:00:00Z").alias("timestamp"), F.lit(None).cast("double").alias("response_rtt"),
+        F.lit(None).cast("double").alias("response_rtt_ms"), F.lit(None).cast("array<string>").alias("technologies"), F.lit(None).cast("array<map<string,string>>").alias("forms"),
+    )
+
+
+_HOST = r"lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
+_DOMAIN = rf"array_to_string(list_slice(string_split({_HOST}, '.'), -2, -1), '.')"
+_PORT = r"""coalesce(try_cast(nullif(regexp_extract(url, '^[a-z]+://[^/?#:]+:([0-9]+)', 1), '') AS INTEGER), CASE WHEN url LIKE 'https:%' THEN 443 ELSE 80 END)"""
+
+
+@register(rf"""
+SELECT page_id, url, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, {_HOST} AS host, {_PORT} AS port, {_HOST} || ':' || {_PORT} AS netloc,
+  regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, nullif(regexp_extract(url, '\?([^#]*)', 1), '') AS query, {_DOMAIN} AS domain FROM pages""")
+def url_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_facts(spark, sf_dir).select("page_id", "url", "scheme", "host", "port", "netloc", "path", "query", "domain")
+
+
+@register(f"SELECT {_HOST} AS host, count(*) AS n FROM pages GROUP BY 1")
+def host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.count_by(page_facts(spark, sf_dir), "host")
+
+
+@register(f"SELECT {_DOMAIN} AS domain, count(*) AS n FROM pages GROUP BY 1")
+def domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.count_by(page_facts(spark, sf_dir), "domain")
+
+
+@register(f"SELECT {_HOST} AS host, count(*) AS n FROM pages GROUP BY 1 ORDER BY n DESC, host LIMIT 5")
+def top_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.top_counts(host_counts(spark, sf_dir), "host")
+
+
+@register(f"SELECT DISTINCT {_HOST} || ':' || {_PORT} AS netloc FROM pages")
+def distinct_netlocs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.distinct_values(page_facts(spark, sf_dir), "netloc", "host")
+
+
+@register(f"SELECT count(DISTINCT {_DOMAIN}) AS n_domains, count(DISTINCT {_HOST}) AS n_hosts FROM pages")
+def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.corpus_summary(page_facts(spark, sf_dir))
+
+
+@register(rf"""
+SELECT url FROM (SELECT url, max(page_id) AS ts FROM pages WHERE {_HOST} LIKE '%example.org' AND regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) LIKE '%/en%'
+  GROUP BY url ORDER BY ts DESC, url LIMIT 100)""")
+def find_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.find_urls(page_facts(spark, sf_dir).withColumn("ts", F.col("page_id")), "example.org", "/en")
+
+
+@register(r"""
+WITH v AS (SELECT page_id, url, regexp_extract(url, '^[^?]*') AS base, contains(url, '?') AS q FROM pages),
+w AS (SELECT page_id, CASE WHEN q THEN base || '?' WHEN base LIKE '%/' THEN base ELSE base || '/' END AS prefix, url,
+  CASE WHEN q THEN base END AS bare, CASE WHEN base LIKE '%/' THEN base[:-2] ELSE base || '/' END AS other FROM v)
+SELECT page_id, prefix, unnest(list_filter([url, bare, other], lambda x: x IS NOT NULL)) AS variant FROM w""")
+def url_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "pages").select("page_id", urls.url_variants(F.col("url")).alias("v"))
+    return v.select("page_id", F.col("v.prefix").alias("prefix"), F.explode("v.urls").alias("variant"))
+
+
+@register(r"""SELECT page_id, replace(replace(replace(replace(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title FROM pages""")
+def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.with_title_description(table(spark, sf_dir, "pages").withColumn("mime", F.lit("text/html")), "html", "mime").select("page_id", "title")
+
+
+@register(rf"""
+WITH h AS (SELECT DISTINCT {_HOST} AS host FROM pages), a AS (SELECT DISTINCT array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS asked FROM h)
+SELECT asked, host FROM a JOIN h ON host = asked OR ends_with(host, '.' || asked)""")
+def public_suffix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = page_facts(spark, sf_dir).select("host", "domain").distinct()
+    return listing.hosts_under(hosts.select("host").distinct(), hosts.select(F.col("domain").alias("asked")))
+
+
+@register(rf"""
+WITH d AS (SELECT url, {_HOST} AS host, {_PORT} AS port FROM pages)
+SELECT sha256(url || ':network:2025-01-01T') AS doc_id, 'network' AS doc_type, url, host FROM d
+UNION ALL SELECT sha256(url || ':content:2025-01-01T:'), 'content', url, host FROM d""")
+def derived_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents.derive_documents(page_exchanges(spark, sf_dir), F.lit(AS_OF).cast("timestamp"))
+    return docs.select("doc_id", "doc_type", "url", "host")
+
+
+@register("""
+SELECT 'content' AS doc_type, count(*) AS n, count(DISTINCT sha256(html)) AS n_bodies FROM pages
+UNION ALL SELECT 'network', count(*), 0 FROM pages""")
+def collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents.derive_documents(page_exchanges(spark, sf_dir), F.lit(AS_OF).cast("timestamp"))
+    return docs.groupBy("doc_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("content_sha256").alias("n_bodies"))
+
+
+@register()
+def normalized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents.derive_documents(page_exchanges(spark, sf_dir), F.lit(AS_OF).cast("timestamp"))
+    clean = documents.normalize_documents(docs.filter("doc_type = 'content'"))
+    return clean.select("url", "normalized", F.sha2("content", 256).alias("content_sha256"), F.length("content").alias("n_chars"))
+
+
+@register("""
+SELECT sha256(text) AS content_sha256, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1""")
+def content_hash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.sha2("text", 256).alias("content_sha256"), "doc_id")
+    return docs.groupBy("content_sha256").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
+
+
+@register("SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unlabelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.lit("default").alias("doc_type"))
+    stored = table(spark, sf_dir, "labels").select("doc_id", F.lit("default").alias("doc_type"))
+    return documents.new_by_id(docs, stored).select("doc_id", "lang", "source")
+
+
+@register("""
+WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, w, unnest(range(CASE WHEN len(w) <= 119 THEN 1 ELSE 1 + CAST(ceil((len(w) - 119) / 104.0) AS BIGINT) END)) AS i FROM w)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_ix, CAST(i * 104 AS INTEGER) AS word_start, md5(array_to_string(list_slice(w, i * 104 + 1, i * 104 + 119), ' ')) AS chunk_md5 FROM c""")
+def word_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, overlap = documents.chunk_sizes(256, 2048)
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    return documents.chunk_words(docs, "text", words, overlap, ["doc_id"]).select("doc_id", "chunk_ix", "word_start", F.md5("chunk").alias("chunk_md5"))
+
+
+@register(r"""
+SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\b\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}\b', '<NUMERIC_TOKEN>', 'g'), '\b[0-9a-f]{32,64}\b', '<NUMERIC_TOKEN>', 'g')) AS scrubbed_md5 FROM documents""")
+def scrub_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(values.scrubbed(F.col("text"))).alias("scrubbed_md5"))
+
+
+@register()
+def collapsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(values.collapse_repeats("text")).alias("collapsed_md5"))
+
+
+@register("""
+SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(string_split(b.text, ' ')) > 8""")
+def pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.text_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+
+
+_BM25 = r"""
+WITH p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY ALL),
+l AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY doc_id), s AS (SELECT count(*) AS n, avg(dl) AS a FROM l),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark)),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+r AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score
+  FROM q JOIN p USING (term) JOIN f USING (term) JOIN l USING (doc_id), s GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r)
+"""
+
+
+@register(_BM25 + "SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 10")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.sparse_topk(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 10, "item_id", "doc_id").select("item_id", "doc_id", "score", "rank")
+
+
+_DENSE = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM e q JOIN e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+"""
+
+
+@register(_DENSE + "SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 10")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return search.dense_topk(asked, vectors, 10, "query_id", "vec_id").select("query_id", "vec_id", "score", "rank")
+
+
+@register(_DENSE.replace("k AS (", "kd AS (").rstrip() + "," + _BM25.replace("WITH p AS", "p AS").replace("doc_id, term, count(*) AS tf FROM (SELECT doc_id", "doc_id, term, count(*) AS tf FROM (SELECT doc_id").replace("q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark))", "q AS (SELECT DISTINCT item_id, term FROM (SELECT doc_id AS item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)))").replace("s AS (SELECT count(*)", "st AS (SELECT count(*)").replace("JOIN l USING (doc_id), s GROUP", "JOIN l USING (doc_id), st GROUP").rstrip() + """,
+u AS (SELECT query_id, vec_id AS doc_id, rank FROM kd WHERE rank <= 20 UNION ALL SELECT item_id, doc_id, rank FROM k WHERE rank <= 20),
+g AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY ALL),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM g)
+SELECT query_id, doc_id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM h WHERE rank <= 10""")
+def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = vectors.filter("vec_id % 100 = 0")
+    dense = search.dense_topk(asked.withColumnRenamed("vec_id", "query_id"), vectors, 20, "query_id", "vec_id").withColumnRenamed("vec_id", "doc_id")
+    texts = docs.join(asked.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
+    sparse = search.sparse_topk(texts, docs, 20, "query_id", "doc_id")
+    return search.fuse([dense, sparse], "query_id", "doc_id", 10).select("query_id", "doc_id", "score", "rank")
+
+
+@register("""
+SELECT doc_id, lang, CASE WHEN lang IN ('de', 'fr') AND n_chars <> 0 THEN n_chars * 10.0 ELSE CAST(n_chars AS DOUBLE) END AS score FROM documents""")
+def boosted_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("lang").alias("doc_type"), F.col("n_chars").cast("double").alias("score"), F.lit(None).cast("timestamp").alias("ts"))
+    parts = [docs.filter("lang IN ('en', 'es')"), docs.filter("lang NOT IN ('en', 'es') OR lang IS NULL")]
+    return search.merge_collections(parts, ["de", "fr"]).select("doc_id", "lang", "score")
+
+
+@register("""
+SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC NULLS LAST, event_id) AS r FROM events) WHERE r = 1""")
+def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.latest_snapshot(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id", "value")
+
+
+@register("""
+SELECT user_id, event_type, day, event_id FROM (SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts DESC NULLS LAST, event_id) AS r FROM events) WHERE r = 1""")
+def daily_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return documents.latest_by(events, ["user_id", "event_type", "day"], "ts", "event_id").select("user_id", "event_type", "day", "event_id")
+
+
+def _last_ts(events: DataFrame) -> Column:
+    """The newest time as a literal: one value from one aggregate."""
+    return F.lit(events.agg(F.max("ts")).first()[0])
+
+
+@register("""
+SELECT user_id, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 720 HOURS GROUP BY user_id HAVING count(*) > 10""")
+def fresh_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return listing.fresh_keys(events, "user_id", "ts", _last_ts(events), hours=720).select("user_id", "n")
+
+
+@register("""SELECT event_id, json_extract_string(props, '$.k') AS k FROM events""")
+def props_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.try_element_at(values.map_column(F.col("props")), F.lit("k")).alias("k"))
+
+
+@register("""
+SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_value FROM events""")
+def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("last_value", F.when(F.col("event_type") == "purchase", F.col("value")))
+    return documents.carry_forward(events, ["user_id"], ["ts", "event_id"], ["last_value"]).select("event_id", "user_id", "last_value")
+
+
+@register("""
+WITH s AS (SELECT l_orderkey, list(DISTINCT l_linenumber) AS lines FROM lineitem GROUP BY 1), w AS (SELECT unnest([1, 2, 3]) AS wanted_id)
+SELECT CAST(wanted_id AS INTEGER) AS wanted_id, l_orderkey AS run_id FROM s JOIN w ON list_has_all(lines, CASE wanted_id WHEN 1 THEN [1, 5] WHEN 2 THEN [2, 7] ELSE [6] END)""")
+def covering_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("item"))
+    wanted = spark.createDataFrame([(1, 1), (1, 5), (2, 2), (2, 7), (3, 6)], "wanted_id int, item int")
+    return listing.covering_runs(wanted, runs)
+
+
+@register("""
+SELECT o_orderkey AS run_id, o_orderstatus, l_linenumber AS port, l_linestatus AS state FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'""")
+def run_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("run_id"), "o_orderstatus", F.col("o_orderdate").alias("ts"))
+    ports = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_shipdate").alias("ts"), F.col("l_linenumber").alias("port"), F.col("l_linestatus").alias("state"))
+    return listing.run_ports(runs, ports).select("run_id", "o_orderstatus", "port", "state")
+
+
+@register("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def missing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "customer").select("c_custkey")
+    return listing.missing_targets(asked, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@register(r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages WHERE contains(lower(url), 'en')),
+c AS (SELECT page_id, path, list_filter(string_split(lower(path), '/'), lambda x: x <> '') AS parts FROM p WHERE contains(lower(path), 'en')),
+d AS (SELECT page_id, path, list_concat(['/'], parts) AS parts FROM c),
+e AS (SELECT page_id, path, parts, unnest(range(len(parts))) AS i FROM d),
+s AS (SELECT page_id, path, max(CASE WHEN contains(parts[i + 1], 'en') THEN (CASE WHEN i = len(parts) - 1 THEN 0.6 ELSE 1.0 END) / (1 + i) + (CASE WHEN parts[i + 1] = 'en' THEN 0.5 ELSE 0 END) + 0.1 / strpos(parts[i + 1], 'en') ELSE 0 END) AS score FROM e GROUP BY ALL)
+SELECT path, CAST(round(max(score), 9) AS DOUBLE) AS score FROM s GROUP BY path ORDER BY score DESC, length(path), path LIMIT 50""")
+def ranked_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.rank_paths(page_facts(spark, sf_dir).select("path").distinct(), "en", 50).select("path", "score")
+
+
+@register("""
+SELECT user_id, sum(value) AS score_sum, avg(value) AS score_mean FROM (SELECT user_id, round(value, 2) AS value FROM events) GROUP BY 1""".replace("sum(value)", "round(sum(value), 4)").replace("avg(value)", "round(avg(value), 4)"))
+def score_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", F.round("value", 2).alias("score"))
+    return search.score_parts(events, "user_id").select("user_id", F.round("score_sum", 4).alias("score_sum"), F.round("score_mean", 4).alias("score_mean"))
+
+
+@register("""
+SELECT url, http_method, status_code, doc_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY url, http_method, status_code ORDER BY score DESC, ts DESC NULLS LAST, doc_id) AS r FROM (
+    SELECT 'u' || user_id AS url, event_type AS http_method, CAST(200 AS INTEGER) AS status_code, event_id AS doc_id, ts, round(coalesce(value, 0), 1) AS score FROM events)) WHERE r = 1""")
+def sorted_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id")).alias("url"), F.col("event_type").alias("http_method"), F.lit(200).alias("status_code"), F.col("event_id").alias("doc_id"), "ts", F.round("value", 1).alias("score"))
+    return documents.sort_unique(rows).select("url", "http_method", "status_code", "doc_id")
+
+
+@register(f"""
+WITH p AS (SELECT page_id, url, {_HOST} AS host, {_PORT} AS port FROM pages)
+SELECT page_id, host, unnest(CASE WHEN page_id % 2 = 0 THEN [port] ELSE [80, 443] END) AS port FROM p""")
+def port_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages asked for by URL on even ids, by bare host on odd ones: those fan out to two ports."""
+    asked = table(spark, sf_dir, "pages").select("page_id", urls.target_struct(F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1))).alias("target"))
+    return urls.with_port(asked).select("page_id", F.col("target.host").alias("host"), F.col("target.port").alias("port"))
+
+
+@register("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def stream_day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by day and type of a file stream, run until nothing is left, kept by the newest update."""
+    from webstrata.sources.shared import shared_dir
 
-def _top_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.groupBy(F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("host")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "host").limit(5)
+    base = f"{shared_dir(spark)}/webstrata-stream-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet*")
 
+    def keep(df: DataFrame, number: int) -> None:
+        df.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/b={number}")
 
-QUERIES["top_hosts"] = _top_hosts
+    counts = ingest.day_counts(events, "event_type", late="36500 days")
+    counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{base}/out")
+    return rows.groupBy("day", "event_type").agg(F.max_by("n", "batch").alias("n"))
