@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from webstrata.llm import automaton, dedup, extraction, language, licenses, neighbours, packing, quality, secrets, sharding
 
@@ -19,7 +20,8 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    verdicts = quality.judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return verdicts.withColumn("score", F.round("score", 6))
 
 
 def op3_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
