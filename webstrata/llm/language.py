@@ -71,9 +71,10 @@ def suffix_automaton(codes: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    start = np.zeros(size, np.int64)
+    start = np.full(size, len(go), np.int64)  # the last state: a class that the text lacks is a phrase alone
     start[list(go[0])] = list(go[0].values())
-    table = np.tile(2 * start + 1, (len(go), 1)).astype(np.int32)
+    table = np.tile(2 * start + 1, (len(go) + 1, 1)).astype(np.int32)
+    table[0] -= 1  # the first state is left at once and for good: nothing ends there
     for state, arcs in enumerate(go):
         table[state, list(arcs)] = [2 * t for t in arcs.values()]
     return table
