@@ -99,7 +99,7 @@ def prune_limits(threshold: float, miss: float, batches: int = BATCHES) -> list[
     posterior after m of n agree is proportional to p**m * (1-p)**(n-m) over p in [1/2, 1]; a pair is
     pruned where the mass at s >= threshold is under ``miss``.
     """
-    p = np.linspace(0.5, 1, 20_001)[:-1]
+    p = np.linspace(0.5, 1, 2001)[:-1]
     high = p >= (1 + threshold) / 2
     limits = []
     for n in range(64, 64 * batches + 1, 64):
