@@ -192,10 +192,11 @@ def is_public_target(host: Column, suffixes: Iterable[str] = ("com", "org", "net
         | ((a == 192) & (b == 168)) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
     )
     v6 = host.rlike(IPV6) & ~F.lower(host).rlike(r"^(::1?$|f[cd]|fe[89ab]|ff|2001:db8)")
+    suffixes = tuple(suffixes)
     named = F.lit(False)
     for s in suffixes:
         named = named | (host.endswith("." + s) & (host != F.lit("www." + s)))
-    return F.coalesce(F.when(host.rlike(IPV4), ~private).when(host.rlike(IPV6), v6).otherwise(named), F.lit(False))
+    return F.coalesce(F.when(host.rlike(IPV4), ~private).when(host.rlike(IPV6), v6).otherwise(named & ~host.isin(*suffixes)), F.lit(False))
 
 
 def rate_class(host: Column) -> Column:

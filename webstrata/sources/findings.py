@@ -27,7 +27,8 @@ def _valid_target(text: Column) -> Column:
 def split_items(texts: DataFrame, value: str = "value") -> DataFrame:
     """One JSON object a row from texts that hold an object, an array, or a line for each object."""
     t = F.trim(F.col(value))
-    whole = F.from_json(t, "map<string,string>")
+    first = F.from_json(F.split_part(t, F.lit("\n"), F.lit(1)), "map<string,string>")
+    whole = F.when(F.size(F.map_keys(F.coalesce(first, F.create_map().cast("map<string,string>")))) == 0, F.from_json(t, "map<string,string>"))
     many = F.from_json(t, "array<map<string,string>>").isNotNull() & t.startswith("[")
     objects = F.when(many, F.transform(F.from_json(t, "array<variant>"), lambda v: F.to_json(v))).when(whole.isNotNull() & (F.size(F.map_keys(whole)) > 0), F.array(t)).otherwise(F.filter(F.split(t, r"\r?\n"), lambda x: F.trim(x) != ""))
     return texts.select(F.explode(objects).alias("item"))
