@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space that separates words in every contract here: space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,6 +46,19 @@ def discard(df: DataFrame) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows of ``df``, all if there are no more: those whose key's hash is small enough.
+
+    The bound on the hash follows from the number of rows, so tasks filter on their own and what is
+    gathered is bounded however many tasks there are.  ``limit`` only cuts where one key repeats.
+    """
+    total = df.count()
+    if total <= rows:
+        return df
+    bound = max(1, (1 << 31) * rows // total)
+    return df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 31)) < bound).limit(2 * rows)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a worker never holds more than ``rows`` texts as Python objects."""
     for batch in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm.common import slices
+from webstrata.llm.common import hashed_sample, slices
 
 #: Notices by family (SPDX names), as licensors write them.
 TEMPLATES: dict[str, list[str]] = {
@@ -89,12 +89,13 @@ def features(paragraph: str, bits: int) -> np.ndarray:
 
 
 def background(docs: DataFrame, rows: int = 300, paragraph_chars: int = 160, text_col: str = "text", id_col: str = "doc_id") -> list[str]:
-    """Paragraphs of at most ``rows`` rows (smallest hash of the id), for the unknown class.
+    """Paragraphs of about ``rows`` rows at most (by a hash of the id), for the unknown class.
 
     Lines that hold a word of licensing are left out, so that notices don't teach 'unknown'.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).filter("t IS NOT NULL")
-    lines = picked.select("id", F.substring("t", 1, 4 * paragraph_chars).alias("t")).orderBy(F.xxhash64("id"), "id", "t").limit(rows).collect()
+    lines = picked.select("id", F.substring("t", 1, 4 * paragraph_chars).alias("t"))
+    lines = sorted(hashed_sample(lines.filter("id IS NOT NULL"), "id", rows).collect())
     out = [line[:paragraph_chars] for r in lines for line in r["t"].split("\n")]
     return [p for p in out if p.strip() and not re.search(r"(?i)licen[cs]|copyright|rights|spdx|public domain|permission", p)]
 

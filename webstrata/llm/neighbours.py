@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from webstrata.llm.common import hashed_sample
+
 BYTE_DISTANCE = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
 
@@ -132,7 +134,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, block: int = 8192,
     """
     rows = usable_vectors(vectors, id_col, vector_col)
     out = "query_id long, vec_id long, score double"
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
+    sample = sorted(hashed_sample(rows, "vec_id", sample_rows).collect(), key=lambda r: (r["vec_id"], r["embedding"]))
     if not sample:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     sizes = [len(r["embedding"]) for r in sample]
