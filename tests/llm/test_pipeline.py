@@ -51,3 +51,64 @@ def test_registered(spark):
     names = llm_queries.queries()
     assert sorted(n.split("_")[0] for n in names if n != "pipeline") == sorted(f"op{i}" for i in range(1, 11))
     assert set(llm_queries.oracle_sql()) <= set(names)
+
+
+def test_pipeline_matches_brute_force(spark, sf):
+    """The whole pipeline over sf0.001 against plain Python, stage by stage."""
+    import math
+    import re
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tests.llm.test_operators import brute_components
+    from webstrata.llm import language, quality, secrets
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").collect()}
+    raw, target = np.zeros(1 << 16), np.zeros(1 << 16)
+    for i, t in docs.items():
+        for g in quality.hashed_ngrams(t or "", 3, 16):
+            raw[g] += 1
+            target[g] += i in good
+    seen = (raw > 0).sum()
+    ratio = np.log((target + 1) / (target.sum() + seen)) - np.log((raw + 1) / (raw.sum() + seen))
+    kept = {}
+    for i, t in docs.items():
+        words, _, _, _, repeated = quality.base_counts(t or "")
+        grams = quality.hashed_ngrams(t or "", 3, 16)
+        if words >= 20 and 100 * repeated <= 30 * words and ratio[grams].mean() >= -0.7:
+            kept[i] = t
+    frame = spark.read.parquet(f"{sf}/documents.parquet").filter(f"doc_id IN ({','.join(map(str, kept))})")
+    parser = language.CrossParser(language.learn_samples(frame))
+    kept = {i: t for (i, t), g in zip(kept.items(), parser.guess(list(kept.values())), strict=True) if g[0] != "und" and g[3] <= cp.MAX_PHRASE_RATE}
+    component = brute_components(list(kept.items()))
+    kept = {i: t for i, t in kept.items() if component[i][1] == i}
+
+    def entropy(window):
+        return -sum(n / len(window) * math.log2(n / len(window)) for n in map(window.count, set(window)))
+
+    assign = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {}
+    for i, t in kept.items():
+        spans = [m.span() for m in assign.finditer(t) if len(m[1]) >= 6] + [m.span() for p in (secrets.ACCESS, secrets.HEX) for m in re.finditer(p, t)]
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
+            s = m[0]
+            need = secrets.LIMITS["hex" if re.fullmatch("[0-9a-fA-F]+", s) else "alnum" if s.isalnum() else "base64"]
+            if re.search("[0-9]", s) and not any(re.search(p, s) for p in secrets.ALLOW) and max(entropy(s[k : k + 20]) for k in range(len(s) - 19)) >= need:
+                spans.append(m.span())
+        out, at = [], 0
+        for a, b in sorted(spans):
+            if b > at:
+                out += [t[at:a], "[SECRET]"] if a >= at else []
+                at = b
+        ids = [*tok.encode("".join([*out, t[at:]]), add_special_tokens=False).ids, 0]
+        want[i] = (len(ids), zlib.crc32(np.array(ids[:1024], "<u4").tobytes()) if len(ids) >= 1024 else None)
+    got = cp.run(spark, sf).toPandas()
+    assert {r.doc_id: r.doc_tokens for r in got.itertuples()} == {i: n for i, (n, _) in want.items()}
+    assert got.groupby("doc_id").length.sum().to_dict() == {i: n for i, (n, _) in want.items()}
+    first = got[(got.start == 0) & (got.length == 1024)]
+    assert all(want[r.doc_id][1] == r.ids_crc32 for r in first.itertuples())
+    assert (got.groupby("sequence_id").length.sum() <= 1024).all()
