@@ -165,24 +165,51 @@ def probabilities(model: Model, paragraph: str) -> np.ndarray:
     return e / e.sum()
 
 
-def template_overlap(family: str, paragraph: str) -> float:
-    """Largest share of a template's word pairs (or its only word) that the paragraph holds."""
+def word_pairs(paragraph: str) -> frozenset[tuple[str, str]]:
     words = _WORD.findall(paragraph.lower())
-    have = set(zip(words, words[1:], strict=False))
-    best = 0.0
-    for template in TEMPLATES[family]:
-        t = _WORD.findall(template.lower())
-        pairs = set(zip(t, t[1:], strict=False))
-        best = max(best, len(pairs & have) / len(pairs))
-    return best
+    return frozenset(zip(words, words[1:], strict=False))
+
+
+TEMPLATE_PAIRS = {family: [word_pairs(t) for t in templates] for family, templates in TEMPLATES.items()}
+
+
+def confirmed_families(paragraph: str, overlap: float) -> set[str]:
+    """Families of which the paragraph holds the share ``overlap`` of some template's word pairs."""
+    have = word_pairs(paragraph)
+    return {f for f, templates in TEMPLATE_PAIRS.items() if any(len(t & have) >= overlap * len(t) for t in templates)}
+
+
+def anchors(overlap: float) -> tuple[str, ...]:
+    """Words of which a paragraph must hold one to reach ``overlap`` with any template.
+
+    Of each template so many word pairs are taken that some must be there, those with the longest
+    words; a pair's longer word is its anchor.
+    """
+    found = set()
+    for template in (t for ts in TEMPLATES.values() for t in ts):
+        words = _WORD.findall(template.lower())
+        pairs = sorted(set(zip(words, words[1:], strict=False)), key=lambda p: (-max(map(len, p)), p))
+        found |= {max(p, key=len) for p in pairs[: int(len(pairs) * (1 - overlap)) + 1]}
+    return tuple(sorted(w for w in found if not any(o != w and o in w for o in found)))
+
+
+def holds(text: str, words: tuple[str, ...]) -> bool:
+    low = text.lower()
+    return any(w in low for w in words)
 
 
 def classify(model: Model, paragraph: str, least: float, overlap: float) -> tuple[str, float]:
+    """The likeliest family and its probability, or unknown.
+
+    The templates are compared first: without one that agrees no probability could decide.
+    """
+    confirmed = confirmed_families(paragraph, overlap)
+    if not confirmed:
+        return UNKNOWN, 0.0
     p = probabilities(model, paragraph)
     k = int(p[:-1].argmax())
-    family = model.families[k]
-    ok = p[k] >= least and p[k] > p[-1] and template_overlap(family, paragraph) >= overlap
-    return (family if ok else UNKNOWN), float(p[k])
+    ok = p[k] >= least and p[k] > p[-1] and model.families[k] in confirmed
+    return (model.families[k] if ok else UNKNOWN), float(p[k])
 
 
 def scan_licenses(docs: DataFrame, model: Model, least: float = 0.5, overlap: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,13 +219,12 @@ def scan_licenses(docs: DataFrame, model: Model, least: float = 0.5, overlap: fl
     sorted, comma-joined; empty if none), spans (family:start:end of each such paragraph in order, in
     code points, end exclusive), best_probability (0 if none).
 
-    A paragraph without any longer word of the templates is unknown without more work: it can't
-    hold enough of a template to be confirmed.  Null text has no paragraphs.  Repeated rows and null ids
+    A paragraph without any anchor word is unknown without more work: it can't hold enough of a
+    template to be confirmed.  Null text has no paragraphs.  Repeated rows and null ids
     pass through; an empty table gives no rows.  A map over partitions: no shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    pairs = {a + " " + b for ts in TEMPLATES.values() for t in ts for a, b in zip(_WORD.findall(t.lower()), _WORD.findall(t.lower())[1:], strict=False)}
-    rare = re.compile(r"(?i)" + "|".join(sorted({re.escape(w) for p in pairs for w in p.split() if len(w) >= 6})))
+    words = anchors(overlap)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -207,11 +233,11 @@ def scan_licenses(docs: DataFrame, model: Model, least: float = 0.5, overlap: fl
             for text in batch.column(1).to_pylist():
                 at, count, hits, best = 0, 0, [], 0.0
                 lines = (text or "").split("\n")
-                hot = bool(text) and rare.search(text) is not None
+                hot = holds(text or "", words)
                 for line in lines:
                     if line and not line.isspace():
                         count += 1
-                        if hot and rare.search(line):
+                        if hot and holds(line, words):
                             family, p = classify(m, line, least, overlap)
                             if family != UNKNOWN:
                                 hits.append((family, at, at + len(line)))
