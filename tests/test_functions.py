@@ -155,3 +155,10 @@ def test_collapse(spark, text, short):
 def test_scrub_and_text(spark):
     assert one(spark, values.scrubbed(F.col("x")), x="at 2025-01-02 03:04:05 id " + "a1" * 16 + " ok") == "at <NUMERIC_TOKEN> id <NUMERIC_TOKEN> ok"
     assert one(spark, values.plain_text(F.col("x")), x="\n a \t b\n\n\nﬁ \n") == "a b\nfi"
+
+
+def test_port_sets(spark):
+    a, b = values.expand_ports(F.lit("80,443,8080")), values.expand_ports(F.lit("443,8080,9"))
+    assert one(spark, values.common_ports(a, b), x="") == [443, 8080]
+    assert one(spark, values.covers_ports(values.expand_ports(F.lit("443")), b), x="") and not one(spark, values.covers_ports(a, b), x="")
+    assert one(spark, values.covers_ports(a, values.expand_ports(F.lit(""))), x="")

@@ -149,6 +149,16 @@ def expand_ports(spec: Column) -> Column:
     return F.when(F.coalesce(F.trim(spec), F.lit("")) == "", F.lit(None).cast("array<int>")).otherwise(F.array_sort(F.array_distinct(F.flatten(F.transform(parts, one)))))
 
 
+def common_ports(a: Column, b: Column) -> Column:
+    """Ports in both sets; a null set is all ports."""
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.array_sort(F.array_intersect(a, b)))
+
+
+def covers_ports(wanted: Column, covered: Column) -> Column:
+    """Whether every wanted port is covered; a null set is all ports."""
+    return covered.isNull() | (wanted.isNotNull() & (F.size(F.array_except(wanted, covered)) == 0))
+
+
 def page_slice(content: Column, start: int, length: int) -> Column:
     """Struct of text, total_length, offset, has_more; past the end the text is empty."""
     total = F.length(content)

@@ -345,3 +345,121 @@ def stream_day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(f"{base}/out")
     return rows.groupBy("day", "event_type").agg(F.max_by("n", "batch").alias("n"))
+
+
+@register(f"SELECT page_id, {_HOST} AS host, {_PORT} AS port FROM pages")
+def query_netlocs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "pages").select("page_id", urls.query_netloc(F.col("url")).alias("q"))
+    return asked.select("page_id", "q.host", "q.port")
+
+
+@register(rf"""
+WITH h AS (SELECT DISTINCT {_HOST} AS host FROM pages)
+SELECT host, CASE WHEN regexp_matches(host, '\.(com|org|net)$') THEN 5 END AS rate FROM h""")
+def public_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_facts(spark, sf_dir).select("host").distinct().select("host", urls.rate_class(F.col("host")).alias("rate"))
+
+
+@register("""
+SELECT l_orderkey, l_linenumber, array_to_string(list_sort(list_distinct(list_concat(range(l_linenumber, l_linenumber + 3), [CAST(l_suppkey AS BIGINT)]))), ',') AS ports FROM lineitem""")
+def expanded_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = F.concat_ws(",", F.concat_ws("-", "l_linenumber", F.col("l_linenumber") + 2), F.col("l_suppkey").cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", values.expand_ports(spec).alias("p"))
+    return rows.select("l_orderkey", "l_linenumber", F.array_join("p", ",").alias("ports"))
+
+
+@register("""SELECT doc_id, lang || '|' || source AS joined, CASE WHEN lang IS NULL OR source IS NULL THEN NULL ELSE 2 END AS n FROM documents""")
+def list_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as a JSON array on even ids, comma-separated on odd ones; both read the same."""
+    text = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.array("lang", "source"))).otherwise(F.concat(F.col("lang"), F.lit(" , "), F.col("source")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", values.list_column(text).alias("v"))
+    return rows.select("doc_id", F.array_join("v", "|").alias("joined"), F.size("v").alias("n"))
+
+
+@register(r"""
+WITH h AS (SELECT doc_id, text, regexp_replace(substr(hex(encode(text)), 1, 2048), '([0-9A-F])[0-9A-F]', '\1', 'g') AS h FROM documents),
+c AS (SELECT doc_id, text, length(regexp_replace(h, '[0-7]', '', 'g')) AS hi, length(h) AS n FROM h)
+SELECT doc_id, coalesce(trim(text) <> '' AND hi > 0.15 * greatest(n - hi, 1), false) AS is_binary FROM c""")
+def binary_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", values.is_binary(F.col("text"), F.lit("")).alias("is_binary"))
+
+
+@register("""SELECT event_id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts FROM events""")
+def parsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event times written in three formats by id, and read back."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts")
+    kind = F.col("event_id") % 3
+    text = (
+        F.when(kind == 0, F.concat(F.lit("Sat "), F.date_format("ts", "MMM d HH:mm:ss"), F.lit(" UTC "), F.date_format("ts", "yyyy")))
+        .when(kind == 1, F.concat(F.lit("Sat, "), F.date_format("ts", "d MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+        .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    )
+    return events.select("event_id", values.parsed_time(text).alias("ts"))
+
+
+@register("""
+SELECT doc_id, md5(substr(text, 101, 200)) AS slice_md5, CAST(length(text) AS INTEGER) AS total_length, length(text) > 300 AS has_more FROM documents""")
+def content_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", values.page_slice(F.col("text"), 100, 200).alias("p"))
+    return rows.select("doc_id", F.md5("p.text").alias("slice_md5"), "p.total_length", "p.has_more")
+
+
+@register("""
+WITH e AS (SELECT event_id, user_id, CAST(round(value) AS BIGINT) AS h, CAST(ts AS DATE) AS d FROM events),
+old AS (SELECT * FROM e WHERE event_id % 2 = 0), new AS (SELECT * FROM e WHERE event_id % 2 = 1)
+SELECT event_id FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.user_id = new.user_id AND old.h = new.h) AND NOT EXISTS (SELECT 1 FROM old WHERE old.user_id = new.user_id AND old.d = new.d)""")
+def new_typed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd events whose user has no even event of the same value (as hash) or day."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.lit(1).alias("version"), F.col("user_id").alias("url"), F.expr("bigint(round(value))").cast("string").alias("content_sha256"), F.to_date("ts").alias("ts"))
+    return documents.new_typed(rows.filter("event_id % 2 = 1"), rows.filter("event_id % 2 = 0")).select("event_id")
+
+
+@register(_BM25 + """, f1 AS (SELECT doc_id, item_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY item_id, rank) AS first FROM k WHERE rank <= 10)
+SELECT doc_id, item_id AS query_ix, score FROM f1 WHERE first = 1""")
+def first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.first_hit(bm25_topk(spark, sf_dir).withColumnRenamed("item_id", "query_ix")).select("doc_id", "query_ix", "score")
+
+
+@register("""SELECT url, 'GET' AS method, CAST(200 AS INTEGER) AS status_code, md5(html) AS body_md5 FROM pages""")
+def routed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as captures, katana JSON on even ids and HAR on odd ones, and read by the router."""
+    from webstrata.operators.sinks import to_katana
+    from webstrata.sources.captures import route_formats
+
+    pages = page_exchanges(spark, sf_dir)
+    entry = F.struct(
+        F.col("timestamp").alias("startedDateTime"), F.struct("method", "url").alias("request"),
+        F.struct(F.col("status_code").alias("status"), F.col("response_headers").alias("headers"), F.struct(F.col("response_body").alias("text")).alias("content")).alias("response"),
+    )
+    har = pages.filter("page_id % 2 = 1").select(F.to_json(F.struct(F.struct(F.array(entry).alias("entries")).alias("log"))).alias("value"))
+    good, _ = route_formats(to_katana(pages.filter("page_id % 2 = 0")).unionByName(har), F.lit(AS_OF).cast("timestamp"))
+    return good.select("url", "method", "status_code", F.md5("response_body").alias("body_md5"))
+
+
+@register("""SELECT url AS target, md5(html) AS markdown_md5 FROM pages""")
+def parsed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finding on each page, written as JSON and read by the findings reader."""
+    from webstrata.sources.findings import parse_findings
+
+    items = table(spark, sf_dir, "pages").select(F.to_json(F.struct(F.col("url").alias("target"), F.col("html").alias("markdown"))).alias("item"))
+    return parse_findings(items)[0].select("target", F.md5("markdown").alias("markdown_md5"))
+
+
+@register()
+def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the default embedder over their first 4096 characters."""
+    rows = search.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return rows.select("doc_id", F.size("embedding").alias("size"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"), "embedding_error")
+
+
+@register("""SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events""")
+def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file stream of events deduped by user, type and day, run until nothing is left."""
+    from webstrata.sources.shared import shared_dir
+
+    base = f"{shared_dir(spark)}/webstrata-stream-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet*")
+    keyed = events.withColumn("day", F.to_date("ts")).withColumn("doc_id", F.concat_ws("|", "user_id", "event_type", "day"))
+    first = ingest.first_seen(keyed, "36500 days").select("user_id", "event_type", "day")
+    first.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out")
