@@ -288,10 +288,11 @@ def run_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.run_ports(runs, ports).select("run_id", "o_orderstatus", "port", "state")
 
 
-@register("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@register("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def missing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "customer").select("c_custkey")
-    return listing.missing_targets(asked, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    known = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return listing.missing_targets(asked, known, "c_custkey")
 
 
 @register(r"""
