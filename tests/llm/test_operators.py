@@ -305,6 +305,17 @@ def test_main_text():
     assert extraction.main_text("<p>" + "word, " * 50_000 + "</p>") == ("word, " * 50_000).strip()
 
 
+def test_short_parts_of_an_article_stay():
+    para = "A long paragraph of the article, which goes on, and on; it has marks, commas, and stops. " * 3
+    lines = ["A title without any mark, or nearly so", para, "short item", "other item", "cell", "12", para, "only a link", para]
+    body = "<header><h1>{}</h1></header><p>{}</p><ul><li>{}<li>{}</ul><section><table><tr><td>{}<td>{}</table></section><p>{}</p><p><a href=x>{}</a></p><p>{}</p>".format(*lines)
+    for tag in ("article", "main"):
+        page = f"<html><body><nav><a href=/>Home</a></nav><{tag}>{body}</{tag}><div><a href=1>one</a> <a href=2>two</a></div></body></html>"
+        assert extraction.main_text(page) == "\n".join(x.strip() for x in lines)
+    page = f"<html><body><div><h1>Title</h1><p>{para}</p><ul><li>item<li>other</ul><table><tr><td>cell<td>12</table><p>{para}</p></div><div><ul><li><a href=1>Home</a></ul></div></body></html>"
+    assert extraction.main_text(page).split("\n") == ["Title", para.strip(), "item", "other", "cell", "12", para.strip()]
+
+
 def test_extract_pages(spark, sf):
     rows = spark.createDataFrame([(1, None, PAGE, "x"), (2, "u", None, "y"), (1, None, PAGE, "x"), (None, "u", "", "z")], "page_id long, url string, html string, text string")
     got = extraction.extract_pages(rows).toPandas()

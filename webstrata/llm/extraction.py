@@ -1,8 +1,9 @@
 """HTML main-text extraction by tag-path ratios.
 
 A page becomes blocks of text, each under its root-to-leaf tag path.  Text length, punctuation, link
-text and number of blocks are added up per path; the ratios are smoothed over the paths of one
-container, fused, and paths under the threshold are dropped with their blocks.
+text and number of blocks are added up per path; the ratios are fused, smoothed over the paths of one
+container (the whole article or main, else lists and tables with what stands around them), and paths
+under the threshold are dropped with their blocks.
 """
 
 from __future__ import annotations
@@ -46,6 +47,9 @@ TAG = re.compile(
 )
 ATTR = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that belong to the text around them: their paths are smoothed with it.
+PARTS = set("ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote figure hgroup".split())
+ARTICLE = re.compile(r"(?:.*?/)??(?:article|main)(?=/|$)")
 
 
 class Block(NamedTuple):
@@ -149,6 +153,14 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _around(path: str) -> str:
+    """The container whose paths a path outside of any article is smoothed with."""
+    around, _, leaf = path.rpartition("/")
+    while leaf != "a" and around.rpartition("/")[2] in PARTS:
+        around = around.rpartition("/")[0]
+    return around
+
+
 def choose_paths(found: list[Block], share: float) -> set[str]:
     """Paths whose fused ratio reaches ``share`` of the page's mean, weighted by text."""
     chars: dict[str, int] = defaultdict(int)
@@ -160,21 +172,23 @@ def choose_paths(found: list[Block], share: float) -> set[str]:
         marks[b.path] += sum(map(b.text.count, ",.;:!?，。！？؟।"))
         linked[b.path] += b.link_chars
         nodes[b.path] += 1
-    fused = {}
+    fused, pool = {}, defaultdict(list)
     for p in chars:
-        inside = re.search(r"(?:^|/)(?:article|main)(?:/|$)", p)
+        inside = ARTICLE.match(p)
         plain = 2.0 if inside else 1 - linked[p] / chars[p]  # links are text like any other in the article
         fused[p] = math.log1p(chars[p] / nodes[p]) * (1 + math.log1p(marks[p] / nodes[p])) * plain
-    pool: dict[str, list[str]] = defaultdict(list)
-    for p in fused:
-        pool[p.rpartition("/")[0]].append(p)
+        pool[inside[0] if inside else _around(p)].append(p)
     smooth = {}
-    for around, paths in pool.items():
+    for container, paths in pool.items():
         total = sum(chars[p] for p in paths)
         mean = sum(fused[p] * chars[p] for p in paths) / total
         for p in paths:
-            alone = around.count("/") < 1 and p.rpartition("/")[2] not in HEADING  # beside the article, not in it
-            smooth[p] = fused[p] if alone else (fused[p] + mean) / 2
+            if ARTICLE.match(container):
+                smooth[p] = mean  # an article stands or falls as a whole
+            elif p.count("/") < 2 and p.rpartition("/")[2] not in HEADING:
+                smooth[p] = fused[p]  # beside the article, not in it
+            else:
+                smooth[p] = (fused[p] + mean) / 2
     level = sum(smooth[p] * chars[p] for p in smooth) / sum(chars.values()) if chars else 0.0
     return {p for p, s in smooth.items() if s >= share * level}
 
