@@ -316,6 +316,20 @@ def test_short_parts_of_an_article_stay():
     assert extraction.main_text(page).split("\n") == ["Title", para.strip(), "item", "other", "cell", "12", para.strip()]
 
 
+def test_names_do_not_outweigh_text():
+    para = "A paragraph of the article, which is long enough; it has marks, commas, and stops, as prose does."
+    prose = f"<h1>Title</h1><p>{para}</p><ul><li>item</ul><p>{para}</p><p>{para}</p>"
+    want = f"Title\n{para}\nitem\n{para}\n{para}"
+    wraps = ["<div class='page no-sidebar'>{}</div>", "<div id='content' class='has-sidebar'>{}</div>", "<div class='reader-view'>{}</div>", "<section class='related-work'>{}</section>", "<div id=reader>{}</div>", "<x-app class=has-sidebar>{}</x-app>"]
+    ads = "<nav>Home, here.</nav><div class='ad'>Buy now, friends.</div><div id=sidebar><p>Other things, to read.</p></div><span class='promo'>Only today, half.</span>"
+    for wrap in wraps:
+        for inner in (prose, f"<article>{prose}</article>", f"<main>{prose}<div class='comments'><p>Nice, article!</p></div></main>", prose + ads):
+            assert extraction.main_text("<html><body>" + wrap.format(inner) + "</body></html>") == want
+            assert extraction.main_text("<html><body>" + ads + wrap.format(inner) + "</body></html>") == want
+    page = f"<html><body><article>{prose}<section class='related-work'><p>{para}</p></section><p>One <span class='ad'>Buy.</span> line.</p></article><x-app class='has-sidebar'><nav>Home, here.</nav></x-app><div id=comments>{f'<p>{para}</p>' * 20}</div></body></html>"
+    assert extraction.main_text(page) == f"{want}\n{para}\nOne line."
+
+
 def test_extract_pages(spark, sf):
     rows = spark.createDataFrame([(1, None, PAGE, "x"), (2, "u", None, "y"), (1, None, PAGE, "x"), (None, "u", "", "z")], "page_id long, url string, html string, text string")
     got = extraction.extract_pages(rows).toPandas()

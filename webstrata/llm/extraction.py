@@ -3,7 +3,8 @@
 A page becomes blocks of text, each under its root-to-leaf tag path.  Text length, punctuation, link
 text and number of blocks are added up per path; the ratios are fused, smoothed over the paths of one
 container (the whole article or main, else lists and tables with what stands around them), and paths
-under the threshold are dropped with their blocks.
+under the threshold are dropped with their blocks.  Containers named like a page's other parts
+(sidebar, comments, ...) weigh less, but where they hold the article their names are overruled.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
 }
-#: Containers that are not the article, by tag, by role, and by the words of class and id.
+#: Containers that are not the article, by tag and by role; and words of class and id that speak against one.
 ASIDE = set("nav aside footer form head dialog menu".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 WORDS = set(
@@ -47,6 +48,7 @@ TAG = re.compile(
 )
 ATTR = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+MARKS = ",.;:!?，。！？؟।"
 #: Elements that belong to the text around them: their paths are smoothed with it.
 PARTS = set("ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote figure hgroup".split())
 ARTICLE = re.compile(r"(?:.*?/)??(?:article|main)(?=/|$)")
@@ -56,6 +58,21 @@ class Block(NamedTuple):
     path: str
     text: str
     link_chars: int
+    name: int  # the innermost named container, or NONE
+
+
+class Named(NamedTuple):
+    parent: int
+    whole: bool  # some class or id consists of such words
+    depth: int
+    within: bool  # it lies in an article or main
+
+
+NONE = -1
+#: What a name leaves of a container's weight: all its words are of the list, or only some.
+WHOLE_NAME, PART_NAME = 0.02, 0.1
+#: Ratio that a container needs against a whole name: that of about 40 characters with a mark.
+LEAST_RATIO = 6.0
 
 
 def _is_aside(tag: str, attrs: str, inside: list[str]) -> bool:
@@ -67,35 +84,83 @@ def _is_aside(tag: str, attrs: str, inside: list[str]) -> bool:
             return True
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(w in WORDS for w in re.split(r"[^a-z]+", value)):
-            return True
     return False
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks in page order, without those in containers that are not the article."""
+def _named(tag: str, attrs: str) -> bool | None:
+    """Whether some class or id consists of WORDS (True), only holds one (False), or none does."""
+    found = None
+    for name, value in ATTR.findall(attrs):
+        if name.lower() in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            for part in entities.unescape(value.strip("\"'")).lower().split():
+                words = [w for w in re.split(r"[^a-z]+", part) if w]
+                listed = sum(w in WORDS for w in words)
+                if listed:
+                    found = found or listed == len(words)
+    return found
+
+
+def blocks(page: str, lifted: frozenset[int] = frozenset()) -> tuple[list[Block], list[Named]]:
+    """Text blocks in page order, without those in asides; and the named containers.
+
+    Names of the containers ``lifted`` don't count.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # open block elements; whether one is or lies in an aside
-    inline_aside: list[str] = []
+    named: list[Named] = []
+    stack: list[tuple[str, bool, int]] = []  # open block elements; whether one is or lies in an aside; its named container
+    inline: list[tuple[str, int, bool, int]] = []  # open inline elements that are or lie in such: also the stack's depth
     buffer: list[str] = []
-    links = in_link = at = 0
+    apart: list[str] = []  # text of a named inline element, which is no part of the line around it
+    links = apart_links = in_link = at = 0
+    apart_name = NONE
+
+    def here() -> tuple[bool, int]:
+        if inline and inline[-1][1] >= len(stack):
+            return inline[-1][2:]
+        return stack[-1][1:] if stack else (False, NONE)
+
+    def flush_apart() -> None:
+        nonlocal apart_links
+        text = " ".join(entities.unescape("".join(apart)).split())
+        if text:
+            out.append(Block("/".join(s[0] for s in stack), text, min(apart_links, len(text)), apart_name))
+        apart.clear()
+        apart_links = 0
 
     def flush() -> None:
         nonlocal links
+        if apart:
+            flush_apart()
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             if text:
-                path = "/".join(t for t, _ in stack)
-                out.append(Block(path + "/a" if links >= 0.8 * len(text) else path, text, min(links, len(text))))
+                path = "/".join(s[0] for s in stack)
+                out.append(Block(path + "/a" if links >= 0.8 * len(text) else path, text, min(links, len(text)), stack[-1][2] if stack else NONE))
             buffer.clear()
         links = 0
 
     def say(text: str) -> None:
-        nonlocal links
-        if text and not inline_aside and not (stack and stack[-1][1]):
-            buffer.append(text)
-            if in_link:
-                links += len(text.strip())
+        nonlocal links, apart_links, apart_name
+        aside, name = here()
+        if not text or aside:
+            return
+        if name != (stack[-1][2] if stack else NONE):
+            if apart and name != apart_name:
+                flush_apart()
+            apart_name = name
+            apart.append(text)
+            apart_links += len(text.strip()) if in_link else 0
+            return
+        buffer.append(text)
+        if in_link:
+            links += len(text.strip())
+
+    def name_of(tag: str, attrs: str, parent: int) -> int:
+        whole = _named(tag, attrs) if "=" in attrs else None
+        if whole is None:
+            return parent
+        named.append(Named(parent, whole, len(stack), any(s[0] in ("article", "main") for s in stack)))
+        return parent if len(named) - 1 in lifted else len(named) - 1
 
     while (m := TAG.search(page, at)) is not None:
         say(page[at : m.start()])
@@ -116,10 +181,11 @@ def blocks(page: str) -> list[Block]:
         elif tag in BLOCK:
             flush()
             if closing:
-                if any(t == tag for t, _ in stack):
+                if any(s[0] == tag for s in stack):
                     while stack.pop()[0] != tag:
                         pass
-                    inline_aside.clear()
+                    while inline and inline[-1][1] > len(stack):
+                        inline.pop()
                     in_link = 0
             else:
                 if stack and stack[-1][0] == "p":
@@ -132,25 +198,74 @@ def blocks(page: str) -> list[Block]:
                     del stack[depth:]
                 if tag == "body":
                     stack = [s for s in stack if s[0] == "html"]
-                stack.append((tag, bool(stack and stack[-1][1]) or _is_aside(tag, attrs, [t for t, _ in stack])))
+                while inline and inline[-1][1] > len(stack):
+                    inline.pop()
+                aside, name = here()
+                aside = aside or _is_aside(tag, attrs, [s[0] for s in stack])
+                stack.append((tag, aside, name if aside else name_of(tag, attrs, name)))
         elif tag not in VOID:
             if closing:
                 if tag == "a":
                     in_link = 0
-                if tag in inline_aside:
-                    while inline_aside.pop() != tag:
-                        pass
+                at_tag = next((k for k in range(len(inline) - 1, -1, -1) if inline[k][0] == tag), None)
+                if at_tag is not None and inline[at_tag][1] >= len(stack):
+                    del inline[at_tag:]
             else:
                 if tag == "a":
                     in_link = 1
-                if inline_aside:
-                    if tag == inline_aside[0]:
-                        inline_aside.append(tag)
-                elif tag != "a" and "=" in attrs and _is_aside(tag, attrs, []):
-                    inline_aside.append(tag)
+                elif "=" in attrs or inline:
+                    aside, name = here()
+                    now = aside or ("=" in attrs and _is_aside(tag, attrs, []))
+                    new = name if now else name_of(tag, attrs, name)
+                    if (now, new) != (aside, name) or any(i[0] == tag for i in inline):
+                        inline.append((tag, len(stack), now, new))
     say(page[at:])
     flush()
-    return out
+    return out, named
+
+
+def _ratio(found: list[Block]) -> tuple[float, float]:
+    """The fused ratio of blocks taken together, and their weight: the ratio times their length."""
+    chars = sum(len(b.text) for b in found)
+    if not chars:
+        return 0.0, 0.0
+    marks = sum(sum(map(b.text.count, MARKS)) for b in found)
+    ratio = math.log1p(chars / len(found)) * (1 + math.log1p(marks / len(found))) * (1 - sum(b.link_chars for b in found) / chars)
+    return ratio, ratio * chars
+
+
+def overruled_names(found: list[Block], named: list[Named]) -> frozenset[int]:
+    """Named containers that hold the article, or a part of it, by their text.
+
+    A name is overruled where the container holds the page's only article or main; where its text,
+    weighted down for the name, outweighs all text outside of named containers; and, if it is named
+    only in part, inside an article where its ratio is half of what stands around it at least.
+    """
+    lifted: set[int] = set()
+    if all(b.name == NONE for b in found):
+        return frozenset()
+    while True:
+        top: list[int] = []  # of each container the outermost one around it, or itself, whose name counts
+        for k, n in enumerate(named):
+            above = top[n.parent] if n.parent != NONE else NONE
+            top.append(above if above != NONE else NONE if k in lifted else k)
+        groups: dict[int, list[Block]] = defaultdict(list)
+        for b in found:
+            groups[top[b.name] if b.name != NONE else NONE].append(b)
+        free = groups.pop(NONE, [])
+        article = [b for b in free if ARTICLE.match(b.path)]
+        around, outside = _ratio(article)[0], _ratio(free)[1]
+        judged = sorted(((*_ratio(g), k) for k, g in groups.items()), key=lambda x: (-x[1], x[2]))
+        new = {k for ratio, _, k in judged if article and named[k].within and not named[k].whole and ratio >= 0.5 * around}
+        if not article:
+            holds = [k for _, _, k in judged if any(re.search(r"(?:^|/)(?:article|main)(?:/|$)", "/".join(b.path.split("/")[named[k].depth :])) for b in groups[k])]
+            new |= set(holds[:1])
+        if not new:
+            heavy = [k for ratio, weight, k in judged if weight * (WHOLE_NAME if named[k].whole else PART_NAME) > outside and (ratio >= LEAST_RATIO or not named[k].whole)]
+            new = set(heavy[:1])
+        if not new:
+            return frozenset(lifted)
+        lifted |= new
 
 
 def _around(path: str) -> str:
@@ -169,7 +284,7 @@ def choose_paths(found: list[Block], share: float) -> set[str]:
     nodes: dict[str, int] = defaultdict(int)
     for b in found:
         chars[b.path] += len(b.text)
-        marks[b.path] += sum(map(b.text.count, ",.;:!?，。！？؟।"))
+        marks[b.path] += sum(map(b.text.count, MARKS))
         linked[b.path] += b.link_chars
         nodes[b.path] += 1
     fused, pool = {}, defaultdict(list)
@@ -195,7 +310,11 @@ def choose_paths(found: list[Block], share: float) -> set[str]:
 
 def main_text(page: str | None, share: float = 0.25) -> str:
     """The article's blocks in page order, one a line; empty if there is none."""
-    found = blocks(page or "")
+    found, named = blocks(page or "")
+    lifted = overruled_names(found, named)
+    if lifted:
+        found = blocks(page or "", lifted)[0]
+    found = [b for b in found if b.name == NONE]
     keep = choose_paths(found, share)
     return "\n".join(b.text for b in found if b.path in keep)
 
