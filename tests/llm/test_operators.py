@@ -262,6 +262,40 @@ def test_licenses(spark, cases, empty):
     assert licenses.background(empty) == []
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is"""
+BSD = """# Copyright (c) 2024, Some One
+#
+# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+#
+# 1. Redistributions of source code must retain the above copyright notice, this"""
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,"""
+
+
+def test_wrapped_licenses(spark):
+    model = licenses.train([PROSE, "Another plain line of text about nothing.", "Numbers 1 2 3"])
+    texts = [(1, MIT), (2, BSD), (3, GPL), (4, "MIT License"), (5, PROSE + "\n" + GPL + "\n" + PROSE), (6, "They talked of the MIT license for hours and hours, and of the BSD one."), (7, MIT.replace("\n", " "))]
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, texts), model).collect()}
+    assert [got[i].families for i in range(1, 8)] == ["MIT", "BSD", "GPL", "MIT", "GPL", "", "MIT"]
+    assert [got[i].n_license for i in range(1, 8)] == [2, 1, 1, 1, 1, 0, 1]
+    a, b = MIT.index("Permission"), MIT.index(", including")
+    assert got[1].spans.split(",")[0] == "MIT:0:11" and f":{a}:" in got[1].spans and int(got[1].spans.rpartition(":")[2]) >= b
+    assert got[5].spans.startswith(f"GPL:{len(PROSE) + 1}:") and got[5].n_paragraphs == 8
+
+
 def plain_jump(key, n):
     b, j = -1, 0
     while j < n:

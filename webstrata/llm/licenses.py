@@ -2,7 +2,8 @@
 
 A sparse logistic regression over hashed word n-grams, one class per licence family and one for
 anything else, is trained on templates of the families (with words dropped and strange words
-mixed in) and on paragraphs of the corpus.  A paragraph is given to a family only if the calibrated
+mixed in) and on paragraphs of the corpus.  A line, or a window of the words of lines that follow each
+other without a blank one (notices are often wrapped), is given to a family only if the calibrated
 probability is high and it agrees with one of the family's templates.
 """
 
@@ -10,7 +11,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -68,6 +71,15 @@ TEMPLATES: dict[str, list[str]] = {
         "Copyright. All rights reserved. No part of this publication may be reproduced without prior written permission.",
     ],
 }
+#: Titles of licence texts; a line is one if it holds all of it and at most two words more.
+TITLES: dict[str, list[str]] = {
+    "Apache-2.0": ["Apache License Version 2.0", "Apache License 2.0"],
+    "MIT": ["MIT License"],
+    "GPL": ["GNU General Public License"],
+    "BSD": ["BSD License", "BSD 2-Clause License", "BSD 3-Clause License"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0"],
+    "CC0": ["CC0 1.0 Universal"],
+}
 UNKNOWN = "unknown"
 _WORD = re.compile(r"[^\W_]+")
 HITS = "doc_id long, n_paragraphs long, n_license long, families string, spans string, best_probability double"
@@ -108,7 +120,7 @@ def train(paragraphs: list[str], bits: int = 15, copies: int = 12, rounds: int =
     xs: list[np.ndarray] = []
     ys: list[int] = []
     for k, family in enumerate(families):
-        for template in TEMPLATES[family]:
+        for template in TEMPLATES[family] + TITLES.get(family, []):
             words = template.split()
             for c in range(copies):
                 kept = [w for w in words if c == 0 or rng.random() > 0.08] or words
@@ -171,12 +183,62 @@ def word_pairs(paragraph: str) -> frozenset[tuple[str, str]]:
 
 
 TEMPLATE_PAIRS = {family: [word_pairs(t) for t in templates] for family, templates in TEMPLATES.items()}
+TITLE_PAIRS = {family: [(word_pairs(t), len(_WORD.findall(t)) + 2) for t in titles] for family, titles in TITLES.items()}
+#: Each template's pairs and length in words, and the templates that hold a pair.
+WINDOWS = [(pairs, len(_WORD.findall(t))) for f, templates in TEMPLATES.items() for pairs, t in zip(TEMPLATE_PAIRS[f], templates, strict=True)]
+HOLDERS: dict[tuple[str, str], list[int]] = defaultdict(list)
+for _k, (_pairs, _) in enumerate(WINDOWS):
+    for _pair in _pairs:
+        HOLDERS[_pair].append(_k)
 
 
 def confirmed_families(paragraph: str, overlap: float) -> set[str]:
-    """Families of which the paragraph holds the share ``overlap`` of some template's word pairs."""
+    """Families of which the paragraph holds the share ``overlap`` of some template's word pairs, or is a title."""
     have = word_pairs(paragraph)
-    return {f for f, templates in TEMPLATE_PAIRS.items() if any(len(t & have) >= overlap * len(t) for t in templates)}
+    found = {f for f, templates in TEMPLATE_PAIRS.items() if any(len(t & have) >= overlap * len(t) for t in templates)}
+    if len(have) <= 8:
+        count = len(_WORD.findall(paragraph))
+        found |= {f for f, titles in TITLE_PAIRS.items() if any(t <= have and count <= most for t, most in titles)}
+    return found
+
+
+def windows(words: list[str], overlap: float) -> list[tuple[int, int, int]]:
+    """Stretches of words that hold the share ``overlap`` of a template's pairs within twice its length.
+
+    Returns first word, end and number of pairs found; those of one template don't overlap.
+    """
+    places: dict[int, list[int]] = defaultdict(list)
+    for i, pair in enumerate(zip(words, words[1:], strict=False)):
+        for k in HOLDERS.get(pair, ()):
+            places[k].append(i)
+    out = []
+    for k, at in places.items():
+        pairs, length = WINDOWS[k]
+        need = overlap * len(pairs)
+        if len(at) < need:
+            continue
+        left, counts = 0, defaultdict(int)
+        right = 0
+        while right < len(at):
+            counts[words[at[right]], words[at[right] + 1]] += 1
+            while at[right] - at[left] >= 2 * length or counts[words[at[left]], words[at[left] + 1]] > 1:
+                pair = words[at[left]], words[at[left] + 1]
+                counts[pair] -= 1
+                if not counts[pair]:
+                    del counts[pair]
+                left += 1
+            if len(counts) >= need:
+                more = right + 1
+                while more < len(at) and at[more] - at[left] < 2 * length:  # the rest of the notice
+                    pair = words[at[more]], words[at[more] + 1]
+                    if not counts[pair]:
+                        right = more
+                    counts[pair] += 1
+                    more += 1
+                out.append((at[left], at[right] + 2, sum(n > 0 for n in counts.values())))
+                left, counts = right + 1, defaultdict(int)
+            right += 1
+    return out
 
 
 def anchors(overlap: float) -> tuple[str, ...]:
@@ -190,6 +252,7 @@ def anchors(overlap: float) -> tuple[str, ...]:
         words = _WORD.findall(template.lower())
         pairs = sorted(set(zip(words, words[1:], strict=False)), key=lambda p: (-max(map(len, p)), p))
         found |= {max(p, key=len) for p in pairs[: int(len(pairs) * (1 - overlap)) + 1]}
+    found |= {max(_WORD.findall(title.lower()), key=len) for titles in TITLES.values() for title in titles}
     return tuple(sorted(w for w in found if not any(o != w and o in w for o in found)))
 
 
@@ -212,14 +275,50 @@ def classify(model: Model, paragraph: str, least: float, overlap: float) -> tupl
     return (model.families[k] if ok else UNKNOWN), float(p[k])
 
 
+def notices(model: Model, lines: list[str], least: float, overlap: float, words: tuple[str, ...]) -> list[tuple[str, int, int, float]]:
+    """Family, first line, last line and probability of each notice, in order; none share a line.
+
+    Lines that are notices alone come first, then windows over the lines of a block, most pairs first.
+    """
+    found = []
+    taken: set[int] = set()
+    for i, line in enumerate(lines):
+        if holds(line, words):
+            family, p = classify(model, line, least, overlap)
+            if family != UNKNOWN:
+                found.append((family, i, i, p))
+                taken.add(i)
+    begin = 0
+    while begin < len(lines):
+        end = begin
+        while end < len(lines) and lines[end] and not lines[end].isspace():
+            end += 1
+        block: list[str] = []
+        line_of: list[int] = []
+        for i in range(begin, end):
+            got = _WORD.findall(lines[i].lower())
+            block += got
+            line_of += [i] * len(got)
+        for a, b, _ in sorted(windows(block, overlap), key=lambda w: (-w[2], w[0], w[1])):
+            span = range(line_of[a], line_of[b - 1] + 1)
+            if taken.isdisjoint(span):
+                family, p = classify(model, " ".join(block[a:b]), least, overlap)
+                if family != UNKNOWN:
+                    found.append((family, span[0], span[-1], p))
+                    taken.update(span)
+        begin = end + 1
+    return sorted(found, key=lambda f: f[1])
+
+
 def scan_licenses(docs: DataFrame, model: Model, least: float = 0.5, overlap: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Licence families of every whole text, paragraph by paragraph (lines with a word).
+    """Licence families of every whole text, by lines and by windows over wrapped lines.
 
-    Returns doc_id, n_paragraphs, n_license (paragraphs given to a family), families (distinct,
-    sorted, comma-joined; empty if none), spans (family:start:end of each such paragraph in order, in
-    code points, end exclusive), best_probability (0 if none).
+    Returns doc_id, n_paragraphs (lines with a word), n_license (notices given to a family; each is
+    a line or lines that follow each other), families (distinct, sorted, comma-joined; empty if
+    none), spans (family:start:end of each notice's lines in order, in code points, end exclusive),
+    best_probability (0 if none).
 
-    A paragraph without any anchor word is unknown without more work: it can't hold enough of a
+    A text without any anchor word is unknown without more work: it can't hold enough of a
     template to be confirmed.  Null text has no paragraphs.  Repeated rows and null ids
     pass through; an empty table gives no rows.  A map over partitions: no shuffle.
     """
@@ -231,18 +330,14 @@ def scan_licenses(docs: DataFrame, model: Model, least: float = 0.5, overlap: fl
         for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for text in batch.column(1).to_pylist():
-                at, count, hits, best = 0, 0, [], 0.0
                 lines = (text or "").split("\n")
-                hot = holds(text or "", words)
-                for line in lines:
-                    if line and not line.isspace():
-                        count += 1
-                        if hot and holds(line, words):
-                            family, p = classify(m, line, least, overlap)
-                            if family != UNKNOWN:
-                                hits.append((family, at, at + len(line)))
-                                best = max(best, p)
-                    at += len(line) + 1
+                count = sum(1 for line in lines if line and not line.isspace())
+                hits, best = [], 0.0
+                if holds(text or "", words):
+                    starts = [0, *accumulate(len(line) + 1 for line in lines)]
+                    for family, first, last, p in notices(m, lines, least, overlap, words):
+                        hits.append((family, starts[first], starts[last] + len(lines[last])))
+                        best = max(best, p)
                 row = (count, len(hits), ",".join(sorted({h[0] for h in hits})), ",".join(f"{f}:{s}:{e}" for f, s, e in hits), best)
                 for col, v in zip(out, row, strict=True):
                     col.append(v)
