@@ -296,6 +296,15 @@ def test_wrapped_licenses(spark):
     assert got[5].spans.startswith(f"GPL:{len(PROSE) + 1}:") and got[5].n_paragraphs == 8
 
 
+def test_near_misses_are_learned_beside_a_large_background(monkeypatch):
+    learned = []
+    monkeypatch.setattr(licenses, "features", lambda p, bits, make=licenses.features: learned.append(p) or make(p, bits))
+    many = [f"Plain paragraph {i} of a large table." for i in range(700)]
+    licenses.train(many, rounds=1)
+    assert {"Copyright law is taught here.", "All rights and duties.", "Released in spring."} <= set(learned)
+    assert len(set(learned) & set(many)) == 500
+
+
 def plain_jump(key, n):
     b, j = -1, 0
     while j < n:

@@ -80,6 +80,8 @@ TITLES: dict[str, list[str]] = {
     "MPL-2.0": ["Mozilla Public License Version 2.0"],
     "CC0": ["CC0 1.0 Universal"],
 }
+#: Lines with words of licensing that are no notices.
+NEAR_MISSES = ["Licensed drivers only.", "The license plate was lost.", "Copyright law is taught here.", "All rights and duties.", "Version 2.0 was released.", "Released in spring."]
 UNKNOWN = "unknown"
 _WORD = re.compile(r"[^\W_]+")
 HITS = "doc_id long, n_paragraphs long, n_license long, families string, spans string, best_probability double"
@@ -112,8 +114,12 @@ def background(docs: DataFrame, rows: int = 300, paragraph_chars: int = 160, tex
     return [p for p in out if p.strip() and not re.search(r"(?i)licen[cs]|copyright|rights|spdx|public domain|permission", p)]
 
 
-def train(paragraphs: list[str], bits: int = 15, copies: int = 12, rounds: int = 80, rate: float = 0.5, decay: float = 1e-4, seed: int = 11) -> Model:
-    """Fit the regression by gradient descent, then the temperature on copies held out."""
+def train(paragraphs: list[str], bits: int = 15, copies: int = 12, rounds: int = 80, rate: float = 0.5, decay: float = 1e-4, seed: int = 11, background_paragraphs: int = 500) -> Model:
+    """Fit the regression by gradient descent, then the temperature on copies held out.
+
+    The unknown class learns from all of ``NEAR_MISSES`` and from ``background_paragraphs`` of the
+    paragraphs at most.
+    """
     rng = np.random.default_rng(seed)
     families = tuple(TEMPLATES)
     spare = [w for p in paragraphs for w in _WORD.findall(p)][:5000] or ["text"]
@@ -127,8 +133,7 @@ def train(paragraphs: list[str], bits: int = 15, copies: int = 12, rounds: int =
                 around = [str(w) for w in rng.choice(spare, int(rng.integers(0, 6)))] if c > 1 else []
                 xs.append(features(" ".join([*kept, *around]), bits))
                 ys.append(k)
-    plain = [*paragraphs, "Licensed drivers only.", "The license plate was lost.", "Copyright law is taught here.", "All rights and duties.", "Version 2.0 was released.", "Released in spring."]
-    for p in plain[:500]:
+    for p in [*NEAR_MISSES, *paragraphs[:background_paragraphs]]:
         xs.append(features(p, bits))
         ys.append(len(families))
     y = np.array(ys)
