@@ -95,6 +95,16 @@ def test_quality_verdicts(spark, cases, empty):
     assert quality.judge_documents(empty, labels).count() == 0
 
 
+def test_every_trusted_row_counts(spark):
+    rows = spark.range(45_000).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'abc', 'xyz') AS text")
+    labels = rows.filter("doc_id % 2 = 0 OR doc_id = 1").selectExpr("doc_id", "1 AS quality").unionByName(spark.createDataFrame([(0, 1), (3, 0), (None, 1)], "doc_id long, quality int"))
+    ratios = quality.ngram_ratios(rows, labels, 3, 16)
+    target, raw = {"abc": 22_500, "xyz": 1}, {"abc": 22_500, "xyz": 22_500}
+    for text in target:
+        want = np.log((target[text] + 1) / (22_501 + 2)) - np.log((raw[text] + 1) / (45_000 + 2))
+        assert abs(ratios[quality.hashed_ngrams(text, 3, 16)[0]] - want) < 1e-12
+
+
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm.common import WORD, hashed_sample, slices
+from webstrata.llm.common import WORD, slices
 
 _WORDS = re.compile(WORD)
 _HAS_WORD = re.compile(WORD).search
@@ -77,32 +77,24 @@ def repeated_words(words: list[str]) -> int:
     return int((np.cumsum(covered[:-1]) > 0).sum())
 
 
-def trusted_ids(labels: DataFrame, rows: int, id_col: str = "doc_id") -> list[int]:
-    """About ``rows`` ids at most of trusted documents (quality 1), chosen by a hash of the id."""
-    good = labels.filter(F.col("quality") == 1).select(F.col(id_col).cast("long").alias("id")).filter("id IS NOT NULL").distinct()
-    return [r[0] for r in hashed_sample(good, "id", rows).collect()]
-
-
-def ngram_ratios(docs: DataFrame, trusted: list[int], n: int = 4, bits: int = 16, smoothing: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+def ngram_ratios(docs: DataFrame, labels: DataFrame, n: int = 4, bits: int = 16, smoothing: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Log ratio of target to raw probability for each of the 2**bits buckets.
 
-    The raw multinomial counts every n-gram of every document; the target those of ``trusted``
-    rows.  Tasks add their rows up to vectors of fixed length first, so what is shuffled and what
-    the driver gets (2**bits rows) does not depend on texts.
+    The raw multinomial counts every n-gram of every document; the target those of every trusted
+    row (quality 1 in some label of its id).  Texts are shuffled once, by id, to meet their labels; then tasks add their rows up to
+    vectors of fixed length, so what the driver gets (2**bits rows) does not depend on texts.
     """
     size = 1 << bits
-    chosen = docs.sparkSession.sparkContext.broadcast(np.array(sorted(trusted), np.int64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = set(chosen.value.tolist())
         totals = np.zeros((2, size), np.int64)
         for batch in slices(batches):
             grams: tuple[list, list] = ([], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, trusted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
                     g = hashed_ngrams(text, n, bits)
                     grams[0].append(g)
-                    if doc_id in mine:
+                    if trusted:
                         grams[1].append(g)
             for k in (0, 1):
                 if grams[k]:
@@ -110,7 +102,8 @@ def ngram_ratios(docs: DataFrame, trusted: list[int], n: int = 4, bits: int = 16
         at = np.flatnonzero(totals[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[0][at]), pa.array(totals[1][at])], names=["bucket", "raw", "target"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("id")).filter("id IS NOT NULL").distinct().withColumn("trusted", F.lit(True)).hint("merge")  # one plan at every size
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(good, "id", "left").select("text", "trusted")
     got = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(size), np.zeros(size)
     raw[got.bucket], target[got.bucket] = got.raw, got.target
@@ -120,19 +113,19 @@ def ngram_ratios(docs: DataFrame, trusted: list[int], n: int = 4, bits: int = 16
     return np.log((target + smoothing) / (target.sum() + smoothing * seen)) - np.log((raw + smoothing) / (raw.sum() + smoothing * seen))
 
 
-def judge_documents(docs: DataFrame, labels: DataFrame, threshold: float = -0.7, n: int = 3, bits: int = 16, trusted_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge_documents(docs: DataFrame, labels: DataFrame, threshold: float = -0.7, n: int = 3, bits: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, base rule, score and verdict for every document.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     score.  base_failed: n_words < 20, or 100 * n_repeat_words > 30 * n_words.  kept: not
     base_failed, and the mean log ratio of the text's n-grams is at least ``threshold``.
 
-    ``trusted_rows`` bounds the labelled rows the target is fitted on; corpus counts cover all rows.
+    The target is fitted on all trusted rows, the corpus on all rows.
     Without trusted rows every score is 0.  Null text has no words and fails the base rule.
     Repeated rows get equal verdicts; null ids pass through; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ratios = docs.sparkSession.sparkContext.broadcast(ngram_ratios(rows, trusted_ids(labels, trusted_rows), n, bits))
+    ratios = docs.sparkSession.sparkContext.broadcast(ngram_ratios(rows, labels, n, bits))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in VERDICTS.split(", ")]
@@ -154,9 +147,9 @@ def verdict(text: str | None, ratios: np.ndarray, threshold: float, n: int, bits
     return *counts, failed, not failed and score >= threshold, score
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = -0.7, n: int = 3, bits: int = 16, trusted_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = -0.7, n: int = 3, bits: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose verdict is kept. No shuffle of texts."""
-    ratios = docs.sparkSession.sparkContext.broadcast(ngram_ratios(docs, trusted_ids(labels, trusted_rows), n, bits, id_col=id_col, text_col=text_col))
+    ratios = docs.sparkSession.sparkContext.broadcast(ngram_ratios(docs, labels, n, bits, id_col=id_col, text_col=text_col))
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
