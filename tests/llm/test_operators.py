@@ -258,6 +258,15 @@ def test_language_held_out_accuracy(spark, sf, cases, empty):
     assert language.identify_languages(empty, samples).count() == 0
 
 
+def test_samples_are_refilled(spark):
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    bad = [(i, [None, "", "12 34 !"][i % 3], "aa") for i in ids[60:]]
+    rows = bad + [(i, f"good text {i}", "aa") for i in ids[:60]] + [(ids[0], "one text", "bb")] * 90 + [(ids[1], "1" * 1500 + "late", "bb"), (ids[2], "another", "bb")]
+    got = language.learn_samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert got["aa"].count("good text") == 48
+    assert sorted(got["bb"].split()) == ["another", "late", "one", "text"]
+
+
 def test_licenses(spark, cases, empty):
     model = licenses.train([PROSE, "Another plain line of text about nothing.", "Numbers 1 2 3"])
     texts = {

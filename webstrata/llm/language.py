@@ -151,14 +151,20 @@ def held_out(id_col: Column) -> Column:
 def learn_samples(docs: DataFrame, rows: int = 48, chars: int = 24_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
     """A sample of labelled text per language, for ``CrossParser``.
 
-    Of each language the ``rows`` rows with the smallest hash of their id, none held out, each giving
-    its first ``2 * chars / rows`` characters, ``chars`` in all.  These bounds hold at any input size.
+    Of each language the ``rows`` ids with the smallest hash, none held out, among those with a text
+    that has a letter; each gives one text's first ``2 * chars / rows`` characters (from the first
+    letter on if these hold none), ``chars`` in all.  These bounds hold at any input size.
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = [r["id"] for r in ids.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows).collect()]
     each = 2 * chars // rows
-    got = docs.filter(F.col(id_col).isin(chosen) & F.col(lang_col).isNotNull()).select(F.col(lang_col), F.xxhash64(F.col(id_col).cast("long")), F.substring(text_col, 1, each)).collect() if chosen else []
+    text = F.col(text_col)
+    first = F.substring(text, 1, each)
+    first = F.when(first.rlike(r"\p{L}"), first).otherwise(F.substring(F.regexp_replace(text, r"^\P{L}+", ""), 1, each))
+    good = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & text.rlike(r"\p{L}")).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), first.alias("first"))
+    ids = good.filter(~held_out(F.col("id"))).select("lang", "id").distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    chosen = {(r["lang"], r["id"]) for r in ids.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows).collect()}
+    one = good.filter(F.col("id").isin([i for _, i in chosen])).groupBy("lang", "id").agg(F.min("first").alias("first")) if chosen else None
+    got = [(r["lang"], r["hash"], r["first"]) for r in one.withColumn("hash", F.xxhash64("id")).collect() if (r["lang"], r["id"]) in chosen] if chosen else []
     samples: dict[str, str] = {}
     for lang, _, text in sorted(got, key=lambda r: (r[0], r[1], r[2] or "")):
         if text and len(samples.get(lang, "")) < chars:
