@@ -11,9 +11,11 @@ import json
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from webstrata.llm.common import materialize, slices
 
@@ -43,12 +45,14 @@ class ByteTokenizer:
     """Ids of a byte-level BPE file, as the tokenizers library gives without added special tokens.
 
     The file's vocabulary is read as byte ranks and encoded by tiktoken, which gives the same ids
-    several times faster.  Strings of special tokens in a text become their own ids.
+    several times faster.  Strings of special tokens in a text become their own ids.  A text that
+    tiktoken's pattern can't take (a run of some 700,000 spaces, say) goes to the library itself.
     """
 
     def __init__(self, path: str):
         import tiktoken
 
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -60,7 +64,17 @@ class ByteTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        return self.bpe.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        try:
+            return self.bpe.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        except ValueError:
+            return np.array(self._library().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _library(self) -> Tokenizer:
+        if self.library is None:
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return self.library
 
 
 _tokenizers: dict[str, ByteTokenizer] = {}
@@ -96,30 +110,33 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, s
     A document is the ids of its text and then ``end_id``.  Returns one row per piece: doc_id,
     start, length, ids_crc32, doc_tokens, sequence_id, offset, class.
 
-    Full stretches of ``capacity`` ids are class 1; the rest is cut by ``harmonic_cuts``.  The
-    pieces of a class fall into cells by a hash; each cell is numbered on its own, and the counts of
-    the cells before it say where its numbers start.  Number k of class j lies in bin k div j, so
-    one bin of a class at most stays part-filled.
+    Full stretches of ``capacity`` ids are class 1; the rest is cut by ``harmonic_cuts``.  Equal
+    pieces are counted before anything is numbered, and the distinct ones of a class fall into cells
+    by a hash of all they hold, about ``cell_rows`` in each; a cell is numbered on its own, and the
+    counts of the cells before it say where its numbers start.  Number k of class j lies in bin k
+    div j, so one bin of a class at most stays part-filled.
 
     Null or empty text packs as the end id alone.  Repeated rows are packed once each.  A null
-    doc_id is kept.  An empty table gives no rows; other columns are ignored.
+    doc_id is kept.  An empty table gives no rows; other columns are ignored.  Very long texts are
+    encoded whole, in memory in proportion to them.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = materialize(tokenize_and_cut(rows, tokenizer_path, capacity, slack, end_id), "pieces")
     cells = max(1024, pieces.count() // cell_rows)
-    pieces = pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "start"), F.lit(cells)))
-    counts = pieces.groupBy("class", "cell").agg(F.count(F.lit(1)).alias("n"))
+    cell = F.pmod(F.xxhash64(*pieces.columns), F.lit(cells)).cast("int")
+    distinct = pieces.groupBy(*pieces.columns).agg(F.count(F.lit(1)).alias("n")).withColumn("cell", cell)
+    counts = pieces.withColumn("cell", cell).groupBy("class", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("class").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     #: A row per class, at most ``capacity`` of them whatever the input.
     classes = counts.groupBy("class").agg(F.ceil(F.sum("n") / F.col("class")).cast("long").alias("bins"))
     first = Window.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
     classes = classes.select("class", F.coalesce(F.sum("bins").over(first), F.lit(0)).alias("first_bin"))
-    starts = counts.select("class", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("number")).join(classes, "class")
-    in_cell = Window.partitionBy("class", "cell").orderBy("doc_id", "start", "ids_crc32")
+    starts = counts.select("class", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at")).join(classes, "class")
+    in_cell = Window.partitionBy("class", "cell").orderBy("doc_id", "start", "ids_crc32", "doc_tokens", "length").rowsBetween(Window.unboundedPreceding, -1)
     numbered = (
-        pieces.withColumn("rank", F.row_number().over(in_cell) - 1)
+        distinct.withColumn("rank", F.coalesce(F.sum("n").over(in_cell), F.lit(0)))
         .join(starts, ["class", "cell"])
-        .withColumn("number", F.col("number") + F.col("rank"))
+        .withColumn("number", F.explode(F.sequence(F.col("at") + F.col("rank"), F.col("at") + F.col("rank") + F.col("n") - 1)))
         .withColumn("sequence_id", F.col("first_bin") + F.floor(F.col("number") / F.col("class")))
     )
     in_bin = Window.partitionBy("sequence_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
