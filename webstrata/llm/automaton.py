@@ -107,23 +107,92 @@ class TokenAutomaton:
             for c in whole:
                 node = arcs.setdefault(node << 8 | byte_of[c], len(arcs) + 1)
             ends[node] = i
+        self.longest = max(map(len, vocab))
         self.arc_keys = np.array(sorted(arcs), np.int64)
         self.arc_ends = np.array([arcs[k] for k in self.arc_keys.tolist()], np.int32)
         self.mid, self.last = np.full(len(arcs) + 1, -1, np.int32), np.full(len(arcs) + 1, -1, np.int32)
         for table, ends in ((self.mid, mid), (self.last, last)):
             table[list(ends)] = list(ends.values())
 
-    def encode_words(self, words: list[str], block: int = 4096) -> list[list[int]]:
-        """Token ids of each word (not empty).  Words of like length run through the tables together."""
+    def encode_words(self, words: list[str], cells: int = 1 << 20, alone: int = 4096) -> list[list[int]]:
+        """Token ids of each word (not empty).
+
+        Words of like length run through the tables together, in blocks of at most ``cells`` places
+        (words times the longest one's bytes); a word of more than ``alone`` bytes runs by itself.
+        """
         raw = [w.encode("utf-8", "replace") for w in words]
         order = sorted(range(len(raw)), key=lambda k: len(raw[k]))
         out: list[list[int]] = [[]] * len(raw)
-        for at in range(0, len(order), block):
-            part = order[at : at + block]
-            for k, ids in zip(part, self._run([raw[k] for k in part]), strict=True):
+        at = 0
+        while at < len(order):
+            if len(raw[order[at]]) > alone:
+                out[order[at]] = self._run_long(raw[order[at]])
+                at += 1
+                continue
+            end = at + 1
+            while end < len(order) and (end + 1 - at) * (len(raw[order[end]]) + 1) <= cells and len(raw[order[end]]) <= alone:
+                end += 1
+            for k, ids in zip(order[at:end], self._run([raw[k] for k in order[at:end]]), strict=True):
                 out[k] = ids
+            at = end
         return out
 
+    def _matches(self, word: bytes, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """End, start and token of every label that starts in word[begin:end], by end."""
+        flat = np.frombuffer(word, np.uint8)
+        start = np.arange(begin, end)
+        node = np.zeros(len(start), np.int64)
+        found: tuple[list, list, list] = ([], [], [])
+        for depth in range(len(word) - begin):
+            live = start + depth < len(word)
+            start, node = start[live], node[live]
+            key = node << 8 | flat[start + depth]
+            arc = np.minimum(np.searchsorted(self.arc_keys, key), len(self.arc_keys) - 1)
+            hit = self.arc_keys[arc] == key
+            start, node = start[hit], self.arc_ends[arc[hit]].astype(np.int64)
+            if not len(start):
+                break
+            token = np.where(start + depth + 1 == len(word), self.last[node], self.mid[node])
+            some = token >= 0
+            for col, v in zip(found, (start[some] + depth + 1, start[some], token[some]), strict=True):
+                col.append(v)
+        ends, starts, tokens = map(np.concatenate, found) if found[0] else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(ends, kind="stable")
+        return ends[order], starts[order], tokens[order]
+
+    def _run_long(self, word: bytes, block: int = 1 << 16) -> list[int]:
+        """One long word: labels are matched for a block of starts at a time, then taken by their ends.
+
+        An end whose labels may start in a later block too waits for it.  Token and start are kept for
+        each byte, and the states of the last ones.
+        """
+        n, wide = len(word), self.legal.shape[1]
+        if not hasattr(self, "_legal_bytes"):
+            self._legal_bytes = self.legal.tobytes()
+        legal, places, states = self._legal_bytes, self.place, self.state
+        state, token, back = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+        rest = (np.zeros(0, np.int64),) * 3
+        for begin in range(0, n, block):
+            end = min(n, begin + block)
+            ends, starts, tokens = (np.concatenate(x) for x in zip(rest, self._matches(word, begin, end), strict=True))
+            order = np.argsort(ends, kind="stable")
+            ends, starts, tokens = ends[order], starts[order], tokens[order]
+            ready = int(np.searchsorted(ends, end, side="right"))
+            rest = (ends[ready:], starts[ready:], tokens[ready:])
+            at, to = places[tokens[:ready]], states[tokens[:ready]]
+            low = max(0, begin - self.longest)  # states of earlier bytes are no longer asked for
+            window = state[low : end + 1].tolist()
+            for e, s, t, p, q in zip(ends[:ready].tolist(), starts[:ready].tolist(), tokens[:ready].tolist(), at.tolist(), to.tolist(), strict=True):
+                if legal[window[s - low] * wide + (p >> 3)] >> (p & 7) & 1:
+                    window[e - low] = q
+                    token[e], back[e] = t, s
+            state[low : end + 1] = window
+        ids, i = [], n
+        while i:
+            ids.append(int(token[i]))
+            i = int(back[i])
+        return ids[::-1]
+
     def _run(self, words: list[bytes]) -> list[list[int]]:
         n, size = len(words), np.array([len(w) for w in words])
         longest = int(size.max())
@@ -261,7 +330,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256; with ``keep_ids`` also ids (array<int>)
     and decoded (string).  Null text is empty: no ids, the digests of the empty string.  Repeated
-    rows and null ids pass through; an empty table gives no rows; other columns are ignored.
+    rows and null ids pass through; an empty table gives no rows; other columns are ignored.  Very
+    long texts and words take memory in proportion to their length.
 
     A map over partitions: no shuffle.  Tables of the automaton are built once per worker from the
     tokenizer's file, which every executor must see at ``tokenizer_path``.
