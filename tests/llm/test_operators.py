@@ -57,6 +57,21 @@ def test_packing_matches_brute_force(cases, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_long_white_space_and_repeats(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = docs(spark, [(1, " " * 1_000_000), (2, "a" + " " * 999_999 + "b")] + [(3, "x")] * 4000 + [(None, None)] * 3000 + [(4, PROSE), (4, PROSE + "!")])
+    got = packing.pack_documents(rows, path).toPandas()
+    tok = Tokenizer.from_file(path)
+    for doc_id, text in ((1, " " * 1_000_000), (2, "a" + " " * 999_999 + "b")):
+        ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        part = got[got.doc_id == doc_id].sort_values("start")
+        assert part.length.sum() == len(ids) and [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(part.start, part.length)] == part.ids_crc32.tolist()
+    assert (got.doc_id == 3).sum() == 4000 and got.doc_id.isna().sum() == 3000 and got[got.doc_id == 4].doc_tokens.nunique() == 2
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= 1024
+    assert got.sequence_id.nunique() == got.sequence_id.max() + 1
+
+
 def test_packing_pads_little(spark):
     rows = docs(spark, [(i, " ".join(["word"] * (7 + i * 37 % 900))) for i in range(3000)])
     got = packing.pack_documents(rows, public_tokenizers.path("byte_bpe_50k.json"))
@@ -130,6 +145,43 @@ def test_secret_spans(spark, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_words_need_more_entropy_than_prose(spark):
+    texts = ["electroencephalographically", "a-slug-of-some-words-that-goes-on/and-on", "QmZkXwVtRpLnJhGfDsAq", "aBcDeFgHiJkLmNoPqRsTuVwXyZ"]
+    got = {r.doc_id: r.spans for r in secrets.summarize_secrets(secrets.find_secrets(docs(spark, list(enumerate(texts))))).collect()}
+    assert got == {0: "", 1: "", 2: "entropy:0:20", 3: "entropy:0:26"}
+
+
+def test_secrets_in_very_long_texts(spark):
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    texts = ["z" * 1_000_000, "".join(rng.choice(letters, 200_000)), "token=abcdefgh1 " * 100_000, ("".join(rng.choice([*letters, *"0123456789"], 24)) + " deadbeef" * 3 + " ") * 3000, "secret=abcdef0123456789abcdef0123 " * 500]
+    found = secrets.find_secrets(docs(spark, list(enumerate(texts))), text=True).withColumn("spans", F.array_sort(F.concat("base", "added")))
+    got = {r.doc_id: r for r in found.select("doc_id", F.expr("transform(base, x -> concat_ws(':', x.k, x.s, x.e))").alias("base"), F.size("added").alias("added"), secrets.redacted("text", "spans").alias("clean")).collect()}
+    for i, text in enumerate(texts):
+        want = [":".join((str(secrets.KINDS.index(k)), a, b)) for k, a, b in (x.split(":") for x in brute_spans(text).split(",") if x)]
+        assert got[i].base == want
+    assert [got[i].added for i in range(3)] == [0, 1, 0] and got[3].added in (0, 3000) and got[4].added == 0
+    assert got[2].clean == "[SECRET] " * 100_000 and got[1].clean == "[SECRET]" and got[0].clean == texts[0] and got[4].clean == "[SECRET] " * 500
+
+
+def test_redaction_of_overlapping_spans(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice(list("abc é🙂漢"), 120))
+        spans = sorted((int(a), int(rng.integers(0, 4)), int(a + rng.integers(1, 30))) for a in rng.integers(0, 90, int(rng.integers(0, 25))))
+        rows.append((i, text, spans))
+    got = spark.createDataFrame(rows, f"i int, text string, spans array<{secrets.SPAN}>").select("i", secrets.redacted("text", "spans").alias("clean")).collect()
+    for r in got:
+        _, text, spans = rows[r.i]
+        out, at = "", 0
+        for s, _, e in spans:
+            if e > at:
+                out += text[at:s] + "[SECRET]" if s >= at else ""
+                at = e
+        assert r.clean == out + text[at:]
+
+
 def test_incremental_entropy_is_entropy(spark):
     rng = np.random.default_rng(3)
     texts = ["".join(rng.choice(list("abcXYZ0123456789+/"), int(rng.integers(20, 70)))) for _ in range(40)]
@@ -216,6 +268,19 @@ def test_bpe_automaton_matches_library(cases, empty):
     assert automaton.encode_documents(empty, path).count() == 0
 
 
+def test_bpe_of_very_long_words():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, encoder = Tokenizer.from_file(path), automaton.TextEncoder(path)
+    tok.no_truncation()
+    rng = np.random.default_rng(6)
+    letters = "".join(rng.choice(list("etaoinshrdluetaoinabcdefghijklmnopqrstuvwxyz"), 150_000))
+    for text in (letters, "é漢" * 40_000, " ".join([letters[:20_000], *(letters[k : k + 8] for k in range(0, 32_000, 8))])):
+        assert encoder.encode([text])[0][1] == " ".join(map(str, tok.encode(text, add_special_tokens=False).ids))
+    assert encoder.encode(["q" * 1_000_000])[0][0] > 0
+    words = [letters[k : k + 1 + k % 90].encode() for k in range(0, 20_000, 91)]
+    assert [encoder.automaton._run_long(w, 16) for w in words] == encoder.automaton.encode_words([w.decode() for w in words])
+
+
 def test_recent_forgets_but_stays_right():
     encoder = automaton.TextEncoder(public_tokenizers.path("word_bpe_49k.json"), room=40)
     texts = ["alpha beta gamma delta", "epsilon zeta eta theta", "alpha zeta", "gamma eta iota kappa lambda"] * 3
@@ -353,6 +418,14 @@ def test_sharding(cases, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_sharding_numbers_repeated_keys_without_gaps(spark):
+    rows = docs(spark, [(7, "same")] * 5000 + [(7, f"other {i}") for i in range(3000)] + [(None, None)] * 2000 + [(None, "")] * 10)
+    got = sharding.shard_documents(rows, shards=3).toPandas()
+    assert len(got) == 10_010 and got[got.doc_id == 7].shard.nunique() == 1 and got[got.doc_id.isna()].shard.nunique() == 1
+    for _, s in got.groupby("shard"):
+        assert sorted(s.slot) == list(range(len(s)))
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><p>Site head, it is.</p></header><div id="sidebar">Side, text.</div>
 <nav><ul><li><a href="/">Home</a></li></ul></nav><main><div class="cookie-notice">We use, cookies.</div><h1>Title &amp; x</h1><p>A <b>b</b>  c &eacute;<p>Second, para.
 With   text.<br>Third line.<ul><li>one<li>two <a href="x">link</a></ul><div class="comments"><p>Nice, article!</p></div><form><label>Name</label></form></main>

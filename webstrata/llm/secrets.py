@@ -8,6 +8,8 @@ string's character class.  An allow-list suppresses known harmless shapes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +20,11 @@ ASSIGN_CHARS = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
-#: Candidates: runs of these characters that hold a digit (prose does not).
-CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: Candidates: runs of these characters.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-#: Bits a character that a window needs, by character class.
-LIMITS = {"hex": 2.9, "alnum": 3.7, "base64": 3.8}
+#: Bits a character that a window needs, by character class; words: a run without a digit, as in prose.
+LIMITS = {"words": 4.0, "hex": 2.9, "alnum": 3.7, "base64": 3.8}
 #: Harmless: numbers, UUIDs, dates and versions, checksums named as such, documented sample keys.
 ALLOW = (
     r"^[0-9_+/=-]+$",
@@ -33,16 +35,31 @@ ALLOW = (
 SPAN = "struct<s:int,k:int,e:int>"
 
 
+def _scan(count: str, zero: str, move: Callable[[str, str], str], emit: Callable[[str, str], str], item: str, part: str = "0") -> str:
+    """SQL of a running pass over items 0 to count - 1: a state moves on, arrays of ``item`` are emitted.
+
+    Appending to one array copies it each time, which is quadratic.  So the items go in blocks of
+    about the square root of their number: a first pass notes the state before each block, a second
+    one emits block by block.  ``part`` is kept with each block (as x.part; x.s is the state before it,
+    and last the block's last item).
+    """
+    until = f"least(b + w, {count}) - 1"
+    return f"""CASE WHEN {count} > 0 THEN transform(array(int(ceil(sqrt({count})))), w -> flatten(transform(
+        aggregate(sequence(0, {count} - 1, w), named_struct('s', {zero}, 'blocks', slice(array(named_struct('b', 0, 'last', 0, 's', {zero})), 1, 0)),
+            (a, b) -> named_struct('s', aggregate(sequence(b, {until}), a.s, (s, i) -> {move('s', 'i')}), 'blocks', array_append(a.blocks, named_struct('b', b, 'last', {until}, 's', a.s))),
+            a -> transform(a.blocks, y -> named_struct('b', y.b, 'last', y.last, 's', y.s, 'part', {part}))),
+        x -> aggregate(sequence(x.b, x.last), named_struct('s', x.s, 'out', cast(array() AS array<{item}>)),
+            (a, i) -> named_struct('s', {move('a.s', 'i')}, 'out', concat(a.out, {emit('a.s', 'i')})), a -> a.out))))[0]
+        ELSE cast(array() AS array<{item}>) END"""
+
+
 def _spans(pieces: str, hits: str, kind: int, keep: str = "true") -> Column:
     """Spans of matches from the text between them and the matches: running lengths."""
-    return F.expr(f"""
-        CASE WHEN size({hits}) > 0 THEN aggregate(sequence(0, size({hits}) - 1),
-            named_struct('at', 0, 'out', cast(array() AS array<{SPAN}>)),
-            (a, i) -> named_struct(
-                'at', a.at + length({pieces}[i]) + length({hits}[i]),
-                'out', CASE WHEN {keep} THEN array_append(a.out, named_struct('s', a.at + length({pieces}[i]), 'k', {kind}, 'e', a.at + length({pieces}[i]) + length({hits}[i]))) ELSE a.out END),
-            a -> a.out)
-        ELSE cast(array() AS array<{SPAN}>) END""")
+    none = f"cast(array() AS array<{SPAN}>)"
+    return F.expr(_scan(
+        f"size({hits})", "0", lambda s, i: f"{s} + length({pieces}[{i}]) + length({hits}[{i}])",
+        lambda s, i: f"CASE WHEN {keep} THEN array(named_struct('s', {s} + length({pieces}[{i}]), 'k', {kind}, 'e', {s} + length({pieces}[{i}]) + length({hits}[{i}]))) ELSE {none} END", SPAN,
+    ))
 
 
 def _least_sum(c: str) -> str:
@@ -51,15 +68,15 @@ def _least_sum(c: str) -> str:
     Entering makes a count n into n+1, leaving back into n-1; only those two terms change.
     """
     term = "CASE WHEN {0} > 1 THEN {0} * log2({0}) ELSE 0D END"
-    enter, leave = "array_position(x.names, x.chars[i])", f"CASE WHEN i >= {WINDOW} THEN array_position(x.names, x.chars[i - {WINDOW}]) ELSE 0 END"
-    moved = f"transform(a.n, (v, k) -> v + CASE WHEN k + 1 = {enter} THEN 1 ELSE 0 END - CASE WHEN k + 1 = {leave} THEN 1 ELSE 0 END)"
+    enter, leave = "x.at[i]", f"CASE WHEN i >= {WINDOW} THEN x.at[i - {WINDOW}] ELSE -1 END"
+    moved = f"transform(a.n, (v, k) -> v + CASE WHEN k = {enter} THEN 1 ELSE 0 END - CASE WHEN k = {leave} THEN 1 ELSE 0 END)"
     changed = (
         f"CASE WHEN {enter} = {leave} THEN 0D ELSE "
-        f"{term.format(f'(a.n[int({enter} - 1)] + 1)')} - {term.format(f'a.n[int({enter} - 1)]')}"
-        f" + CASE WHEN {leave} > 0 THEN {term.format(f'(a.n[int({leave} - 1)] - 1)')} - {term.format(f'a.n[int({leave} - 1)]')} ELSE 0D END END"
+        f"{term.format(f'(a.n[{enter}] + 1)')} - {term.format(f'a.n[{enter}]')}"
+        f" + CASE WHEN {leave} >= 0 THEN {term.format(f'(a.n[{leave}] - 1)')} - {term.format(f'a.n[{leave}]')} ELSE 0D END END"
     )
-    return f"""transform(array(named_struct('chars', split({c}, ''), 'names', array_distinct(split({c}, '')))), x ->
-        aggregate(sequence(0, size(x.chars) - 1),
+    return f"""transform(transform(array(split({c}, '')), c -> transform(array(array_distinct(c)), names -> named_struct('names', names, 'at', transform(c, y -> int(array_position(names, y)) - 1)))[0]), x ->
+        aggregate(sequence(0, size(x.at) - 1),
             named_struct('n', transform(x.names, v -> 0), 'sum', 0D, 'best', double('Infinity')),
             (a, i) -> named_struct('n', {moved}, 'sum', a.sum + {changed},
                 'best', CASE WHEN i >= {WINDOW - 1} THEN least(a.best, a.sum + {changed}) ELSE a.best END),
@@ -69,8 +86,9 @@ def _least_sum(c: str) -> str:
 def _suspicious(c: str) -> str:
     """Condition on a candidate: not allowed, and some window reaches the limit of its class."""
     allowed = " OR ".join(f"{c} rlike r'{p}'" for p in ALLOW)
-    limit = f"CASE WHEN {c} rlike '^[0-9a-fA-F]+$' THEN {LIMITS['hex']}D WHEN {c} rlike '^[A-Za-z0-9]+$' THEN {LIMITS['alnum']}D ELSE {LIMITS['base64']}D END"
-    return f"CASE WHEN {allowed} THEN false ELSE log2({WINDOW}) - {_least_sum(c)} / {WINDOW} >= {limit} END"
+    limit = f"CASE WHEN NOT {c} rlike '[0-9]' THEN {LIMITS['words']}D WHEN {c} rlike '^[0-9a-fA-F]+$' THEN {LIMITS['hex']}D WHEN {c} rlike '^[A-Za-z0-9]+$' THEN {LIMITS['alnum']}D ELSE {LIMITS['base64']}D END"
+    few = f"log2(size(array_distinct(split({c}, '')))) < {limit}"  # no window can reach the limit
+    return f"CASE WHEN {allowed} THEN false WHEN {few} THEN false ELSE log2({WINDOW}) - {_least_sum(c)} / {WINDOW} >= {limit} END"
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text: bool = False) -> DataFrame:
@@ -78,7 +96,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Offsets are code points, end exclusive; k counts KINDS.  A candidate inside a base span adds
     nothing.  Null text is empty: no spans.  Repeated rows and null ids pass through; an empty
-    table gives no rows.  A projection: no shuffle, and nothing is kept between rows.
+    table gives no rows.  A projection: no shuffle, and nothing is kept between rows.  Very long texts
+    and runs take time in proportion to their length, and to hits times the root of their number.
     """
     none = F.expr("cast(array() AS array<string>)")
     t = F.col("text")
@@ -115,8 +134,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         _spans("entropy_pieces", "entropy_hits", 3, _suspicious("entropy_hits[i]")).alias("d"),
     )
     rows = rows.select("doc_id", "text", F.array_sort(F.concat("a", "b", "c")).alias("base"), "d")
-    added = F.expr("filter(d, x -> NOT exists(base, y -> y.s <= x.s AND x.e <= y.e))")
-    return rows.select("doc_id", "base", F.when(F.size("d") > 0, added).otherwise(F.col("d")).alias("added"), *(["text"] if text else []))
+    rows = rows.withColumn("both", F.when(F.size("d") > 0, F.array_sort(F.concat("base", "d"))).otherwise(F.col("d")))
+    outside = _scan(  # base spans come first where starts are equal; the state is the farthest end of one so far
+        "size(both)", "0", lambda s, i: f"CASE WHEN both[{i}].k < 3 THEN greatest({s}, both[{i}].e) ELSE {s} END",
+        lambda s, i: f"CASE WHEN both[{i}].k = 3 AND both[{i}].e > {s} THEN array(both[{i}]) ELSE cast(array() AS array<{SPAN}>) END", SPAN,
+    )
+    return rows.select("doc_id", "base", F.expr(outside).alias("added"), *(["text"] if text else []))
 
 
 def _listed(spans: str) -> Column:
@@ -143,10 +166,14 @@ def summarize_secrets(found: DataFrame) -> DataFrame:
 
 
 def redacted(text: str, spans: str, mark: str = "[SECRET]") -> Column:
-    """The text column with every stretch covered by spans (sorted by start) replaced by one mark."""
-    return F.expr(f"""
-        CASE WHEN size({spans}) = 0 THEN {text} ELSE aggregate({spans}, named_struct('at', 0, 'out', ''),
-            (a, x) -> CASE WHEN x.e <= a.at THEN a
-                WHEN x.s < a.at THEN named_struct('at', x.e, 'out', a.out)
-                ELSE named_struct('at', x.e, 'out', concat(a.out, substring({text}, a.at + 1, x.s - a.at), '{mark}')) END,
-            a -> concat(a.out, substring({text}, a.at + 1))) END""")
+    """The text column with every stretch covered by spans (sorted by start) replaced by one mark.
+
+    A block of spans works on its own part of the text, so that no step walks the whole of it.
+    """
+    end, start = f"{spans}[{{i}}].e".format, f"{spans}[{{i}}].s".format
+    pieces = _scan(
+        f"size({spans})", "0", lambda s, i: f"greatest({s}, {end(i=i)})",
+        lambda s, i: f"CASE WHEN {start(i=i)} >= {s} AND {end(i=i)} > {s} THEN array(concat(substring(x.part, {s} - x.s + 1, {start(i=i)} - {s}), '{mark}')) ELSE cast(array() AS array<string>) END",
+        "string", part=f"substring({text}, y.s + 1, greatest(0, {spans}[y.last].s - y.s))",
+    )
+    return F.expr(f"CASE WHEN size({spans}) = 0 THEN {text} ELSE array_join(concat({pieces}, array(substring({text}, array_max(transform({spans}, y -> y.e)) + 1))), '') END")

@@ -48,14 +48,15 @@ def jump_shard(key: Column, shards: int) -> Column:
     return place(_md5_bits(key, 1, 16))
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", cells: int = 256) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = 100_000) -> DataFrame:
     """Place every row in a shard and number the rows of each shard from 0 without gaps.
 
     Returns doc_id, size, text_crc32, law ('key'), shard, slot, grown_shard (with one more shard).
 
-    Slots: a shard's rows fall into ``cells`` cells by their key's hash; each cell is numbered on
-    its own and starts after the rows of the cells before it, so no task holds a whole shard.
-    Rows of a shard and cell are ordered by key, size and checksum.
+    Slots: equal rows (key, size, checksum) are counted first.  A shard's distinct rows fall into
+    cells by a hash of all three, so many that a cell holds about ``cell_rows`` rows of an even table;
+    each is numbered on its own and starts after the rows of the cells before it, so no task holds a
+    whole shard, nor all rows of a key that repeats.  A cell's rows go by key, size and checksum.
 
     Null text counts as no bytes (size 16, checksum 0).  A null key is hashed like an empty one.
     Repeated rows get a slot each.  An empty table gives no rows; other columns are ignored.
@@ -64,18 +65,25 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
+        key.alias("key"),
         (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        jump_shard(key, shards).alias("shard"),
-        jump_shard(key, shards + 1).alias("grown_shard"),
-        F.pmod(_md5_bits(key, 17, 8), F.lit(cells)).cast("int").alias("cell"),
     )
-    counts = rows.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = max(256, docs.count() // (shards * cell_rows))
+    same = rows.groupBy("doc_id", "key", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    placed = same.select(
+        "doc_id", "size", "text_crc32", "n",
+        jump_shard(F.col("key"), shards).alias("shard"),
+        jump_shard(F.col("key"), shards + 1).alias("grown_shard"),
+        F.pmod(_md5_bits(F.concat_ws(":", "key", "size", "text_crc32"), 17, 8), F.lit(cells)).cast("int").alias("cell"),
+    )
+    counts = placed.groupBy("shard", "cell").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    in_cell = Window.partitionBy("shard", "cell").orderBy("doc_id", "size", "text_crc32")
+    in_cell = Window.partitionBy("shard", "cell").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("start") + F.coalesce(F.sum("n").over(in_cell), F.lit(0))
     return (
-        rows.withColumn("rank", F.row_number().over(in_cell) - 1)
-        .join(starts, ["shard", "cell"])
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("rank")).cast("long").alias("slot"), "grown_shard")
+        placed.join(starts, ["shard", "cell"])
+        .withColumn("first", first)
+        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"), "grown_shard")
     )

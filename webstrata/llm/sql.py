@@ -42,9 +42,9 @@ def _found(name: str, pattern: str, keep: str) -> str:
 _VALUE = f"length(regexp_extract(v, '{_ASSIGN}', 1)) >= 6"
 SQL["op3_entropy_secrets"] = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),{_found('assign', _ASSIGN, _VALUE)},{_found('access', 'AKIA[A-Z0-9]+', 'length(v) >= 20')},{_found('hex', '[0-9a-f]+', 'length(v) >= 24')},
-{_found('cand', _CANDIDATE, "regexp_matches(v, '[0-9]')").strip()},
+{_found('cand', _CANDIDATE, 'true').strip()},
 base AS (SELECT doc_id, s, 0 AS k, e FROM assign UNION ALL SELECT doc_id, s, 1, e FROM access UNION ALL SELECT doc_id, s, 2, e FROM hex),
-shape AS (SELECT doc_id, s, e, v, CASE WHEN regexp_full_match(v, '[0-9a-fA-F]+') THEN 2.9 WHEN regexp_full_match(v, '[A-Za-z0-9]+') THEN 3.7 ELSE 3.8 END AS need FROM cand
+shape AS (SELECT doc_id, s, e, v, CASE WHEN NOT regexp_matches(v, '[0-9]') THEN 4.0 WHEN regexp_full_match(v, '[0-9a-fA-F]+') THEN 2.9 WHEN regexp_full_match(v, '[A-Za-z0-9]+') THEN 3.7 ELSE 3.8 END AS need FROM cand
   WHERE NOT regexp_full_match(v, '[0-9_+/=-]+') AND NOT regexp_full_match(v, '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}')
   AND NOT regexp_matches(v, '^(sha1|sha256|sha384|sha512|md5)[-_=]') AND NOT regexp_matches(v, '(?i)example|sample|placeholder|x{{6,}}')),
 wins AS (SELECT doc_id, s, e, need, i, unnest(string_split(substr(v, i, 20), '')) AS c FROM (SELECT *, unnest(range(1, length(v) - 18)) AS i FROM shape)),
@@ -79,5 +79,5 @@ poly(i, n, c) AS (SELECT unnest(range(256)), 0, CAST(unnest(range(256)) AS BIGIN
 tab AS (SELECT list(c ORDER BY i) AS t FROM poly WHERE n = 8),
 hx AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) + 16 AS size FROM documents),
 crc AS (SELECT doc_id, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(h) // 2), lambda i: CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT))), lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1])), CAST(4294967295 AS BIGINT)) AS text_crc32 FROM hx, tab),
-j AS (SELECT crc.doc_id, CAST(size AS BIGINT) AS size, text_crc32, a_s.shard, g_s.shard AS grown_shard, CAST(('0x' || substr(md5(CAST(crc.doc_id AS VARCHAR)), 17, 8)) AS BIGINT) % 256 AS cell FROM crc JOIN a_s USING (doc_id) JOIN g_s USING (doc_id))
+j AS (SELECT crc.doc_id, CAST(size AS BIGINT) AS size, text_crc32, a_s.shard, g_s.shard AS grown_shard, CAST(('0x' || substr(md5(concat_ws(':', CAST(crc.doc_id AS VARCHAR), size, text_crc32)), 17, 8)) AS BIGINT) % greatest(256, (SELECT count(*) FROM documents) // 4000000) AS cell FROM crc JOIN a_s USING (doc_id) JOIN g_s USING (doc_id))
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY cell, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM j"""
