@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -465,6 +466,75 @@ def test_names_do_not_outweigh_text():
     assert extraction.main_text(page) == f"{want}\n{para}\nOne line."
 
 
+def test_wrappers_keep_the_article():
+    para = "A paragraph of the article, which is long enough; it has marks, commas, and stops, as prose does."
+    inner = f"<h1>Title</h1><p>{para}</p><p>{para}</p>"
+    for open_, close in (("<div class='page with-sidebar'>", "</div>"), ("<form id=f>", "</form>"), ("<div class='content-wrap no-comments'>", "</div>"), ("<div class='page with-sidebar'><form>", "</form></div>")):
+        for body in (inner, f"<article>{inner}</article>"):
+            page = f"<html><body>{open_}<nav><a href=/>Home</a></nav>{body}<footer>Us</footer>{close}</body></html>"
+            assert extraction.main_text(page) == f"Title\n{para}\n{para}"
+    assert extraction.main_text(f"<article>{inner}<form><label>Name</label></form></article>") == f"Title\n{para}\n{para}"
+
+
+def test_ratios_select_without_names_or_article():
+    rng = np.random.default_rng(12)
+    changed = 0
+    for _ in range(60):
+        def words(n):
+            return " ".join("".join(rng.choice(list("etaoinshrdlu"), int(rng.integers(2, 9)))) for _ in range(n))
+
+        links = "<ul>" + "".join(f"<li><a href=/{k}>{words(2)}</a></li>" for k in range(int(rng.integers(4, 9)))) + "</ul>"
+        short = "".join(f"<p>{words(2)}</p>" for _ in range(int(rng.integers(3, 7))))
+        title, item = words(6), words(2)
+        paras = [f"{words(14)}, {words(9)}; {words(12)}." for _ in range(int(rng.integers(4, 9)))]
+        parts = [f"<div class=b>{links}</div>", f"<div class=d>{short}</div>", f"<div class=c><h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in paras) + f"<ul><li>{item}</ul></div>", f"<div class=e>{words(3)}</div>"]
+        order = rng.permutation(4)
+        page = "<html><body>" + "".join(parts[k] for k in order) + "</body></html>"
+        assert extraction.main_text(page) == "\n".join([title, *paras, item])
+        changed += extraction.main_text(page, share=0.0) != extraction.main_text(page)
+    assert changed == 60
+
+
+def brute_ratio_paths(blocks, share):
+    """The rule over plain (container, leaf, text, link characters) blocks of one depth, without an article."""
+    marks = extraction.MARKS
+    by = {}
+    for c, leaf, text, linked in blocks:
+        by.setdefault((c, leaf), []).append((text, linked))
+    chars = {p: sum(len(t) for t, _ in b) for p, b in by.items()}
+    fused = {p: np.log1p(chars[p] / len(b)) * (1 + np.log1p(sum(t.count(m) for t, _ in b for m in marks) / len(b))) * (1 - sum(x for _, x in b) / chars[p]) for p, b in by.items()}
+    smooth = {p: (fused[p] + sum(fused[q] * chars[q] for q in by if q[0] == p[0]) / sum(chars[q] for q in by if q[0] == p[0])) / 2 for p in by}
+    level = sum(smooth[p] * chars[p] for p in by) / sum(chars.values())
+    main = max({p[0] for p in by}, key=lambda c: sum(smooth[p] * chars[p] for p in by if p[0] == c))
+    return {p for p in by if smooth[p] >= (1 if p[0] == main or p[1] in extraction.HEADING else extraction.FAR) * share * level}
+
+
+def test_ratios_match_brute_force():
+    rng = np.random.default_rng(13)
+    for _ in range(80):
+        blocks, page = [], "<html><body>"
+        for c in range(int(rng.integers(2, 6))):
+            page += f"<div class=k{c}>"
+            for _ in range(int(rng.integers(1, 6))):
+                leaf = str(rng.choice(["p", "h2", "pre", "address"]))
+                text = " ".join("w" * int(rng.integers(1, 9)) + str(rng.choice(["", "", ",", "."])) for _ in range(int(rng.integers(1, 40))))
+                linked = text[: int(rng.integers(0, len(text) // 2 + 1))].strip() if rng.random() < 0.4 else ""
+                page += f"<{leaf}>" + (f"<a href=x>{linked}</a>{text[len(linked):]}" if linked else text) + f"</{leaf}>"
+                blocks.append((c, leaf, text, len(linked)))
+            page += "</div>"
+        keep = brute_ratio_paths(blocks, 0.25)
+        assert extraction.main_text(page + "</body></html>") == "\n".join(t for c, leaf, t, _ in blocks if (c, leaf) in keep)
+
+
+def test_hostile_pages_take_linear_time():
+    pages = ["<a " * 350_000, '<a "' * 250_000, "<![CDATA[" * 110_000, "<div>x" * 60_000 + "</p>" * 60_000, "<" * 1_000_000, "<script>" * 100_000, "<span class=ad>" * 60_000 + "x", "<ul><li>" * 60_000]
+    for page in pages:
+        began = time.time()
+        extraction.main_text(page)
+        assert time.time() - began < 10
+    assert extraction.main_text("<script>if (a<b) x='</p>\"</script><p>One &lt; two, three.") == "One < two, three."
+
+
 def test_extract_pages(spark, sf):
     rows = spark.createDataFrame([(1, None, PAGE, "x"), (2, "u", None, "y"), (1, None, PAGE, "x"), (None, "u", "", "z")], "page_id long, url string, html string, text string")
     got = extraction.extract_pages(rows).toPandas()
