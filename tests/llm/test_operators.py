@@ -381,13 +381,91 @@ def test_wrapped_licenses(spark):
     assert got[5].spans.startswith(f"GPL:{len(PROSE) + 1}:") and got[5].n_paragraphs == 8
 
 
-def test_near_misses_are_learned_beside_a_large_background(monkeypatch):
-    learned = []
-    monkeypatch.setattr(licenses, "features", lambda p, bits, make=licenses.features: learned.append(p) or make(p, bits))
-    many = [f"Plain paragraph {i} of a large table." for i in range(700)]
-    licenses.train(many, rounds=1)
-    assert {"Copyright law is taught here.", "All rights and duties.", "Released in spring."} <= set(learned)
-    assert len(set(learned) & set(many)) == 500
+def brute_notices(model, lines, overlap):
+    """The same decisions by plain loops: one feature set a stretch, every window of every template."""
+    words = [licenses._WORD.findall(line) for line in lines]
+    flat = [(w, i) for i, line in enumerate(words) for w in line]
+    text = [w for w, _ in flat]
+    at = [sum(map(len, words[:i])) for i in range(len(lines) + 1)]
+    stretches = [(at[i], at[i + 1], at[i], at[i + 1], True) for i in range(len(lines)) if words[i]]
+    i = 0
+    while i < len(lines):
+        j = i
+        while j < len(lines) and lines[j].strip():
+            j += 1
+        if j - i > 1 or at[j] - at[i] > licenses.WINDOW:
+            stretches += [(s, min(s + licenses.WINDOW, at[j]), at[i], at[j], False) for s in range(at[i], max(at[i] + 1, at[j] - licenses.STEP), licenses.STEP)]
+        i = j + 1
+    proposed = []
+    for n, (a, b, low, high, line) in enumerate(stretches):
+        x = licenses.features(" ".join(text[a:b]), model.bits)
+        z = (model.weights[x].astype(float).sum(axis=0) / max(1, len(x)) ** 0.5 + model.bias) / model.temperature
+        q = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        k = int(q[:-1].argmax())
+        if q[k] >= model.least and q[k] > q[-1]:
+            proposed.append(((not line, 0 if line else -round(float(q[k]), 9), a), a, b, low, high, line, model.families[k]))
+    out, taken = [], set()
+    for _, a, b, low, high, line, family in sorted(proposed):
+        best, place = 0.0, None
+        for template in licenses.TEMPLATES[family]:
+            t = licenses._WORD.findall(template.lower())
+            pairs = set(zip(t, t[1:]))
+            first, last = max(low, a - 2 * len(t)), min(high, b + 2 * len(t))
+            for s in range(first, min(b, last - 1)):
+                hits = [j for j in range(s, min(s + 2 * len(t) - 1, last - 1)) if (text[j], text[j + 1]) in pairs]
+                share = len({(text[j], text[j + 1]) for j in hits}) / len(pairs)
+                if hits and hits[0] == s and share >= overlap and share > best:
+                    best, place = share, (s, hits[-1] + 2)
+        if place is None and line and any(set(zip(t, t[1:])) <= set(zip(text[a:b], text[a + 1 : b])) and b - a <= len(t) + 2 for t in (licenses._WORD.findall(x.lower()) for x in licenses.TITLES.get(family, []))):
+            place = a, b
+        if place:
+            span = set(range(flat[place[0]][1], flat[place[1] - 1][1] + 1))
+            if not span & taken:
+                taken |= span
+                out.append((family, min(span), max(span)))
+    return sorted(out, key=lambda f: f[1])
+
+
+def test_licenses_match_brute_force():
+    rng = np.random.default_rng(21)
+    plain = [" ".join("".join(rng.choice(list("etaoinshrdlu"), int(rng.integers(2, 8)))) for _ in range(24)) for _ in range(300)]
+    model = licenses.train(plain)
+    every = [t for ts in [*licenses.TEMPLATES.values(), *licenses.TITLES.values(), *licenses.HELD_OUT.values()] for t in ts] + [MIT, BSD, GPL, *licenses.NEAR_MISSES]
+    found = 0
+    for _ in range(120):
+        parts = []
+        for _ in range(int(rng.integers(1, 8))):
+            words = (every[int(rng.integers(0, len(every)))] if rng.random() < 0.6 else plain[int(rng.integers(0, 300))]).split()
+            wrap = int(rng.choice([4, 9, 1000]))
+            parts.append(("\n" if rng.random() < 0.8 else " ").join(" ".join(words[k : k + wrap]) for k in range(0, len(words), wrap)))
+        lines = str(rng.choice(["\n", "\n\n"])).join(parts).lower().split("\n")
+        got = licenses.notices(model, lines, 0.6)
+        assert [g[:3] for g in got] == brute_notices(model, lines, 0.6)
+        found += len(got)
+    assert found > 100
+
+
+def test_classifier_proposes_and_templates_confirm(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    paragraphs = licenses.background(rows)
+    assert paragraphs and max(map(len, paragraphs)) <= 400
+    model = licenses.train(paragraphs)
+    fit, held = licenses.examples(paragraphs, 10, 11)
+    assert {(p, len(licenses.TEMPLATES)) for p in licenses.NEAR_MISSES} <= set(fit) and not {p for p, _ in fit} & {t for ts in licenses.HELD_OUT.values() for t in ts}
+    right = {True: [], False: []}
+    for text, k in held:
+        p = licenses._softmax(licenses.logits(model, text) / model.temperature)
+        given = int(p[:-1].argmax()) if p[:-1].max() >= model.least else len(licenses.TEMPLATES)
+        right[k == len(licenses.TEMPLATES)].append(given == k)
+    assert np.mean(right[False]) > 0.7 and np.mean(right[True]) > 0.98
+    from collections import Counter
+
+    decided = Counter()
+    for r in rows.select("text").filter("text IS NOT NULL").collect():
+        licenses.notices(model, r.text.lower().split("\n"), 0.6, decided)
+    assert decided["scored"] > decided["proposed"] >= decided["confirmed"] > 0
+    one_line = " ".join(w for t in (PROSE, MIT.replace("\n", " "), PROSE * 3) for w in t.split())
+    assert [n[0] for n in licenses.notices(model, [one_line.lower()], 0.6)] == ["MIT"]
 
 
 def plain_jump(key, n):
