@@ -652,11 +652,58 @@ def test_neighbours_edges(spark):
     assert neighbours.search(few.limit(0)).count() == 0
 
 
-def test_pigeonhole_finds_every_code_in_reach():
+def test_neighbours_repeated_ids_and_ties(spark):
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((400, 8))
+    x[100:180] = x[7]  # equal vectors: ties go to the smaller id
+    rows = [(i, v.tolist(), "q", 1) for i, v in enumerate(x)] + [(20, (-x[20]).tolist(), "q", 2), (20, x[20].tolist(), "q", 3), (33, x[33].tolist(), "q", 4)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string, rank int").repartition(7)
+    got = neighbours.search(frame, block=90, query_block=5).toPandas()
+    assert (got.groupby("query_id").size() == 20).all() and set(got.query_id) == set(range(0, 400, 20))
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        v = np.array(min(r[1] for r in rows if r[0] == q))
+        every = sorted((-float(neighbours.exact_scores(np.array([r[1]]), v)[0]), r[0]) for r in rows if r[0] != q)
+        g = g.sort_values("rank")
+        assert list(zip(-g.score, g.vec_id)) == sorted(zip(-g.score, g.vec_id))
+        assert set(zip(-g.score, g.vec_id)) <= set(every)
+        hits += len(set(g.vec_id) & {i for _, i in every[:20]})
+    assert hits / len(got) >= 0.9
+    again = neighbours.search(frame.repartition(3), block=200, query_block=7).toPandas()
+    key = ["query_id", "rank", "vec_id", "score"]
+    assert len(again) == len(got) and (again.merge(got, on=["query_id", "vec_id"]).eval("score_x == score_y")).all() and list(again.columns) == key
+
+
+def test_probing_finds_every_code_in_reach():
     rng = np.random.default_rng(4)
-    codes = rng.integers(0, 256, (500, 8), dtype=np.uint8)
+    codes = rng.integers(0, 1 << neighbours.BITS, (3000, 4)).astype(np.uint16)
     index = neighbours.SubstringIndex(codes)
-    for radius in (3, 11, 20, 27):
+    for flips in (0, 1, 3, 6):
         for q in range(5):
-            distance = np.bitwise_count(codes ^ codes[q]).sum(axis=1)
-            assert index.within(codes[q], radius).tolist() == np.flatnonzero(distance <= radius).tolist()
+            differing = np.bitwise_count(codes ^ codes[q])
+            found = index.probe(codes[q], flips)
+            assert found.tolist() == np.flatnonzero((differing <= flips).any(axis=1)).tolist()
+            assert set(np.flatnonzero(differing.sum(axis=1) <= 4 * (flips + 1) - 1)) <= set(found)
+    assert len(index.candidates(codes[0], 0, 50)) >= 50 and len(index.candidates(codes[0], 0, 10_000)) == 3000
+
+
+def test_probing_reads_few_rows_and_finds_the_nearest(sf):
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(15)
+    table = pq.read_table(f"{sf}/embeddings.parquet")
+    centres = rng.standard_normal((200, 48))
+    sets = [(np.stack(table["embedding"].to_numpy()).astype(float), 0.5, 0.9), (centres[rng.integers(0, 200, 8000)] + 0.3 * rng.standard_normal((8000, 48)), 0.1, 0.9)]
+    for x, most, least in sets:
+        coder = neighbours.learn_coder(x[rng.permutation(len(x))[:2048]], len(x))
+        codes = coder.encode(x)
+        index = neighbours.SubstringIndex(codes)
+        hits = read = 0
+        for q in range(0, len(x), 20):
+            near = index.candidates(codes[q], coder.flips, 21)
+            read += len(near)
+            score = x @ x[q]
+            score[q] = -np.inf
+            hits += len(set(np.argsort(-score)[:20]) & set(near))
+        n = len(range(0, len(x), 20))
+        assert read / n / len(x) <= most and hits / n / 20 >= least

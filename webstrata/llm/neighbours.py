@@ -1,112 +1,155 @@
 """Approximate nearest neighbours by multi-index hashing over learned rotated binary codes.
 
 Rotations are learned on a bounded sample (iterative quantisation).  A code splits into substrings,
-each with an index of its own.  For a radius, the pigeonhole principle says in how many bits one
-substring at least may differ, so probing the substrings' buckets finds every code within the
-radius; those are reranked by the inner product of the original vectors.
+each with an index of its own.  Probing every bucket within ``flips`` bits of the query's substring, in
+all of L substrings, finds every code within Hamming radius L * (flips + 1) - 1 (the pigeonhole
+principle), and of the farther ones those that agree well enough in some substring.  What is found is
+reranked by the inner product of the original vectors.  How many substrings there are and how many
+bits are flipped is learned too: the choice that reads the fewest rows among those that find enough of
+the sample's own neighbours.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webstrata.llm.common import hashed_sample
+from webstrata.llm.common import hashed_sample, materialize
 
-BYTE_DISTANCE = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
+#: Bits of a substring, and most substrings.
+BITS, MOST = 15, 320
+#: Masks of BITS bits by number of ones, and how many have at most so many.
+MASKS = np.argsort(np.bitwise_count(np.arange(1 << BITS)), kind="stable").astype(np.int64)
+WITHIN = np.cumsum(np.bincount(np.bitwise_count(np.arange(1 << BITS))))
 
 
 class Coder(NamedTuple):
-    """Projection to bits, and the Hamming radius that is probed."""
+    """Projection to the bits of ``tables`` substrings, the bits that are flipped, and what the sample showed."""
 
     mean: np.ndarray
     projection: np.ndarray
-    radius: int
+    flips: int
+    recall: float
+    share: float
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        return np.packbits((x - self.mean) @ self.projection > 0, axis=1)
+        """Rows by substrings, each an unsigned 16-bit value."""
+        bits = ((x - self.mean).astype(np.float32) @ self.projection > 0).reshape(len(x), -1, BITS)
+        return (bits * (1 << np.arange(BITS))).sum(axis=2, dtype=np.int64).astype(np.uint16)
 
+    @property
+    def radius(self) -> int:
+        return self.projection.shape[1] // BITS * (self.flips + 1) - 1
 
-def learn_coder(sample: np.ndarray, k: int = 20, tables: int = 4, rounds: int = 20, recall: float = 0.95, seed: int = 7) -> Coder:
-    """Learn ``tables`` rotations of the sample's principal axes and the radius that finds neighbours.
 
-    The radius is the distance within which the share ``recall`` of the sample's own k nearest
-    neighbours lie.  A sample is thinner than the whole, so its neighbours are farther, not nearer.
+def learn_coder(sample: np.ndarray, total: int, k: int = 20, recall: float = 0.94, rounds: int = 8, most_probes: int = 20_000, seed: int = 7) -> Coder:
+    """Learn rotations of the sample's principal axes, the number of substrings and the bits to flip.
+
+    A sample of a table of ``total`` rows is thinner than the table, so of each sampled row not the k
+    nearest count but as many as lie among the k nearest of the table, one at least.  Of the choices that
+    find the share ``recall`` of these, with ``most_probes`` buckets a query at most, the one that reads
+    the least share of other rows is taken; if there is none, the least flips that do.
     """
     rng = np.random.default_rng(seed)
     mean = sample.mean(axis=0)
-    x = sample - mean
-    axes = np.linalg.svd(x, full_matrices=False)[2].T if len(x) else np.zeros((sample.shape[1], 1))
-    v = x @ axes
+    v = (sample - mean)[:1024]
+    axes = np.linalg.svd(v, full_matrices=False)[2].T
+    v = v @ axes
     parts = []
-    for _ in range(tables):
+    while sum(p.shape[1] for p in parts) < MOST * BITS:
         rotation = np.linalg.qr(rng.standard_normal((v.shape[1], v.shape[1])))[0]
         for _ in range(rounds):  # nearest orthogonal map from axes to signs
             u, _, w = np.linalg.svd(np.sign(v @ rotation).T @ v)
             rotation = (u @ w).T
         parts.append(axes @ rotation)
-    projection = np.concatenate(parts, axis=1)
-    coder = Coder(mean, projection, projection.shape[1])
-    codes = coder.encode(sample)
-    seen = []
-    for at in range(0, len(sample), 512):
-        scores = sample[at : at + 512] @ sample.T
-        scores[np.arange(len(scores)), at + np.arange(len(scores))] = -np.inf
-        near = np.argpartition(-scores, min(k, len(sample) - 1) - 1, axis=1)[:, :k] if len(sample) > 1 else np.zeros((len(scores), 0), int)
-        seen.append(np.bitwise_count(codes[at : at + 512, None, :] ^ codes[near]).sum(axis=2, dtype=np.int64).ravel())
-    seen = np.concatenate(seen) if seen else np.zeros(0)
-    return coder._replace(radius=int(np.quantile(seen, recall))) if len(seen) else coder
+    coder = Coder(mean, np.concatenate(parts, axis=1)[:, : MOST * BITS].astype(np.float32), BITS, 1.0, 1.0)
+    if len(sample) < 2:
+        return coder._replace(projection=coder.projection[:, :BITS])
+    asked = np.arange(min(256, len(sample)))
+    codes, wanted = coder.encode(sample), max(1, -(-k * len(sample) // max(1, total)))
+    scores = sample[asked] @ sample.T
+    scores[asked, asked] = -np.inf
+    near = np.argsort(-scores, axis=1, kind="stable")[:, : min(wanted, len(sample) - 1)]
+    other = rng.integers(0, len(sample), (len(asked), 64))
+
+    def first_table(flips: int, rows: np.ndarray) -> np.ndarray:
+        """Of each pair the first substring that finds it; MOST if none does."""
+        hit = np.bitwise_count(codes[asked][:, None, :] ^ codes[rows]) <= flips
+        return np.where(hit.any(axis=2), hit.argmax(axis=2), MOST).ravel()
+
+    best = None
+    for flips in range(BITS + 1):
+        found = np.bincount(first_table(flips, near), minlength=MOST + 1)[:MOST].cumsum() / near.size
+        tables = int(np.searchsorted(found, recall)) + 1
+        if tables <= MOST and (best is None or tables * WITHIN[flips] <= most_probes):
+            share = float((first_table(flips, other) < tables).mean())
+            if best is None or share < best[0]:
+                best = share, tables, flips, float(found[tables - 1])
+        if best and WITHIN[flips] > most_probes:
+            break
+    share, tables, flips, found = best
+    return coder._replace(projection=coder.projection[:, : tables * BITS], flips=flips, recall=found, share=share)
 
 
 class SubstringIndex:
-    """Codes of one block by the value of each byte; radius search by pigeonhole probing."""
+    """The rows of a block by the value of each substring of their codes."""
 
     def __init__(self, codes: np.ndarray):
-        wide = np.zeros((len(codes), -(-codes.shape[1] // 8) * 8), np.uint8)
-        wide[:, : codes.shape[1]] = codes
-        self.words = np.ascontiguousarray(wide.view(np.uint64).T)
-        self.columns = np.ascontiguousarray(codes.T)
-        self.order = np.argsort(self.columns, axis=1, kind="stable")
-        self.starts = np.stack([np.searchsorted(c[o], np.arange(257)) for c, o in zip(self.columns, self.order, strict=True)])
-
-    def _distance(self, code: np.ndarray) -> np.ndarray:
-        wide = np.zeros(len(self.words) * 8, np.uint8)
-        wide[: len(code)] = code
-        total = np.zeros(self.words.shape[1], np.uint16)
-        for column, word in zip(self.words, wide.view(np.uint64), strict=True):
-            total += np.bitwise_count(column ^ word)
-        return total
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose code differs from ``code`` in at most ``radius`` bits.
-
-        With radius = m*a + b over m substrings, a code in reach differs by at most a bits in one of
-        the first b + 1 substrings, or by at most a - 1 in one of the others.  Few probed buckets
-        are read from the index; if they hold much of the block, the column is compared instead.
-        """
-        m = len(self.columns)
-        a, b = divmod(radius, m)
-        found = np.zeros(self.words.shape[1], bool)
-        for j in range(m):
-            probe = BYTE_DISTANCE[code[j]] <= (a if j <= b else a - 1)
-            counts = np.diff(self.starts[j])
-            if 8 * counts[probe].sum() < len(found):
-                for value in np.flatnonzero(probe & (counts > 0)):
-                    found[self.order[j, self.starts[j, value] : self.starts[j, value + 1]]] = True
-            else:
-                found |= probe[self.columns[j]]
-            if j % 4 == 3 and found.all():
-                break
-        return np.flatnonzero(found & (self._distance(code) <= radius))
-
-    def nearest(self, code: np.ndarray, k: int) -> np.ndarray:
-        """The k rows of the least distance, whatever it is."""
-        distance = self._distance(code)
-        return np.argpartition(distance, k - 1)[:k] if k < len(distance) else np.arange(len(distance))
+        self.rows, self.tables = codes.shape
+        columns = np.ascontiguousarray(codes.T)
+        self.order = np.argsort(columns, axis=1, kind="stable").astype(np.int32).ravel()
+        starts = np.zeros((self.tables, (1 << BITS) + 1), np.int32)
+        for j, column in enumerate(columns):
+            np.cumsum(np.bincount(column, minlength=1 << BITS), out=starts[j, 1:])
+        self.starts = (starts + np.arange(self.tables, dtype=np.int32)[:, None] * self.rows).ravel()
+        self.base = np.arange(self.tables, dtype=np.int64)[:, None] * ((1 << BITS) + 1)
+
+    def probe(self, code: np.ndarray, flips: int) -> np.ndarray:
+        """Rows in the buckets within ``flips`` bits of the code in some substring, ascending."""
+        at = (self.base + (code.astype(np.int64)[:, None] ^ MASKS[: WITHIN[min(flips, BITS)]])).ravel()
+        begin = self.starts[at]
+        size = self.starts[at + 1] - begin
+        some = np.flatnonzero(size)
+        begin, size = begin[some], size[some]
+        ends = np.cumsum(size)
+        if not len(ends):
+            return np.zeros(0, np.int64)
+        read = np.arange(ends[-1]) - np.repeat(ends - size - begin, size)
+        found = np.zeros(self.rows, bool)
+        found[self.order[read]] = True
+        return np.flatnonzero(found)
+
+    def candidates(self, code: np.ndarray, flips: int, least: int) -> np.ndarray:
+        """What probing finds; while that is fewer than ``least`` rows, with one bit more flipped."""
+        found = self.probe(code, flips)
+        while len(found) < min(least, self.rows):
+            flips += 1
+            found = self.probe(code, flips)
+        return found
+
+
+def exact_scores(x: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Inner products summed from the first component to the last, so that equal rows score alike anywhere."""
+    return np.add.accumulate(x * vector, axis=1)[:, -1]
+
+
+def best_of(x: np.ndarray, ids: np.ndarray, vector: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k rows of the largest exact score, ties to the smaller id, and their scores."""
+    rough = x @ vector
+    if len(rough) > k:
+        least = np.partition(rough, len(rough) - k)[len(rough) - k]
+        sure = np.flatnonzero(rough >= least - 1e-9 * max(1.0, float(np.abs(x).max() * np.abs(vector).sum())))
+    else:
+        sure = np.arange(len(rough))
+    score = exact_scores(x[sure], vector)
+    best = np.lexsort((ids[sure], -score))[:k]
+    return sure[best], score[best]
 
 
 def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -117,20 +160,36 @@ def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFram
     return rows.filter(finite & F.exists("embedding", lambda x: x != 0))
 
 
+def index_vectors(rows: DataFrame, coder: Coder) -> DataFrame:
+    """Every row with its code, written once: vec_id, embedding, code (two bytes a substring)."""
+    shared = rows.sparkSession.sparkContext.broadcast(coder)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                code = shared.value.encode(x)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in code], pa.binary())], names=["vec_id", "embedding", "code"])
+
+    return materialize(rows.mapInArrow(encode, "vec_id long, embedding array<double>, code binary"), "codes")
+
+
 def search(vectors: DataFrame, k: int = 20, every: int = 20, block: int = 8192, query_block: int = 1024, sample_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k nearest of all other rows, by inner product, for each row whose id ``every`` divides.
+    """The k nearest of all other rows, by inner product, for each id that ``every`` divides.
 
     Returns query_id, rank (from 1), vec_id, score, nearest first, ties to the smaller vec_id.
 
-    All rows are indexed, in blocks of about ``block`` rows; the stated queries meet them in blocks
-    of ``query_block``, so a task holds one block of each, and only k rows a query leave it.  A query
-    takes the codes within the learned radius, and in any case the block's k nearest codes, so that it
-    never gets fewer than k where there are k.  ``sample_rows`` bounds the rows the rotations are
-    learned on.
+    All rows are coded once, and lie in blocks of about ``block`` rows by a hash; a block's rows are
+    indexed by each substring.  The stated queries meet the blocks in groups of ``query_block``, so a
+    task holds one of each; a query reads the rows of the buckets it probes and no others, with more
+    bits flipped where these are fewer than k, and k rows a query leave the task.  ``sample_rows``
+    bounds the rows that rotations, substrings and flips are learned on.
 
     Vectors that are null, zero or hold null or non-finite components take no part; nor do those whose
     length differs from the sample's most common one.  Repeated rows of one id count as candidates
-    each; a query's own id never is one.  An empty table gives no rows.
+    each; a query's own id never is one.  Where an id that asks repeats with different vectors, the
+    smallest of them (by components) asks.  An empty table gives no rows; other columns are ignored.
     """
     rows = usable_vectors(vectors, id_col, vector_col)
     out = "query_id long, vec_id long, score double"
@@ -140,32 +199,29 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, block: int = 8192,
     sizes = [len(r["embedding"]) for r in sample]
     size = max(set(sizes), key=lambda n: (sizes.count(n), n))
     rows = rows.filter(F.size("embedding") == size)
-    coder = learn_coder(np.array([r["embedding"] for r in sample if len(r["embedding"]) == size]), k)
-    queries = rows.filter(F.col("vec_id") % every == 0)
     total = rows.count()
+    chosen = np.random.default_rng(1).permutation(np.array([r["embedding"] for r in sample if len(r["embedding"]) == size]))
+    coder = learn_coder(chosen, total, k)
+    index = index_vectors(rows, coder)
+    queries = index.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("embedding", "code")).alias("one")).select("vec_id", "one.*")
     n_blocks, n_query_blocks = max(1, -(-total // block)), max(1, -(-queries.count() // query_block))
-    shared = rows.sparkSession.sparkContext.broadcast(coder)
+    flips = coder.flips
     part = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n_blocks)).cast("int")
-    left = rows.withColumn("i", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-    right = queries.withColumn("q", F.pmod(F.xxhash64(F.lit(1), "vec_id", "embedding"), F.lit(n_query_blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    left = index.withColumn("i", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
+    right = queries.withColumn("q", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(n_query_blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
     def meet(base: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         got: tuple[list, list, list] = ([], [], [])
         if len(base) and len(asked):
-            coder = shared.value
             x, ids = np.stack(base["embedding"].to_numpy()), base["vec_id"].to_numpy()
-            y = np.stack(asked["embedding"].to_numpy())
-            index = SubstringIndex(coder.encode(x))
-            for query, vector, code in zip(asked["vec_id"].tolist(), y, coder.encode(y), strict=True):
-                near = index.within(code, coder.radius)
-                if len(near) < k + 1:
-                    near = np.union1d(near, index.nearest(code, k + 1))
+            found = SubstringIndex(np.stack([np.frombuffer(c, np.uint16) for c in base["code"]]))
+            for query, vector, code in zip(asked["vec_id"].tolist(), asked["embedding"], asked["code"], strict=True):
+                near = found.candidates(np.frombuffer(code, np.uint16), flips, k + 1)
                 near = near[ids[near] != query]
-                score = np.array([float(s) for s in x[near] @ vector])
-                best = np.lexsort((ids[near], -score))[:k]
+                best, score = best_of(x[near], ids[near], np.asarray(vector), k)
                 got[0].extend([query] * len(best))
                 got[1].extend(ids[near[best]].tolist())
-                got[2].extend(score[best].tolist())
+                got[2].extend(score.tolist())
         return pd.DataFrame({"query_id": np.array(got[0], np.int64), "vec_id": np.array(got[1], np.int64), "score": np.array(got[2], np.float64)})
 
     found = left.groupBy("i", "q").cogroup(right.groupBy("i", "q")).applyInPandas(meet, out)
