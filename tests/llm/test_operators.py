@@ -312,6 +312,37 @@ def test_cross_parsing_matches_plain_search():
     assert [g[0] for g in parser.guess(texts)] == ["a", "b", "und", "und", parser.guess(texts)[4][0]]
 
 
+def greedy_phrases(codes, sample):
+    """Greedy longest phrases by substring search in the whole sample."""
+    text, where = "".join(chr(c + 32) for c in codes), "".join(chr(c + 32) for c in sample)
+    count = at = 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1] in where:
+            n += 1
+        count, at = count + 1, at + n
+    return count
+
+
+def test_cross_parsing_of_long_texts_and_large_alphabets():
+    rng = np.random.default_rng(17)
+    han = [chr(0x4E00 + int(x)) for x in rng.integers(0, 700, 4000)]
+    words = ["".join(rng.choice(list("abcdefghij"), int(rng.integers(1, 5)))) for _ in range(300)]
+    samples = {"han": "".join(han), "lat": " ".join(words * 3), "rep": "ab" * 3000 + "c"}
+    texts = [
+        " ".join(rng.choice(words, 3000)), "".join(han[k : k + 40][::1] [int(rng.integers(0, 3))] for k in range(3900)) * 2, "".join("".join(han[k : k + 9]) for k in rng.integers(0, 3900, 400)),
+        "ab" * 2500 + "ba" * 900, "漢字 kana ß " * 400, "a" * 2000, "".join(rng.choice(list("abc"), 5000)), "x" * 512 + "ab" * 700, " ".join(words),
+    ]
+    parser = language.CrossParser(samples)
+    assert parser.alphabet.size > language.DENSE
+    counts, _, sizes = parser.phrases(texts)
+    assert sizes.max() > 6000
+    for k, lang in enumerate(parser.languages):
+        sample = parser.alphabet.codes(samples[lang]).tolist()
+        assert counts[:, k].tolist() == [greedy_phrases(parser.alphabet.codes(t).tolist(), sample) for t in texts]
+    assert [parser.languages[i] for i in (counts[[0, 2, 3]] * np.array(parser.logs)).argmin(axis=1)] == ["lat", "han", "rep"]
+
+
 def test_language_held_out_accuracy(spark, sf, cases, empty):
     rows = spark.read.parquet(f"{sf}/documents.parquet")
     samples = language.learn_samples(rows)

@@ -19,19 +19,19 @@ from webstrata.llm.common import slices
 
 GUESSES = "doc_id long, lang_pred string, score double, n_letters long, phrase_rate double"
 UNKNOWN = "und"
-LANE = 512
+#: Characters of a lane, the unit that is parsed in step with others, and classes with a column in the tables.
+LANE, DENSE = 512, 64
 
 
 class Alphabet:
-    """Letter classes of lower-cased text: 0 is any run of other characters, 1 a letter not listed."""
+    """Letter classes of lower-cased text: 0 is any run of other characters, 1 a letter of no sample, then the others, most frequent first."""
 
-    def __init__(self, samples: dict[str, str], limit: int = 250):
+    def __init__(self, samples: dict[str, str]):
         chars, counts = np.unique(np.array([ord(c) for s in samples.values() for c in s.lower() if c.isalpha()], np.int64), return_counts=True)
-        keep = np.sort(chars[np.lexsort((chars, -counts))[:limit]])
         self.letters = np.array([chr(c).isalpha() for c in range(0x110000)], bool)
-        self.classes = self.letters.astype(np.int16)
-        self.classes[keep] = np.arange(2, len(keep) + 2)
-        self.size = len(keep) + 2
+        self.classes = self.letters.astype(np.int32)
+        self.classes[chars[np.lexsort((chars, -counts))]] = np.arange(2, len(chars) + 2)
+        self.size = len(chars) + 2
 
     def codes(self, text: str) -> np.ndarray:
         code = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
@@ -41,43 +41,65 @@ class Alphabet:
         return got[keep]
 
 
-def suffix_automaton(codes: list[int], size: int) -> np.ndarray:
-    """Parsing table of a text: entry [state, class] is 2 * next state, plus 1 if a phrase ends.
+class SuffixAutomaton:
+    """Parsing tables of a text: what follows on state and class is 2 * next state, plus 1 if a phrase ends.
 
-    A phrase that can't go on ends, and the class read begins the next one.
+    A phrase that can't go on ends, and the class read begins the next one.  The DENSE most frequent
+    classes have a table of all states; arcs of rarer ones are kept as sorted keys.
     """
-    go: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
-    for c in codes:
-        cur = len(go)
-        go.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        p = last
-        while p >= 0 and c not in go[p]:
-            go[p][c] = cur
-            p = link[p]
-        if p >= 0:
-            q = go[p][c]
-            if length[q] == length[p] + 1:
-                link[cur] = q
-            else:
-                twin = len(go)
-                go.append(dict(go[q]))
-                length.append(length[p] + 1)
-                link.append(link[q])
-                while p >= 0 and go[p].get(c) == q:
-                    go[p][c] = twin
-                    p = link[p]
-                link[q] = link[cur] = twin
-        last = cur
-    start = np.full(size, len(go), np.int64)  # the last state: a class that the text lacks is a phrase alone
-    start[list(go[0])] = list(go[0].values())
-    table = np.tile(2 * start + 1, (len(go) + 1, 1)).astype(np.int32)
-    table[0] -= 1  # the first state is left at once and for good: nothing ends there
-    for state, arcs in enumerate(go):
-        table[state, list(arcs)] = [2 * t for t in arcs.values()]
-    return table
+
+    def __init__(self, codes: list[int], size: int):
+        go: list[dict[int, int]] = [{}]
+        link, length, last = [-1], [0], 0
+        for c in codes:
+            cur = len(go)
+            go.append({})
+            length.append(length[last] + 1)
+            link.append(0)
+            p = last
+            while p >= 0 and c not in go[p]:
+                go[p][c] = cur
+                p = link[p]
+            if p >= 0:
+                q = go[p][c]
+                if length[q] == length[p] + 1:
+                    link[cur] = q
+                else:
+                    twin = len(go)
+                    go.append(dict(go[q]))
+                    length.append(length[p] + 1)
+                    link.append(link[q])
+                    while p >= 0 and go[p].get(c) == q:
+                        go[p][c] = twin
+                        p = link[p]
+                    link[q] = link[cur] = twin
+            last = cur
+        self.size, self.wide = size, min(size, DENSE)
+        start = np.full(size, len(go), np.int64)  # the last state: a class that the text lacks is a phrase alone
+        start[list(go[0])] = list(go[0].values())
+        self.fresh = 2 * start + 1
+        table = np.tile(self.fresh[: self.wide], (len(go) + 1, 1)).astype(np.int32)
+        table[0] -= 1  # the first state is left at once and for good: nothing ends there
+        rare = []
+        for state, arcs in enumerate(go):
+            usual = [c for c in arcs if c < self.wide]
+            table[state, usual] = [2 * arcs[c] for c in usual]
+            rare += [(state * size + c, 2 * t) for c, t in arcs.items() if c >= self.wide]
+        self.table = np.ascontiguousarray(table).ravel()
+        rare.sort()
+        self.rare_keys, self.rare_next = np.array([k for k, _ in rare] or [-1], np.int64), np.array([t for _, t in rare] or [0], np.int64)
+
+    def follow(self, state: np.ndarray, c: np.ndarray, rare: bool) -> np.ndarray:
+        """Next entries of states and classes; rare: some class may lie outside of the table."""
+        if not rare:
+            return self.table[state * self.wide + c]
+        got = self.table[state * self.wide + np.minimum(c, self.wide - 1)]
+        at = np.flatnonzero(c >= self.wide)
+        if len(at):
+            key = state[at] * self.size + c[at]
+            place = np.minimum(np.searchsorted(self.rare_keys, key), len(self.rare_keys) - 1)
+            got[at] = np.where(self.rare_keys[place] == key, self.rare_next[place], self.fresh[c[at]] - (state[at] == 0))
+        return got
 
 
 class CrossParser:
@@ -86,17 +108,19 @@ class CrossParser:
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
         self.alphabet = Alphabet(samples)
-        self.tables, self.logs = [], []
+        self.automata, self.logs = [], []
         for lang in self.languages:
             codes = self.alphabet.codes(samples[lang])
-            table = suffix_automaton(codes.tolist(), self.alphabet.size)
-            self.tables.append(np.ascontiguousarray(table).ravel())
+            self.automata.append(SuffixAutomaton(codes.tolist(), self.alphabet.size))
             self.logs.append(np.log2(len(codes) + 2))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases by text and language, letters by text, parsed characters by text.
 
-        Texts are parsed in lanes of LANE characters, all lanes of the batch in step.
+        Texts are parsed in lanes of LANE characters, all lanes of the batch in step, each as if a
+        phrase began with it.  Then each lane's first characters are parsed again from where the lane
+        before it ended, until a phrase begins where one began before: from there on both parsings are
+        the same.  So the counts are those of one parse over the whole text.
         """
         coded = [self.alphabet.codes(t) for t in texts]
         sizes = np.array([len(c) for c in coded], np.int64)
@@ -105,28 +129,56 @@ class CrossParser:
         if not sizes.sum():
             return counts, letters, sizes
         flat = np.concatenate(coded).astype(np.int64)
+        rare = bool(self.automata) and int(flat.max()) >= self.automata[0].wide
         base = np.cumsum(sizes) - sizes
         lanes = -(-sizes // LANE)
         text_of = np.repeat(np.arange(len(texts)), lanes)
         nth = np.arange(len(text_of)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         begin, span = base[text_of] + nth * LANE, np.minimum(LANE, sizes[text_of] - nth * LANE)
         order = np.argsort(-span, kind="stable")
-        begin, span, text_of = begin[order], span[order], text_of[order]
-        live = np.searchsorted(-span, -np.arange(LANE), side="left")  # lanes longer than each step
-        size = self.alphabet.size
-        states = [np.zeros(len(begin), np.int64) for _ in self.tables]
-        ends = [np.ones(len(begin), np.int64) for _ in self.tables]
-        for step in range(int(span[0])):
+        ordered = begin[order]
+        live = np.searchsorted(-span[order], -np.arange(LANE), side="left")  # lanes longer than each step
+        states = [np.zeros(len(begin), np.int64) for _ in self.automata]
+        starts = [np.zeros(len(flat), bool) for _ in self.automata]  # where phrases begin
+        for step in range(int(span.max())):
             m = int(live[step])
-            c = flat[begin[:m] + step]
-            for k, table in enumerate(self.tables):
-                got = table[states[k][:m] * size + c]
-                ends[k][:m] += got & 1
+            at = ordered[:m] + step
+            c = flat[at]
+            for k, automaton in enumerate(self.automata):
+                got = automaton.follow(states[k][:m], c, rare)
+                starts[k][at] = got & 1
                 states[k][:m] = got >> 1
-        for k, e in enumerate(ends):
-            counts[:, k] = np.bincount(text_of, weights=e, minlength=len(texts)).astype(np.int64)
+        for k, automaton in enumerate(self.automata):
+            starts[k][begin] = True
+            ends = np.empty(len(begin), np.int64)
+            ends[order] = states[k]
+            more = self._mend(automaton, flat, rare, starts[k], ends, begin, span, np.flatnonzero(nth))
+            found = np.add.reduceat(starts[k].astype(np.int64), begin) + more
+            counts[:, k] = np.bincount(text_of, weights=found, minlength=len(texts)).astype(np.int64)
         return counts, letters, sizes
 
+    @staticmethod
+    def _mend(automaton: SuffixAutomaton, flat: np.ndarray, rare: bool, starts: np.ndarray, ends: np.ndarray, begin: np.ndarray, span: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+        """How many phrases more each lane has when it goes on from the lane before it; lanes: those that do."""
+        own_ends, more, later = ends.copy(), np.zeros(len(begin), np.int64), lanes
+        while len(lanes):
+            state, before = ends[lanes - 1], ends[lanes]
+            more[lanes], ends[lanes] = 0, own_ends[lanes]
+            at, step = np.arange(len(lanes)), 0
+            while len(at):
+                lane = lanes[at]
+                place = begin[lane] + step
+                got = automaton.follow(state[at], flat[place], rare)
+                new, old = got & 1 == 1, starts[place]
+                more[lane] += new.astype(np.int64) - old
+                state[at] = got >> 1
+                step += 1
+                last = ~(new & old) & (span[lane] == step)  # the parsings don't meet in this lane
+                ends[lane[last]] = state[at[last]]
+                at = at[~(new & old) & (span[lane] > step)]
+            lanes = np.intersect1d(lanes[ends[lanes] != before] + 1, later)
+        return more
+
     def guess(self, texts: list[str]) -> list[tuple[str, float, int, float]]:
         """Language, score, letters and phrases a character (of the winner) for each text."""
         counts, letters, sizes = self.phrases(texts)
@@ -183,7 +235,8 @@ def identify_languages(docs: DataFrame, samples: dict[str, str], id_col: str = "
 
     'und', score 0: the text is null or has no letter, or nothing was learned.  Ties go to the first
     language by name.  Repeated rows and null ids pass through; an empty table gives no rows.
-    A map over partitions; workers build the automata once from the bounded samples.
+    A map over partitions; workers build the automata once from the bounded samples.  Texts of any
+    length are parsed whole, with all letters of all samples told apart.
     """
     parser = _shared_parser(docs, samples)
 
