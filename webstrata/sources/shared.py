@@ -6,14 +6,20 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-_default: list[str] = []
+_local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Only a session of one machine (master local) gets a temporary folder where that is unset.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not _default:
-        _default.append("file://" + tempfile.mkdtemp(prefix="webstrata-"))
-    return _default[0]
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="webstrata-"))
+    return _local[0]
