@@ -234,6 +234,20 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == brute_components(texts)
 
 
+def test_large_buckets_meet_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "PART", 3)
+    monkeypatch.setattr(dedup, "ROWS", 1)  # so that unlike documents share buckets
+    rng = np.random.default_rng(15)
+    common = [f"c{x}" for x in range(40)]
+    texts = []
+    for i in range(90):
+        own = [f"o{x}" for x in rng.integers(0, 10**6, 60)] if i % 3 == 0 else texts[-1][1].split()[40:]
+        own = own if i % 3 == 0 else [w if rng.random() > 0.01 else f"x{i}" for w in own]
+        texts.append((i, " ".join(common + own)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == brute_components(texts) and len({c for _, c in got.values()}) > 20
+
+
 def test_near_duplicates_edges(spark, cases, empty):
     got = dedup.near_duplicates(cases).toPandas()
     assert len(got) == len(CASES)

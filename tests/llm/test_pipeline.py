@@ -41,6 +41,16 @@ def test_stages_keep_columns_and_decide(spark, corpus):
     assert cp.run(spark, corpus).select("doc_id").distinct().count() == len(left)
 
 
+def test_rows_without_or_with_shared_ids_are_documents(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 999, 40)) for _ in range(5)]
+    rows = [(None, texts[0], None, "s", 1, None), (None, texts[0], None, "s", 1, None), (None, texts[0], "en", "s", 1, None), (7, texts[1], None, None, None, None), (7, texts[2], None, None, None, None), (9, texts[1] + " more", None, None, None, None)]
+    rows += [(None, texts[3], None, None, None, None), (3, texts[3], None, None, None, None), (None, "", None, None, None, None), (None, None, None, None, None, None), (None, None, None, None, None, None)]
+    got = cp.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert got.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted((str(i), str(t)) for i, t in [(None, texts[0]), (7, texts[1]), (7, texts[2]), (3, texts[3]), (None, ""), (None, None)])
+
+
 def test_empty_corpus(spark, corpus, tmp_path):
     spark.read.parquet(f"{corpus}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{corpus}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
@@ -96,8 +106,8 @@ def test_pipeline_matches_brute_force(spark, sf):
         spans = [m.span() for m in assign.finditer(t) if len(m[1]) >= 6] + [m.span() for p in (secrets.ACCESS, secrets.HEX) for m in re.finditer(p, t)]
         for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
             s = m[0]
-            need = secrets.LIMITS["hex" if re.fullmatch("[0-9a-fA-F]+", s) else "alnum" if s.isalnum() else "base64"]
-            if re.search("[0-9]", s) and not any(re.search(p, s) for p in secrets.ALLOW) and max(entropy(s[k : k + 20]) for k in range(len(s) - 19)) >= need:
+            need = secrets.LIMITS["words" if not re.search("[0-9]", s) else "hex" if re.fullmatch("[0-9a-fA-F]+", s) else "alnum" if s.isalnum() else "base64"]
+            if not any(re.search(p, s) for p in secrets.ALLOW) and max(entropy(s[k : k + 20]) for k in range(len(s) - 19)) >= need:
                 spans.append(m.span())
         out, at = [], 0
         for a, b in sorted(spans):

@@ -7,8 +7,8 @@ probability (Satuluri and Parthasarathy, 2012); survivors are verified on their
 
 Pairs are never listed within a group.  First each member of a bucket meets the bucket's smallest
 member only, and what links becomes one component.  Then members that lie in another component than
-their bucket's smallest meet the rest of the bucket; a test of sketches inside the join lets almost
-only real links through.
+their bucket's smallest meet the rest of the bucket, in parts of bounded size; a test of sketches inside
+the join lets almost only real links through.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from webstrata.llm.common import WORD, discard, materialize, slices
 _WORDS = re.compile(WORD)
 SHINGLE = 5
 ROWS, BANDS = 5, 51
+PART = 2000  # members of a bucket that meet others in one part
 BATCHES = 4  # of 64 signature bits each
 PARITY_WORDS = 16
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -188,7 +189,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6, id_c
     one = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "bits", "parity")])
     reps = materialize(one.filter("rep IS NOT NULL"), "representatives")
     banded = reps.select("rep", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "hub")
+    buckets = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "hub", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     met = materialize(banded.join(buckets, "band"), "met")
     data = reps.select("rep", "n_shingles", "bits", "parity")
     plausible = may_link(threshold, miss)
@@ -217,17 +218,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6, id_c
     hubs = component.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
     placed = placed.join(hubs, "hub", "left").withColumn("hub_component", F.coalesce("hub_component", "hub"))
     placed = materialize(placed.filter("rep <> hub"), "placed")
-    rest = placed.filter("component <> hub_component").select("band", "rep", "component")
-    others = placed.join(rest.select("band").distinct(), "band", "left_semi").select("band", "rep", "component", (F.col("component") == F.col("hub_component")).alias("with_hub"))
+    discard(met)
+    apart = placed.filter("component <> hub_component")
+    rest = apart.select("band", "rep", "component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    part = F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part")  # a large bucket meets part by part
+    others = placed.join(apart.select("band").distinct(), "band", "left_semi").select("band", "rep", "component", (F.col("component") == F.col("hub_component")).alias("with_hub"), part)
     a, b = rest.join(data, "rep").alias("a"), others.join(data, "rep").alias("b")
     once = F.expr("a.component <> b.component AND (b.with_hub OR a.rep < b.rep)")
-    second = a.join(b, (F.col("a.band") == F.col("b.band")) & once & plausible)
+    second = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & once & plausible)
     second = second.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
     second = materialize(second, "pairs")
+    for done in (placed, first, sets):
+        discard(done)
     if not second.isEmpty():
         more = verified(second, joined(second), percent)
         links = materialize(links.unionByName(more), "linked")
         component = materialize(connected_components(links), "components")
+    discard(second)
 
     found = reps.select("set_key", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     return (
@@ -235,3 +242,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6, id_c
         .join(found, "set_key", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.col("component").isNull()).alias("kept"))
     )
+
+
+def keep_one(docs: DataFrame, percent: int = 75, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, one of each group of near-duplicates.
+
+    A row is known by a hash of all its columns, so rows without an id and rows that share one are
+    documents of their own.  Of a group the row with the smallest id stays (rows without one come last,
+    then the smallest hash).  Repeated rows are one.  Rows without words are in no group and stay.
+    """
+    row = next(n for n in ("row", "row_", *(f"row_{k}" for k in range(len(docs.columns)))) if n not in docs.columns)
+    named = docs.withColumn(row, F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))  # nulls alone add nothing to a hash
+    groups = near_duplicates(named, percent, miss, row, text_col).select("doc_id", "component_id").distinct()
+    ids = named.select(F.col(row).alias("doc_id"), F.col(id_col).alias("id")).distinct()
+    first = groups.join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "doc_id")).alias("m"))
+    first = materialize(first.select(F.col("m.doc_id").alias(row)), "kept")
+    return named.dropDuplicates([row]).join(first, row, "left_semi").select(*docs.columns)
