@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.llm import dedup, language, packing, quality, secrets
-from webstrata.llm.common import materialize
+from webstrata.llm.common import discard, materialize
 
 #: A text is in none of the learned languages if even the best one parses it letter by letter.
 MAX_PHRASE_RATE = 0.6
@@ -29,11 +29,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates, the one with the smallest id.
 
-    Repeated rows of a doc_id are one document.  Rows without a doc_id can't be named; they stay.
+    Repeated rows are one document; rows without an id, or with an id that other texts have too, are
+    documents like any other.
     """
-    kept = dedup.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id")
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return one.unionByName(docs.filter("doc_id IS NULL"))
+    return dedup.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,10 +68,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again as the next one's docs."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result is written and read again as the next one's docs.
+
+    A stage's table is deleted when the next one's is written, but for the last, which packing reads.
+    Very long texts pass every stage whole; a stage's memory goes with its longest text.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, name.replace(" ", "-").lower())
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
