@@ -121,7 +121,8 @@ def test_ids(spark):
 
 
 def test_lists_and_maps(spark):
-    assert one(spark, values.list_column(F.col("x")), x="a, b,,c") == ["a", "b", "c"]
+    assert one(spark, values.list_column(F.col("x")), x="a, b,,c") == ["a", " b", "", "c"]
+    assert one(spark, values.list_column(F.col("x"), "int"), x="1, 2,x") == [1, 2, None] and one(spark, values.list_column(F.col("x")), x="[a") == ["[a"]
     assert one(spark, values.list_column(F.col("x"), "int"), x='["1", "2"]') == [1, 2]
     assert one(spark, values.list_column(F.col("x")), x="") == []
     assert one(spark, values.map_column(F.col("x")), x='{"a": "b"}') == {"a": "b"}
@@ -129,12 +130,14 @@ def test_lists_and_maps(spark):
     assert one(spark, values.map_column(F.col("x")), x="a:1,b:2") == {"a": "1", "b": "2"}
     assert one(spark, values.map_column(F.col("x"), "~", ";"), x="a~1;b~2") == {"a": "1", "b": "2"}
     assert one(spark, values.map_column(F.col("x")), x=None) == {}
+    assert one(spark, values.map_column(F.col("x")), x="{a=b,c=d}") == {"a": "b", "c": "d"} and one(spark, values.map_column(F.col("x")), x="{}") == {}
+    assert one(spark, values.map_column(F.col("x")), x="plain") == {"plain": ""} and one(spark, values.map_column(F.col("x"), "~", ";"), x="a=1,b") == {"a": "1"}
 
 
 @pytest.mark.parametrize(("spec", "ports"), [("443,80", [80, 443]), ("8000-8002, 80", [80, 8000, 8001, 8002]), ("70000,65535", [65535]), ("x,1", [1])])
 def test_ports(spark, spec, ports):
     assert one(spark, values.expand_ports(F.col("x")), x=spec) == ports
-    assert one(spark, values.expand_ports(F.col("x")), x="") is None
+    assert one(spark, values.expand_ports(F.col("x")), x="") is None and one(spark, values.expand_ports(F.col("x")), x=" , ") is None and one(spark, values.expand_ports(F.col("x")), x="70000") is None
 
 
 def test_page_slice(spark):
@@ -162,3 +165,22 @@ def test_port_sets(spark):
     assert one(spark, values.common_ports(a, b), x="") == [443, 8080]
     assert one(spark, values.covers_ports(values.expand_ports(F.lit("443")), b), x="") and not one(spark, values.covers_ports(a, b), x="")
     assert one(spark, values.covers_ports(a, values.expand_ports(F.lit(""))), x="")
+
+
+def test_collapse_matches_brute_force():
+    import random
+
+    def brute(words):
+        n = len(words)
+        for i in range(n):
+            for k in range(1, (n - i) // 2 + 1):
+                if (n - i) % k == 0 and words[i : i + k] == words[i + k : i + 2 * k]:
+                    return words[: i + k] if words[i:] == words[i : i + k] * ((n - i) // k) else words
+        return words
+
+    rng = random.Random(5)
+    for _ in range(3000):
+        words = [rng.choice("abc") for _ in range(rng.randrange(0, 14))]
+        words = words + words[-rng.randrange(1, 4) :] * rng.randrange(0, 4) if words else words
+        assert values.collapse_text(" ".join(words)).split() == brute(words)
+    assert len(values.collapse_text("x y z " * 200_000)) == 5 and values.collapse_text(" ".join(map(str, range(300_000)))).endswith("299999")

@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,7 +73,7 @@ def doc_type_of(mime: Column) -> Column:
 def is_binary(content: Column, mime: Column) -> Column:
     """By category and type; else if more than 0.15 of the first 1024 bytes' low ones are high ones."""
     category = F.split_part(mime, F.lit("/"), F.lit(1))
-    head = F.substring(F.hex(F.encode(content, "UTF-8")), 1, 2048)
+    head = F.hex(F.substring(F.encode(F.substring(content, 1, 1024), "UTF-8"), 1, 1024))  # no more characters than bytes are needed
     high = F.length(F.regexp_replace(F.regexp_replace(head, r"([0-9A-F])[0-9A-F]", "$1"), "[0-7]", ""))
     low = F.length(head) / 2 - high
     sniffed = (F.trim(content) != "") & (high > 0.15 * F.greatest(low, F.lit(1.0)))
@@ -112,41 +112,50 @@ def header_value(headers: Column, name: str) -> Column:
 
 
 def list_column(text: Column, kind: str = "string") -> Column:
-    """JSON array text, or comma-separated values, as an array; empty text or null is an empty list."""
-    t = F.trim(text)
-    split = F.filter(F.transform(F.split(t, ","), lambda x: F.trim(x)), lambda x: x != "")
-    values = F.when(t.startswith("["), F.from_json(t, "array<string>")).otherwise(split)
+    """JSON array text, or comma-separated values as they stand, as an array; empty text or null is an empty list."""
+    values = F.when(text.startswith("[") & text.endswith("]"), F.from_json(text, "array<string>")).otherwise(F.split(text, ","))
     empty = F.array().cast(f"array<{kind}>")
-    return F.when(F.coalesce(t, F.lit("")) == "", empty).otherwise(F.coalesce(F.transform(values, lambda x: x.try_cast(kind)), empty))
+    return F.when(F.coalesce(text, F.lit("")) == "", empty).otherwise(F.coalesce(F.transform(values, lambda x: x.try_cast(kind)), empty))
 
 
 def map_column(text: Column, separator: str = "=", pair_separator: str = ",") -> Column:
-    """JSON object text, or pairs with the given separators, then '=' and ':' with commas, as a map."""
-    t = F.trim(text)
+    """JSON object text, or pairs with the given separators, else '=', else ':' with commas, as a map.
+
+    Text in braces that is no JSON is read without them.  The first of the separators that the text
+    holds is taken, once in each part, and names and values are trimmed.  Text that holds none is a
+    name with an empty value.  Empty text or null is an empty map.
+    """
+    braced = text.startswith("{") & text.endswith("}")
+    parsed = F.when(braced, F.from_json(text, "map<string,string>"))
+    is_json = F.coalesce((F.size(parsed) > 0) | text.rlike(r"^\{\s*\}$"), F.lit(False))
+    plain = F.when(braced, F.substring(text, 2, F.length(text) - 2)).otherwise(text)
 
     def pairs(kv: str, sep: str) -> Column:
-        each = F.filter(F.transform(F.split(t, re.escape(sep)), lambda p: F.trim(p)), lambda p: p.contains(kv))
-        entry = lambda p: F.struct(F.trim(F.split_part(p, F.lit(kv), F.lit(1))).alias("k"), F.trim(F.regexp_extract(p, rf"^[^{re.escape(kv)}]*{re.escape(kv)}(?s)(.*)$", 1)).alias("v"))
-        made = F.transform(each, entry)
+        each = F.filter(F.split(plain, re.escape(sep)), lambda p: p.contains(kv))
+        value = lambda p: F.substring(p, F.length(F.substring_index(p, kv, 1)) + 1 + len(kv), F.length(p))
+        made = F.transform(each, lambda p: F.struct(F.trim(F.substring_index(p, kv, 1)).alias("k"), F.trim(value(p)).alias("v")))
         last = F.filter(made, lambda e, i: ~F.exists(F.slice(made, i + 2, F.size(made)), lambda o: o["k"] == e["k"]))
-        return F.when(F.size(each) > 0, F.map_from_entries(last))
+        return F.map_from_entries(last)
 
     empty = F.create_map().cast("map<string,string>")
-    options = [pairs(separator, pair_separator), pairs("=", ","), pairs(":", ",")]
-    return F.when(F.coalesce(t, F.lit("")) == "", empty).when(t.startswith("{"), F.coalesce(F.from_json(t, "map<string,string>"), empty)).otherwise(F.coalesce(*options, empty))
+    out = F.when(F.coalesce(text, F.lit("")) == "", empty).when(is_json, parsed)
+    for kv, sep in ((separator, pair_separator), ("=", ","), (":", ",")):
+        out = out.when(plain.contains(kv), pairs(kv, sep))
+    return out.otherwise(F.map_from_arrays(F.array(plain), F.array(F.lit(""))))
 
 
 def expand_ports(spec: Column) -> Column:
-    """'80,443,8000-8002' as a sorted array of ports in range; an empty spec is null: all ports."""
-    parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p.rlike(r"^\d+(-\d+)?$"))
+    """'80,443,8000-8002' as a sorted array of ports in range; a spec that names none is null: all ports."""
+    parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p.rlike(r"^\d+(\s*-\s*\d+)?$"))
 
     def one(p: Column) -> Column:
-        a = F.split_part(p, F.lit("-"), F.lit(1)).try_cast("int")
-        b = F.coalesce(F.when(p.contains("-"), F.split_part(p, F.lit("-"), F.lit(2)).try_cast("int")), a)
+        a = F.trim(F.split_part(p, F.lit("-"), F.lit(1))).try_cast("int")
+        b = F.coalesce(F.when(p.contains("-"), F.trim(F.split_part(p, F.lit("-"), F.lit(2))).try_cast("int")), a)
         b = F.least(b, F.lit(65535))
         return F.when((a <= b), F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
 
-    return F.when(F.coalesce(F.trim(spec), F.lit("")) == "", F.lit(None).cast("array<int>")).otherwise(F.array_sort(F.array_distinct(F.flatten(F.transform(parts, one)))))
+    ports = F.array_sort(F.array_distinct(F.flatten(F.transform(parts, one))))
+    return F.when(F.size(ports) > 0, ports)
 
 
 def common_ports(a: Column, b: Column) -> Column:
@@ -181,45 +190,42 @@ def plain_text(text: Column) -> Column:
     return nfkc(F.trim(F.regexp_replace(squeezed, r"^\n|\n$", "")))
 
 
-def collapse_text(text: str) -> str:
-    """One copy of a word block, with the marks after it, if the tail only repeats it."""
-    spans = [m.span() for m in re.finditer(r"\w+", text)]
-    words = [text[a:b] for a, b in spans]
+def aligned_repeats(words: list[str]) -> Iterator[tuple[int, int]]:
+    """(start, size) of blocks that come twice in a row and whose size divides what is left from there, in order.
+
+    Cut into blocks of one size from the end, the words have n / size blocks; neighbours are compared by
+    sums that slide over the words, all sizes at once: n * log(n) comparisons in all.
+    """
     n = len(words)
-    if n < 2:
-        return text
-    found = next(_first_repeat(words), None)
-    if found is None:
-        return text
-    i, k = found
-    tail = words[i:]
-    if len(tail) % k or tail != tail[:k] * (len(tail) // k):
-        return text
-    end = spans[i + k - 1][1]
-    marks = re.compile(r"(?:[^\w\s])*").match(text, end)
-    return text[: marks.end()]
+    number: dict[str, int] = {}
+    ids = np.array([number.setdefault(w, len(number)) for w in words], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
+    base = np.uint64(0xD1342543DE82EF95)
+    powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base))])
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(ids * powers[:n])])  # word i weighs base ** i
+    sizes = np.arange(1, n // 2 + 1)
+    counts = n // sizes - 1
+    size = np.repeat(sizes, counts)
+    start = n - size * (np.arange(len(size)) - np.repeat(np.cumsum(counts) - counts, counts) + 2)
+    alike = np.flatnonzero((sums[start + size] - sums[start]) * powers[size] == sums[start + 2 * size] - sums[start + size])
+    for k in alike[np.lexsort((size[alike], start[alike]))].tolist():
+        i, width = int(start[k]), int(size[k])
+        if words[i : i + width] == words[i + width : i + 2 * width]:
+            yield i, width
 
 
-def _first_repeat(words: list[str]) -> Iterator[tuple[int, int]]:
-    """(start, size) of immediately repeated blocks whose repetition reaches the end, or blocks it.
+def collapse_text(text: str) -> str:
+    """One copy of a word block, with the marks after it, if the text's tail only repeats it.
 
-    Block sizes are tried only where the block's first word comes again.
+    The first block that repeats at once decides (of a size that divides the rest of the words); if
+    other words follow its copies, the text stays as it is.
     """
-    n = len(words)
-    places: dict[str, list[int]] = {}
-    for i, w in enumerate(words):
-        places.setdefault(w, []).append(i)
-    seen: dict[str, int] = {}
-    for i, w in enumerate(words[:-1]):
-        seen[w] = seen.get(w, 0) + 1
-        for j in islice(places[w], seen[w], None):
-            k = j - i
-            if 2 * k > n - i:
-                break
-            if words[i:j] == words[j : j + k]:
-                if (n - i) % k == 0:
-                    yield i, k
-    return
+    found = list(re.finditer(r"\w+", text))
+    words = [m[0] for m in found]
+    first = next(aligned_repeats(words), None) if len(words) > 1 else None
+    if first is None or words[first[0] :] != words[first[0] : sum(first)] * ((len(words) - first[0]) // first[1]):
+        return text
+    end = found[sum(first) - 1].end()
+    return text[:end] + re.match(r"[^\w\s]*", text[end:])[0]
 
 
 @F.pandas_udf(StringType())
