@@ -144,6 +144,9 @@ def test_cascade(docs):
     assert [r.url for r in listing.find_resources(docs, "https://a.example.com/x").collect()] == ["https://a.example.com/x"]
     by_host = listing.find_resources(docs, "https://a.example.com/none")
     assert by_host.count() > 0 and listing.find_resources(docs, "https://zzz.example.org/").count() == 0
+    some = docs.limit(2).select("doc_id", F.lit(0.5).alias("score"))
+    assert listing.find_resources(docs, "https://zzz.example.org/", hits=some).count() >= 1 and listing.find_resources(docs, "pages about x", hits=some).count() >= 1
+    assert [r.url for r in listing.recommend_urls(docs, "https://zzz.example.org/").collect()] == sorted({f"http{'s' if r.port % 1000 == 443 else ''}://{r.netloc}" for r in docs.collect() if r.http_method == "GET"})
     row = listing.fetch_content(docs, url="https://a.example.com/x", length=5).first()
     assert row.has_more and len(row.text) == 5
     shown = listing.http_resource(docs.withColumn("score", F.lit(0.0))).first()
@@ -170,6 +173,10 @@ def test_search(spark):
     assert [r.label for r in search.label_list(spark.createDataFrame([('["Sql Injection", "sql injection"]',), ('{"XSS": 1}',), ("bad",)], "t string"), "t").orderBy("label").collect()] == ["sql_injection", "xss"]
     texts = search.text_hits(spark.createDataFrame([(1, "so it is a b c d e f g h i j k"), (2, "a b c d e f g h")], "doc_id long, text string"), spark.createDataFrame([(7, "a b c d e f g h i")], "item_id long, text string"), "doc_id", "item_id")
     assert [tuple(r) for r in texts.collect()] == [(1, 7)]
+    held = ["so it is a b c", "xa by", "a b", "is a b cx", None, ""]
+    asked = ["it is a", "a b", "b", "s a b c", "o it is a b", "", None, "a b c d", " a b"]
+    got = search.text_hits(spark.createDataFrame(list(enumerate(held)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(asked)), "item_id long, text string"), "doc_id", "item_id")
+    assert {tuple(r) for r in got.collect()} == {(i, k) for i, h in enumerate(held) for k, a in enumerate(asked) if h and a and a in h}
 
 
 def test_patterns(spark):
@@ -177,7 +184,10 @@ def test_patterns(spark):
     labels, targets = spark.createDataFrame([("xss",)], "label string"), spark.createDataFrame([("a",), ("b",)], "target string")
     rows = search.expand_patterns(labels, patterns, targets, 10, "asked").orderBy("rank").collect()
     assert [r.pattern for r in rows] == ["asked", "<script> at a", "<script> at b", "onload"]
-    assert search.expand_patterns(labels, patterns, targets, 2).count() == 2
+    assert search.expand_patterns(labels, patterns, targets, 2).count() == 3 and search.expand_patterns(labels, patterns, targets, 1, "asked").count() == 1
+    more = spark.createDataFrame([("html", f"new {k}") for k in range(9)] + [("css", "other")], "doc_type string, pattern string")
+    assert [r.pattern for r in search.expand_patterns(labels, patterns, targets, 2, "asked", more).orderBy("rank").collect()][4:] == ["new 0", "new 1", "new 2"]
+    assert search.expand_patterns(labels, patterns, targets, 7, None, more).count() == 3 + 5
 
 
 def test_embed(spark):
@@ -194,6 +204,36 @@ def test_embed(spark):
     assert search.embed(df.limit(1), "t", broken).first().embedding_error == "no model"
 
 
+def test_describe(spark):
+    rows = [("a.css", "text one", None, None), ("b", "bad", None, None), ("c", "text", "own", None), ("d", "", None, None), ("e", "x", "t", "d")]
+    df = spark.createDataFrame(rows, "url string, content string, title string, description string")
+
+    def write(texts):
+        if "bad" in texts:
+            raise RuntimeError("no")
+        return [(f"T {t}", f"D {t}") for t in texts]
+
+    got = {r.url: (r.title, r.description) for r in search.describe(df, write).collect()}
+    assert got == {"a.css": ("T text one", "D text one"), "b": (None, None), "c": ("own", "D text"), "d": (None, None), "e": ("t", "d")}
+
+
+def test_embed_calls_the_model_with_batches(spark):
+    def make():
+        def model(texts):
+            if len(texts) > 1 and "odd" in texts:
+                raise RuntimeError("batch")
+            if texts == ["odd"]:
+                raise RuntimeError("odd one")
+            return [[float(len(texts)), float(len(t))] for t in texts]
+
+        return model
+
+    got = search.embed(spark.createDataFrame([("aa",), ("b",), (None,)], "t string").coalesce(1), "t", make, None).collect()
+    assert [r.embedding for r in got] == [[2.0, 2.0], [2.0, 1.0], None]
+    got = search.embed(spark.createDataFrame([("aa",), ("odd",)], "t string").coalesce(1), "t", make, None).collect()
+    assert [(r.embedding, r.embedding_error) for r in got] == [([1.0, 2.0], None), (None, "odd one")]
+
+
 def test_upsert_is_idempotent(docs, tmp_path):
     root, staging = f"{tmp_path}/corpus", f"{tmp_path}/staging"
     sinks.upsert_documents(docs, root, staging)
@@ -204,6 +244,9 @@ def test_upsert_is_idempotent(docs, tmp_path):
     sinks.upsert_documents(newer, root, staging)
     stored = spark.read.parquet(root)
     assert stored.count() == docs.count() and stored.filter("title = 'new'").count() == newer.count()
+    older = newer.withColumns({"ts": F.col("ts") - F.expr("INTERVAL 9 DAYS"), "title": F.lit("again")})
+    sinks.upsert_documents(older, root, staging)
+    assert spark.read.parquet(root).filter("title = 'again'").count() == newer.count()
     scan = listing.scan_corpus(spark, root, 1, ["url", "ts"], F.col("doc_type") == "network", True)
     assert scan.columns == ["url", "ts"] and scan.count() == newer.count()
     plan = scan._jdf.queryExecution().toString()
@@ -230,5 +273,7 @@ def test_stream_equals_batch(spark, tmp_path):
     stored = spark.read.parquet(root)
     assert {(r.doc_type, r.url) for r in stored.collect()} == {("content", "https://a.example.com/x"), ("network", "https://a.example.com/x")} and stored.count() == 2
     assert [r.item for r in spark.read.parquet(rejects).collect()] == ["garbage"]
-    ingest.ingest_chunks(spark, root, stored.schema, f"{tmp_path}/chunks", f"{tmp_path}/chunk-state", F.lit("html")).awaitTermination()
+    log = spark.read.parquet(f"{state}/log")
+    assert log.count() == 2
+    ingest.ingest_chunks(spark, f"{state}/log", log.schema, f"{tmp_path}/chunks", f"{tmp_path}/chunk-state", F.lit("html")).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/chunks/*").count() == 2

@@ -114,3 +114,28 @@ def test_patterns(spark, tmp_path):
     (tmp_path / "xss_network.txt").write_text("three\n-----\n")
     rows = sorted(tuple(r) for r in findings.read_patterns(spark, str(tmp_path)).collect())
     assert rows == [("sql_injection", "html", "one"), ("sql_injection", "html", "two\nlines"), ("xss", "network", "three")]
+
+
+def test_custom_routes_come_first(spark):
+    from webstrata.sources import captures
+
+    own = lambda d: (captures.parse_katana(d.select(F.regexp_replace("value", "^x:", "").alias("value"))))
+    item = '{"timestamp":"2025-01-01T00:00:00Z","request":{"endpoint":"http://a.example.com/","method":"get"},"response":{"status_code":200}}'
+    items = spark.createDataFrame([("x:" + item,), (item,), ("?",)], "value string")
+    good, bad = captures.route_formats(items, F.lit("2025-01-01").cast("timestamp"), routes=[(F.col("value").startswith("x:"), own)])
+    assert good.count() == 2 and [r.item for r in bad.collect()] == ["?"]
+
+
+def test_uploads(spark):
+    from webstrata.sources import captures
+
+    item = '{"timestamp":"2025-01-01T00:00:00Z","request":{"endpoint":"http://a.example.com/%d","method":"get"},"response":{"status_code":200}}'
+    head = '"Host: c.example.com\nAccept: a, b\nX: ""q"""'
+    csv = f'url,method,time,status,request,response\nhttp://c.example.com/x,POST,2025-01-01T00:00:00Z,201,{head},"Server: s\nA: b\nC: d"\n'
+    raw = "GET /p HTTP/1.1\nHost: d.example.com\n\nHTTP/1.1 204 No\nDate: Wed, 1 Jan 2025 00:00:00 GMT\n\n"
+    bodies = spark.createDataFrame([(item % 1 + "\n" + item % 2 + "\n",), (csv,), (raw,), ("nothing",)], "value string")
+    good, bad = captures.route_uploads(bodies, F.lit("2025-01-01").cast("timestamp"))
+    got = {(r.url, r.method, r.status_code): r for r in good.collect()}
+    assert set(got) == {("http://a.example.com/1", "GET", 200), ("http://a.example.com/2", "GET", 200), ("http://c.example.com/x", "POST", 201), ("http://d.example.com/p", "GET", 204)}
+    assert [tuple(h) for h in got["http://c.example.com/x", "POST", 201].request_headers] == [("Host", "c.example.com"), ("Accept", "a, b"), ("X", '"q"')]
+    assert {r.item for r in bad.collect()} == {"nothing", "url,method,time,status,request,response"}

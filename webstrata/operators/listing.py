@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webstrata.functions.urls import url_struct, url_variants
+from webstrata.functions.urls import target_struct, target_url, url_struct, url_variants
 from webstrata.functions.values import page_slice
 from webstrata.operators.documents import sort_unique
 
@@ -47,6 +47,13 @@ def host_ends_with(host: str, port: int | None = None, boundary: bool = False) -
     return named & (F.col("port") == port) if port and port > 0 else named
 
 
+def holds_text(column: str, text: str | None, case_blind: bool = False) -> Column:
+    """Values that hold a text (domains are compared without case); no text means all."""
+    if not text:
+        return F.lit(True)
+    return F.lower(column).contains(text.lower()) if case_blind else F.col(column).contains(text)
+
+
 def below_prefix(prefix: str, exact: Sequence[str]) -> Column:
     return F.col("url").startswith(prefix) & ~F.col("url").isin(list(exact))
 
@@ -80,11 +87,11 @@ def list_collections(df: DataFrame) -> DataFrame:
     return df.select("doc_type", "token_length").distinct()
 
 
-def distinct_values(df: DataFrame, column: str, fallback: str | None = None) -> DataFrame:
-    """Sorted distinct lower-cased values; an empty one is taken from ``fallback``."""
+def distinct_values(df: DataFrame, column: str, fallback: str | None = None, holds: str | None = None) -> DataFrame:
+    """Sorted distinct lower-cased values, of those that hold a text; an empty one is taken from ``fallback``."""
     own = F.when(F.trim(column) != "", F.col(column))
     value = F.lower(own if fallback is None else F.coalesce(own, F.col(fallback)))
-    return df.select(value.alias(column)).filter(F.col(column) != "").distinct().orderBy(column)
+    return df.select(value.alias(column)).filter((F.col(column) != "") & holds_text(column, holds, case_blind=True)).distinct().orderBy(column)
 
 
 def corpus_summary(df: DataFrame, approximate: bool = False) -> DataFrame:
@@ -115,7 +122,7 @@ def recent_urls(df: DataFrame, n: int = 5) -> DataFrame:
 def find_urls(df: DataFrame, host: str, path: str | None = None, limit: int | None = None) -> DataFrame:
     """The newest distinct URLs under a host whose path holds a text, sorted by text."""
     rows = df.filter(host_ends_with(host))
-    rows = rows if not path else rows.filter(F.col("path").contains(path))
+    rows = rows.filter(holds_text("path", path))
     newest = rows.groupBy("url").agg(F.max("ts").alias("ts")).orderBy(F.desc("ts"), "url").limit(clamp(limit))
     return newest.select("url").orderBy("url")
 
@@ -169,21 +176,27 @@ def fetch_content(df: DataFrame, doc_type: str | None = None, doc_id: str | None
     return one.select("doc_id", "url", page_slice(F.col("content"), start, length).alias("page")).select("doc_id", "url", "page.*")
 
 
-def find_resources(df: DataFrame, url: str, limit: int | None = None, methods: Sequence[str] | None = None) -> DataFrame:
-    """Lookup cascade, first non-empty wins: the URL and what lies below it, its host:port, its host."""
+def find_resources(df: DataFrame, url: str, limit: int | None = None, methods: Sequence[str] | None = None, hits: DataFrame | None = None) -> DataFrame:
+    """Lookup cascade, first non-empty wins: the URL and what lies below it, its host:port, its host, search.
+
+    ``hits`` (doc_id, score) are what a search for the query found; they count where nothing is known by name.
+    """
     spark, n = df.sparkSession, clamp(limit)
     row = spark.range(1).select(url_variants(F.lit(url)).alias("v"), url_struct(F.lit(url)).alias("u")).first()
     prefix, exact, facts = row["v"]["prefix"], list(row["v"]["urls"]), row["u"]
     base = df if "score" in df.columns else df.withColumn("score", F.lit(0.0))
     base = base.filter(all_of(in_values("http_method", methods)))
-    stages = [F.col("url").isin(exact) | below_prefix(prefix, exact)]
+    stages = [F.col("url").isin(exact) | below_prefix(prefix, exact)] if "://" in url else []
     if facts is not None:
         stages += [F.col("netloc") == facts["netloc"], F.col("host") == facts["host"]]
     for condition in stages:
         found = base.filter(condition)
         if not found.limit(1).isEmpty():
             return sort_unique(found, n)
-    return base.limit(0)
+    if hits is None:
+        return base.limit(0)
+    best = hits.groupBy("doc_id").agg(F.max("score").alias("score"))
+    return sort_unique(base.drop("score").join(best, "doc_id"), n).select(*base.columns)
 
 
 def http_resource(df: DataFrame) -> DataFrame:
@@ -208,12 +221,21 @@ def replay_body(df: DataFrame) -> DataFrame:
     return df.withColumns({"body": body, "response_headers": kept})
 
 
-def recommend_urls(df: DataFrame, url: str, limit: int = 1000) -> DataFrame:
-    """GET URLs of the same netloc whose path begins like the asked one; else all of the netloc."""
+def recommend_urls(df: DataFrame, url: str, limit: int = 1000, most_recent: int = 10_000) -> DataFrame:
+    """GET URLs of the same netloc whose path begins like the asked one; else all of the netloc.
+
+    Where nothing of the netloc is stored: a URL for each netloc among the newest rows.
+    """
     facts = df.sparkSession.range(1).select(url_struct(F.lit(url)).alias("u")).first()["u"]
-    rows = df.filter((F.col("netloc") == facts["netloc"]) & (F.col("http_method") == "GET")).orderBy(F.desc("ts"), "doc_id").limit(limit)
-    under = rows.filter(url_struct(F.col("url"))["path"].startswith(facts["path"]))
-    return (rows if under.isEmpty() else under).select("url").distinct().orderBy("url")
+    got = df.filter(F.col("http_method") == "GET")
+    if facts is not None:
+        rows = got.filter(F.col("netloc") == facts["netloc"]).orderBy(F.desc("ts"), "doc_id").limit(limit)
+        under = rows.filter(url_struct(F.col("url"))["path"].startswith(facts["path"]))
+        for found in (under, rows):
+            if not found.isEmpty():
+                return found.select("url").distinct().orderBy("url")
+    newest = got.orderBy(F.desc("ts"), "doc_id").limit(most_recent).select("netloc").distinct()
+    return newest.select(target_url(target_struct(F.col("netloc"))).alias("url")).filter("url IS NOT NULL").distinct().orderBy("url")
 
 
 def recommended_targets(df: DataFrame) -> DataFrame:

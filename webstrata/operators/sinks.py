@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webstrata.operators.documents import latest_by
-
-PARTITIONS = ("version", "doc_type", "token_length")
+PARTITIONS = ("version", "doc_type", "token_length", "bucket")
 
 
 def _exists(df: DataFrame, path: str) -> bool:
@@ -16,26 +14,32 @@ def _exists(df: DataFrame, path: str) -> bool:
     return fs.exists(p)
 
 
-def partition_by_collection(df: DataFrame) -> DataFrame:
-    """Columns that name a collection are set: an unsplit token length is 0 as a partition value."""
-    return df.withColumn("token_length", F.coalesce("token_length", F.lit(0)))
+def partition_by_collection(df: DataFrame, buckets: int = 16) -> DataFrame:
+    """Columns that name a collection are set: an unsplit token length is 0 as a partition value; bucket is of the id's hash."""
+    return df.withColumns({"token_length": F.coalesce("token_length", F.lit(0)), "bucket": F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")})
+
+
+def stored_like(df: DataFrame, root: str, buckets: int = 16) -> DataFrame:
+    """Stored rows of the partitions (collection and bucket) that rows of ``df`` fall in; others aren't read."""
+    touched = partition_by_collection(df, buckets).select(*PARTITIONS).distinct()
+    return df.sparkSession.read.parquet(root).join(touched, list(PARTITIONS), "left_semi")
 
 
-def upsert_documents(df: DataFrame, root: str, staging: str) -> None:
+def upsert_documents(df: DataFrame, root: str, staging: str, buckets: int = 16) -> None:
     """Overwrite by id within each collection; only touched partitions are written.
 
-    New rows win over stored ones of their id by time, then stored ones.  Touched partitions are
-    first written to ``staging``, then moved in by a dynamic partition overwrite, so that a failure
-    in between leaves the stored rows.  Writing one batch twice gives the same table.
+    A new row replaces the stored one of its id, whatever their times; of several new ones the newest
+    counts.  A collection is cut into ``buckets`` by id (as many for the whole life of a table, so that a
+    batch touches few).  Touched partitions are first written to ``staging``, then moved in by a dynamic
+    partition overwrite, so that a failure in between leaves the stored rows.  Writing one batch twice
+    gives the same table.
     """
-    new = partition_by_collection(df).withColumn("_new", F.lit(1))
+    new = partition_by_collection(df, buckets).withColumn("_new", F.lit(1))
     rows = new
     if _exists(df, root):
-        stored = df.sparkSession.read.parquet(root)
-        touched = new.select(*PARTITIONS).distinct()
-        stored = stored.join(touched, list(PARTITIONS), "left_semi").withColumn("_new", F.lit(0))
-        rows = new.unionByName(stored, allowMissingColumns=True)
-    newest = latest_by(rows.withColumn("_order", -F.col("_new")), [*PARTITIONS, "doc_id"], tie="_order").drop("_new", "_order")
+        rows = new.unionByName(stored_like(df, root, buckets).withColumn("_new", F.lit(0)), allowMissingColumns=True)
+    order = Window.partitionBy(*PARTITIONS, "doc_id").orderBy(F.desc("_new"), F.desc_nulls_last("ts"), "content_sha256")
+    newest = rows.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_new", "_rank")
     newest.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(staging)
     fresh = df.sparkSession.read.schema(newest.schema).parquet(staging)
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(root)

@@ -177,7 +177,7 @@ def collapsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(string_split(b.text, ' ')) > 8""")
+SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''""")
 def pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.text_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
@@ -369,10 +369,10 @@ def expanded_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", F.array_join("p", ",").alias("ports"))
 
 
-@register("""SELECT doc_id, lang || '|' || source AS joined, CASE WHEN lang IS NULL OR source IS NULL THEN NULL ELSE 2 END AS n FROM documents""")
+@register("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang || '|' || source ELSE lang || '|| ' || source END AS joined, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 3 END AS n FROM documents""")
 def list_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels as a JSON array on even ids, comma-separated on odd ones; both read the same."""
-    text = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.array("lang", "source"))).otherwise(F.concat(F.col("lang"), F.lit(" , "), F.col("source")))
+    """Labels as a JSON array on even ids, comma-separated on odd ones: parts stay as they stand, empty ones too."""
+    text = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.array("lang", "source"))).otherwise(F.concat_ws(",", "lang", F.lit(""), F.concat(F.lit(" "), "source")))
     rows = table(spark, sf_dir, "documents").select("doc_id", values.list_column(text).alias("v"))
     return rows.select("doc_id", F.array_join("v", "|").alias("joined"), F.size("v").alias("n"))
 

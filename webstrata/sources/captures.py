@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.functions.urls import url_struct
 from webstrata.functions.values import parsed_time, title_case
 from webstrata.sources.schema import EXCHANGE, HAR, HEADERS, KATANA
+from webstrata.sources.shared import lines_or_whole
 
 
 def _exchange(df: DataFrame, **columns: Column) -> DataFrame:
@@ -78,12 +81,8 @@ def parse_katana(items: DataFrame, value: str = "value", rtt_in_ms: bool = False
 
 
 def read_katana(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Katana JSONL: a JSON object a line; a file whose first line is no object is one object."""
-    files = spark.read.text(path, wholetext=True)
-    first = F.split_part(F.trim("value"), F.lit("\n"), F.lit(1))
-    whole = F.from_json(first, "map<string,string>").isNull()
-    lines = files.select(F.explode(F.when(whole, F.array("value")).otherwise(F.split("value", r"\r?\n"))).alias("value")).filter(F.trim("value") != "")
-    return parse_katana(lines)
+    """Katana JSONL: a JSON object a line; a file in which no line is an object is one object."""
+    return parse_katana(lines_or_whole(spark, path))
 
 
 def read_capture_export(spark: SparkSession, path: str, ignore: tuple[int, ...] = (404, 429, 503)) -> tuple[DataFrame, DataFrame]:
@@ -181,9 +180,21 @@ def read_http_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     """
     raw = spark.read.csv(path, multiLine=True, escape='"', header=False)
     cells = F.array(*[F.col(c) for c in raw.columns])
-    rows = raw.select(F.monotonically_increasing_id().alias("row"), cells.alias("cells"))
+    return parse_csv_cells(raw.select(F.monotonically_increasing_id().cast("string").alias("row"), cells.alias("cells")))
+
+
+def csv_cells(body: Column) -> Column:
+    """Records of a CSV text as an array of arrays of cells; quoted cells may hold commas, lines and doubled quotes."""
+    records = F.regexp_extract_all(body, F.lit(r'((?:"[^"]*+"|[^"\r\n]++)++)'), F.lit(1))
+    cells = lambda r: F.regexp_extract_all(F.concat(F.lit(","), r), F.lit(r',((?:"[^"]*+")++|[^",]*+)'), F.lit(1))
+    plain = lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(F.when(c != "", c))
+    return F.transform(records, lambda r: F.transform(cells(r), plain))
+
+
+def parse_csv_cells(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Exchanges of CSV rows (row: an id; cells: array<string>), by the roles of ``read_http_csv``."""
     named = F.array_position(F.transform("cells", lambda c: F.lower(c).rlike(r"^(response\.)?rtt$")), F.lit(True))
-    at = rows.select(F.max(named)).first()[0]  # one number for the whole file
+    at = rows.select(F.max(named)).first()[0]  # one number for all rows
     rows = rows.withColumn("rtt_at", F.lit(at or None).cast("int"))
     each = rows.select("row", "rtt_at", F.posexplode("cells").alias("pos", "cell"))
     c = F.col("cell")
@@ -239,30 +250,55 @@ def read_http_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return good, found.filter("_reason IS NOT NULL").select("item", F.col("_reason").alias("reason"))
 
 
-def route_formats(items: DataFrame, as_of: Column, value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Exchanges of items in any format, tried in the order katana, HAR, raw; the rest is rejected."""
-    t = F.trim(F.col(value))
+Parser = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def route_formats(items: DataFrame, as_of: Column, value: str = "value", routes: Sequence[tuple[Column, Parser]] = ()) -> tuple[DataFrame, DataFrame]:
+    """Exchanges of items in any format, tried in the order katana, HAR, raw; the rest is rejected.
+
+    ``routes`` are tried first: a condition on the column ``value``, and a parser that takes such rows
+    and gives exchanges and rejects.
+    """
+    t = F.trim(F.col("value"))
     keys = F.when(t.startswith("{"), F.json_object_keys(F.when(t.startswith("{"), t)))
-    kind = (
-        F.when(F.array_contains(keys, "request") & F.array_contains(keys, "response"), "katana")
-        .when(F.array_contains(keys, "log"), "har")
-        .when(t.rlike(r"^[A-Z]+ \S+ HTTP/\d"), "raw")
-        .otherwise("none")
-    )
-    marked = items.select(F.col(value).alias("value"), kind.alias("kind"))
-    good, bad = [], [marked.filter("kind = 'none'").select(F.col("value").alias("item"), F.lit("unknown format").alias("reason"))]
-    for name, parse in (("katana", parse_katana), ("har", lambda d: parse_har(d, as_of)), ("raw", lambda d: parse_http_raw(d, as_of))):
-        g, b = parse(marked.filter(F.col("kind") == name).select("value"))
-        good.append(g)
-        bad.append(b)
-    exchanges, rejects = good[0], bad[0]
-    for g in good[1:]:
-        exchanges = exchanges.unionByName(g)
-    for b in bad[1:]:
-        rejects = rejects.unionByName(b)
+    known: list[tuple[Column, Parser]] = [
+        *routes,
+        (F.array_contains(keys, "request") & F.array_contains(keys, "response"), parse_katana),
+        (F.array_contains(keys, "log"), lambda d: parse_har(d, as_of)),
+        (t.rlike(r"^[A-Z]+ \S+ HTTP/\d"), lambda d: parse_http_raw(d, as_of)),
+    ]
+    kind = F.lit(None).cast("int")
+    for k, (condition, _) in reversed(list(enumerate(known))):
+        kind = F.when(condition, k).otherwise(kind)
+    marked = items.select(F.col(value).alias("value")).withColumn("kind", kind)
+    exchanges, rejects = None, marked.filter("kind IS NULL").select(F.col("value").alias("item"), F.lit("unknown format").alias("reason"))
+    for k, (_, parse) in enumerate(known):
+        good, bad = parse(marked.filter(F.col("kind") == k).select("value"))
+        exchanges = good if exchanges is None else exchanges.unionByName(good)
+        rejects = rejects.unionByName(bad)
     return exchanges, rejects
 
 
+def route_uploads(bodies: DataFrame, as_of: Column, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Exchanges of uploaded bodies (one a row): katana lines, else CSV, else one item in any format.
+
+    A body is of katana lines if its first line is such an object, and CSV if its first two lines hold
+    commas outside of JSON and raw HTTP.
+    """
+    t = F.trim(F.col(value))
+    first, second = (F.split_part(t, F.lit("\n"), F.lit(k)) for k in (1, 2))
+    keys = F.when(first.startswith("{"), F.json_object_keys(F.when(first.startswith("{"), first)))
+    by_line = F.coalesce(F.array_contains(keys, "request"), F.lit(False))
+    is_csv = ~t.startswith("{") & ~t.startswith("[") & ~first.rlike(r"^[A-Z]+ \S+ HTTP/\d") & first.contains(",") & (second.contains(",") | (second == ""))
+    kind = F.when(by_line, "lines").when(is_csv, "csv").otherwise("item")
+    marked = bodies.select(F.col(value).alias("value"), kind.alias("kind"))
+    lines = marked.filter("kind = 'lines'").select(F.explode(F.split("value", r"\r?\n")).alias("value")).filter(F.trim("value") != "")
+    good, bad = route_formats(lines.unionByName(marked.filter("kind = 'item'").select("value")), as_of)
+    records = marked.filter("kind = 'csv'").select(F.sha2("value", 256).alias("id"), F.posexplode(csv_cells(F.col("value"))).alias("at", "cells"))
+    more, rest = parse_csv_cells(records.select(F.concat_ws(":", "id", "at").alias("row"), "cells"))
+    return good.unionByName(more), bad.unionByName(rest)
+
+
 def replay_log(spark: SparkSession, path: str, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """Exchanges of an append log of raw items, one JSON item a line."""
     return route_formats(spark.read.text(path), as_of)

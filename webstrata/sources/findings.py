@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webstrata.functions.urls import is_valid_host, query_netloc, url_struct
 from webstrata.sources.schema import SCANNER
+from webstrata.sources.shared import lines_or_whole
 
 PLAIN = "target string, targets array<string>, title string, markdown string"
 #: Search-engine hints in a scanner's metadata.
@@ -96,7 +97,8 @@ def classification_rows(findings: DataFrame) -> DataFrame:
 
 
 def read_findings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_findings(split_items(spark.read.text(path, wholetext=True)))
+    """Findings of files of lines (an object each), or of files that hold one object or an array."""
+    return parse_findings(split_items(lines_or_whole(spark, path)))
 
 
 HOST_XML = (

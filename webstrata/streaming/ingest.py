@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from webstrata.operators.documents import chunk_documents, derive_documents, new_by_id, normalize_documents
-from webstrata.operators.sinks import _exists, quarantine, upsert_documents
+from webstrata.operators.sinks import _exists, quarantine, stored_like, upsert_documents
 from webstrata.sources.captures import route_formats
 
 
@@ -17,28 +17,34 @@ def stream_items(spark: SparkSession, directory: str, files_per_batch: int = 100
 
 
 def ingest(items: DataFrame, root: str, checkpoint: str, rejects: str, as_of: Column) -> StreamingQuery:
-    """Tier 1: parse, derive, drop what is stored, normalize, upsert; rejects go to a side table.
+    """Tier 1: parse, derive, drop what is stored, normalize, log, upsert; rejects go to a side table.
 
-    A batch that is run again after a failure writes the same rows: ids follow from the content,
-    and upserts replace by id.
+    The new documents of a batch are written once, to ``<checkpoint>/log/batch=<n>``, and upserted
+    from there.  A batch that is run again after a failure takes what its log has, so nothing is lost
+    between log and table, and upserts replace by id.  Tier 2 reads the log.
     """
 
     def batch(df: DataFrame, number: int) -> None:
+        spark, log = df.sparkSession, f"{checkpoint}/log/batch={number}"
         good, bad = route_formats(df, as_of)
-        docs = derive_documents(good, as_of)
-        if _exists(df, root):
-            docs = new_by_id(docs, df.sparkSession.read.parquet(root))
-        upsert_documents(normalize_documents(docs), root, f"{checkpoint}/staging")
-        if _exists(df, f"{rejects}/batch={number}"):
-            return  # written by an earlier attempt at this batch
-        quarantine(bad, f"{rejects}/batch={number}", as_of)
+        if not _exists(df, f"{log}/_SUCCESS"):
+            docs = derive_documents(good, as_of)
+            if _exists(df, root):
+                docs = new_by_id(docs, stored_like(docs, root))
+            normalize_documents(docs).write.mode("overwrite").parquet(log)
+        upsert_documents(spark.read.parquet(log), root, f"{checkpoint}/staging/{number}")
+        if not _exists(df, f"{rejects}/batch={number}/_SUCCESS"):
+            quarantine(bad, f"{rejects}/batch={number}", as_of)
 
     return items.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
 
 
-def ingest_chunks(spark: SparkSession, root: str, schema, chunks: str, checkpoint: str, kind: Column) -> StreamingQuery:
-    """Tier 2, optional: content rows of tier 1 become chunks, with a checkpoint of its own."""
-    rows = spark.readStream.schema(schema).parquet(root).filter("doc_type = 'content'").withColumn("doc_type", kind)
+def ingest_chunks(spark: SparkSession, log: str, schema, chunks: str, checkpoint: str, kind: Column) -> StreamingQuery:
+    """Tier 2, optional: content rows of tier 1's log become chunks, with a checkpoint of its own.
+
+    The log only grows, so each row is chunked once.
+    """
+    rows = spark.readStream.schema(schema).parquet(log).filter("doc_type = 'content'").withColumn("doc_type", kind)
 
     def batch(df: DataFrame, number: int) -> None:
         chunk_documents(df).write.mode("overwrite").parquet(f"{chunks}/batch={number}")
