@@ -2,40 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.sources.shared import shared_dir
+from webstrata.sources.shared import discard, materialize, shared_dir
+
+__all__ = ["WORD", "discard", "hashed_sample", "materialize", "shared_dir", "slices"]
 
 #: White space that separates words in every contract here: space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back.
-
-    This cuts the lineage: a lost executor costs the tasks it ran, not the plan behind them.
-    The tables stay until the folder of the application is removed or ``discard`` is called.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/webstrata-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._webstrata_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by ``materialize`` that nothing reads any more."""
-    spark, path = df.sparkSession, df._webstrata_path
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About ``rows`` rows of ``df``, all if there are no more: those whose key's hash is small enough.
 

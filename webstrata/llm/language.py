@@ -213,7 +213,10 @@ def learn_samples(docs: DataFrame, rows: int = 48, chars: int = 24_000, id_col:
     first = F.when(first.rlike(r"\p{L}"), first).otherwise(F.substring(F.regexp_replace(text, r"^\P{L}+", ""), 1, each))
     good = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & text.rlike(r"\p{L}")).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), first.alias("first"))
     ids = good.filter(~held_out(F.col("id"))).select("lang", "id").distinct()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    most = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # of a large language only ids with small hashes are ranked, some 20 times as many as are taken
+    small = F.pmod(F.xxhash64("id"), F.lit(1 << 31)) / F.lit(float(1 << 31)) <= F.lit(20.0 * rows) / F.col("n")
+    ids = ids.join(most, "lang").filter(small).select("lang", "id")
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 31)), "id")
     chosen = {(r["lang"], r["id"]) for r in ids.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows).collect()}
     one = good.filter(F.col("id").isin([i for _, i in chosen])).groupBy("lang", "id").agg(F.min("first").alias("first")) if chosen else None
     got = [(r["lang"], r["hash"], r["first"]) for r in one.withColumn("hash", F.xxhash64("id")).collect() if (r["lang"], r["id"]) in chosen] if chosen else []
