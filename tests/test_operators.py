@@ -277,3 +277,10 @@ def test_stream_equals_batch(spark, tmp_path):
     assert log.count() == 2
     ingest.ingest_chunks(spark, f"{state}/log", log.schema, f"{tmp_path}/chunks", f"{tmp_path}/chunk-state", F.lit("html")).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/chunks/*").count() == 2
+
+
+def test_content_length_follows_the_clean_body(spark):
+    row = ("a", "content", "application/json", "{b: 1}", False, [("Content-Length", "9"), ("A", "b")])
+    df = spark.createDataFrame([row], "content_sha256 string, doc_type string, content_type string, content string, normalized boolean, response_headers array<struct<name:string,value:string>>")
+    got = documents.normalize_documents(df).first()
+    assert got.content == '{"b":1}' and got.normalized and [tuple(h) for h in got.response_headers] == [("Content-Length", "7"), ("A", "b")]

@@ -388,7 +388,8 @@ def normalize_documents(df: DataFrame) -> DataFrame:
     distinct = todo.groupBy("content_sha256", "_kind").agg(F.first("content").alias("content"))
     clean = normalized_bodies(distinct, "content_sha256", "_kind", "content").select(F.col("key").alias("content_sha256"), F.col("kind").alias("_kind"), "clean")
     done = todo.join(clean, ["content_sha256", "_kind"], "left")
-    changed = F.col("clean").isNotNull() & (F.col("clean") != F.col("content"))
+    done = done.withColumn("_changed", F.col("clean").isNotNull() & (F.col("clean") != F.col("content")))  # before content is replaced
+    changed = F.col("_changed")
     length = F.octet_length("clean").cast("string")
     patched = F.transform("response_headers", lambda h: F.struct(h["name"].alias("name"), F.when(changed & (F.lower(h["name"]) == "content-length"), length).otherwise(h["value"]).alias("value")))
     done = done.withColumns({"response_headers": patched, "normalized": changed, "content": F.when(changed, F.col("clean")).otherwise(F.col("content"))})

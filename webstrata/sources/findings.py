@@ -21,6 +21,10 @@ def _listed(value: Column) -> Column:
     return F.coalesce(split, F.array().cast("array<string>"))
 
 
+def _stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\r\n\x0b\x0c"))
+
+
 def _valid_target(text: Column) -> Column:
     return F.coalesce(F.when(text.contains("://"), url_struct(text).isNotNull()).otherwise(is_valid_host(query_netloc(text)["host"])), F.lit(False))
 
@@ -45,8 +49,8 @@ def parse_findings(items: DataFrame, item: str = "item") -> tuple[DataFrame, Dat
     scanner = F.coalesce(F.array_contains(keys, "template-id") & F.array_contains(keys, "info"), F.lit(False))
     plain = items.filter(~scanner).withColumn("_j", F.from_json(item, PLAIN))
     j = F.col("_j")
-    targets = F.filter(F.transform(F.coalesce(j["targets"], F.array(j["target"])), lambda x: F.trim(x)), _valid_target)
-    plain = plain.select(F.col(item).alias("item"), F.get(targets, F.lit(0)).alias("target"), targets.alias("targets"), F.trim(j["title"]).alias("title"), F.trim(j["markdown"]).alias("markdown"))
+    targets = F.filter(F.transform(F.coalesce(j["targets"], F.array(j["target"])), _stripped), _valid_target)
+    plain = plain.select(F.col(item).alias("item"), F.get(targets, F.lit(0)).alias("target"), targets.alias("targets"), _stripped(j["title"]).alias("title"), _stripped(j["markdown"]).alias("markdown"))
     ok = F.coalesce((F.size("targets") > 0) & (F.col("markdown") != ""), F.lit(False))
     normal = normalize_scanner_findings(items.filter(scanner), item).select("item", F.get("targets", F.lit(0)).alias("target"), "targets", "title", "markdown")
     both = plain.unionByName(normal)

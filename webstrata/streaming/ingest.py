@@ -16,7 +16,7 @@ def stream_items(spark: SparkSession, directory: str, files_per_batch: int = 100
     return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(directory)
 
 
-def ingest(items: DataFrame, root: str, checkpoint: str, rejects: str, as_of: Column) -> StreamingQuery:
+def ingest(items: DataFrame, root: str, checkpoint: str, rejects: str, as_of: Column, buckets: int = 16) -> StreamingQuery:
     """Tier 1: parse, derive, drop what is stored, normalize, log, upsert; rejects go to a side table.
 
     The new documents of a batch are written once, to ``<checkpoint>/log/batch=<n>``, and upserted
@@ -30,9 +30,9 @@ def ingest(items: DataFrame, root: str, checkpoint: str, rejects: str, as_of: Co
         if not _exists(df, f"{log}/_SUCCESS"):
             docs = derive_documents(good, as_of)
             if _exists(df, root):
-                docs = new_by_id(docs, stored_like(docs, root))
+                docs = new_by_id(docs, stored_like(docs, root, buckets))
             normalize_documents(docs).write.mode("overwrite").parquet(log)
-        upsert_documents(spark.read.parquet(log), root, f"{checkpoint}/staging/{number}")
+        upsert_documents(spark.read.parquet(log), root, f"{checkpoint}/staging/{number}", buckets)
         if not _exists(df, f"{rejects}/batch={number}/_SUCCESS"):
             quarantine(bad, f"{rejects}/batch={number}", as_of)
 
