@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from webstrata.operators.documents import chunk_documents, derive_documents, new_by_id, normalize_documents
 from webstrata.operators.sinks import _exists, quarantine, stored_like, upsert_documents
 from webstrata.sources.captures import route_formats
+from webstrata.sources.shared import discard, materialize
 
 
 def stream_items(spark: SparkSession, directory: str, files_per_batch: int = 100) -> DataFrame:
@@ -28,10 +29,13 @@ def ingest(items: DataFrame, root: str, checkpoint: str, rejects: str, as_of: Co
         spark, log = df.sparkSession, f"{checkpoint}/log/batch={number}"
         good, bad = route_formats(df, as_of)
         if not _exists(df, f"{log}/_SUCCESS"):
-            docs = derive_documents(good, as_of)
+            exchanges = materialize(good, "exchanges")  # short plans: each step reads what the one before wrote
+            docs = derived = materialize(derive_documents(exchanges, as_of), "derived")
             if _exists(df, root):
                 docs = new_by_id(docs, stored_like(docs, root, buckets))
             normalize_documents(docs).write.mode("overwrite").parquet(log)
+            for done in (exchanges, derived):
+                discard(done)
         upsert_documents(spark.read.parquet(log), root, f"{checkpoint}/staging/{number}", buckets)
         if not _exists(df, f"{rejects}/batch={number}/_SUCCESS"):
             quarantine(bad, f"{rejects}/batch={number}", as_of)
