@@ -43,6 +43,17 @@ def test_domain_by_table(spark):
     assert got["a.b.example.odd.zone"] == "example.odd.zone" and got["shop.example.com"] == "example.com" and got["1.2.3.4"] == ""
 
 
+def test_suffix_rules(spark, tmp_path):
+    (tmp_path / "rules.dat").write_text("// ===BEGIN ICANN DOMAINS===\ncom\nco.uk\nuk\n*.ck\n!www.ck\n\n// ===BEGIN PRIVATE DOMAINS===\nblog.com // hosts\n")
+    rules = urls.read_suffixes(spark, f"{tmp_path}/rules.dat")
+    assert {(r.suffix, r.private) for r in rules.collect()} == {("com", False), ("co.uk", False), ("uk", False), ("*.ck", False), ("!www.ck", False), ("blog.com", True)}
+    names = {"a.b.com": "b.com", "me.blog.com": "me.blog.com", "x.me.blog.com": "me.blog.com", "blog.com": "blog.com", "a.co.uk": "a.co.uk", "co.uk": "co.uk", "x.y.z.ck": "y.z.ck", "a.www.ck": "www.ck", "Q.B.COM": "b.com", "a.b.zzz": "b.zzz", "10.0.0.1": "", "localhost": "localhost"}
+    hosts = spark.createDataFrame([(n,) for n in [*names, None]], "host string")
+    assert {r.host: r.domain for r in urls.with_domain(hosts, suffixes=rules).collect()} == names | {None: None}
+    public = {r.host: r.is_public for r in urls.with_public_target(hosts, rules).collect()}
+    assert [n for n in names if public[n]] == ["a.b.com", "me.blog.com", "x.me.blog.com", "blog.com", "a.co.uk", "x.y.z.ck", "a.www.ck", "Q.B.COM"] and not public[None]
+
+
 @pytest.mark.parametrize(
     ("text", "host", "port"),
     [("http://A.b/c", "a.b", 80), ("a.b:8443", "a.b", 8443), ("[::1]:80", "::1", 80), ("a.b:x", None, None), ("a.b:99999", "a.b", None), ("A.B", "a.b", None)],

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Default port by scheme.
@@ -90,22 +90,52 @@ def domain_of(host: Column, suffixes: Iterable[str] = KNOWN_SUFFIXES) -> Column:
     return F.when(host.isNull(), F.lit(None)).when(is_ip(host), F.lit("")).when(last(2).isin(*suffixes), last(3)).otherwise(last(2))
 
 
+def read_suffixes(spark: SparkSession, path: str) -> DataFrame:
+    """Rules of a public-suffix file (suffix, private): names, '*.' and '!' rules; private ones stand after their section's mark."""
+    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"), F.col("_metadata.file_path").alias("file"))
+    mark = text.filter(F.col("line").contains("BEGIN PRIVATE DOMAINS")).groupBy("file").agg(F.min("at").alias("mark"))
+    rules = text.join(F.broadcast(mark), "file", "left").filter((F.trim("line") != "") & ~F.col("line").startswith("//"))
+    return rules.select(F.lower(F.split_part(F.trim("line"), F.lit(" "), F.lit(1))).alias("suffix"), F.coalesce(F.col("at") > F.col("mark"), F.lit(False)).alias("private")).distinct()
+
+
+def registrable(hosts: DataFrame, rules: DataFrame, host: str = "host") -> DataFrame:
+    """(host, domain): the label before each distinct host's public suffix, with it; hosts without one aren't given.
+
+    A host's own ends meet the rules (column suffix) by equality, so the table may be of any size: as
+    they are, with their first label as '*', and after '!'.  An exception wins, else the longest match.
+    """
+    each = hosts.select(F.lower(host).alias("host")).filter(F.col("host").isNotNull() & ~is_ip(F.col("host"))).distinct().withColumn("_l", F.split("host", r"\."))
+    tail = lambda i: F.array_join(F.slice("_l", i, F.size("_l")), ".")
+    keys = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_l")), lambda i: F.array(
+        F.struct(tail(i).alias("suffix"), i.alias("from"), F.lit(1).alias("weak")),
+        F.struct(F.concat(F.lit("*."), tail(i + 1)).alias("suffix"), i.alias("from"), F.lit(1).alias("weak")),
+        F.struct(F.concat(F.lit("!"), tail(i)).alias("suffix"), (i + 1).alias("from"), F.lit(0).alias("weak")),
+    )))
+    met = each.select("host", "_l", F.explode(keys).alias("k")).select("host", "_l", "k.*").join(rules.select("suffix").distinct(), "suffix")
+    best = met.groupBy("host").agg(F.min(F.struct("weak", "from", "_l")).alias("b")).filter("b.from > 1")
+    return best.select("host", F.array_join(F.slice("b._l", F.col("b.from") - 1, F.size("b._l")), ".").alias("domain"))
+
+
 def with_domain(df: DataFrame, host: str = "host", suffixes: DataFrame | None = None, out: str = "domain") -> DataFrame:
-    """Add the registrable domain; with a table of suffixes (column suffix) the longest match wins.
+    """Add the registrable domain; with a table of rules (column suffix, see ``registrable``) these decide.
 
-    A table is joined on the host's own suffixes, one row each, so that it may be of any size.
+    '' for an IP address; the last two labels where there is no registrable domain.
     """
     if suffixes is None:
         return df.withColumn(out, domain_of(F.col(host)))
-    hosts = df.select(F.col(host).alias("_host")).filter("_host IS NOT NULL").distinct()
-    labels = hosts.withColumn("_labels", F.split("_host", r"\."))
-    each = labels.select("_host", "_labels", F.posexplode(F.expr("transform(sequence(1, size(_labels)), i -> array_join(slice(_labels, i, size(_labels)), '.'))")).alias("_at", "suffix"))
-    found = each.join(suffixes.select("suffix").distinct(), "suffix").groupBy("_host").agg(F.min("_at").alias("_at"), F.first("_labels").alias("_labels"))
-    known = found.select("_host", F.when(F.col("_at") > 0, F.expr("array_join(slice(_labels, _at, size(_labels)), '.')")).alias("_known"))
-    joined = df.join(known, df[host] == known["_host"], "left").drop("_host")
+    known = registrable(df, suffixes, host).select(F.col("host").alias("_host"), F.col("domain").alias("_known"))
+    joined = df.join(known, F.lower(df[host]) == known["_host"], "left").drop("_host")
     return joined.withColumn(out, F.when(is_ip(F.col(host)), F.lit("")).otherwise(F.coalesce("_known", domain_of(F.col(host), ["-"])))).drop("_known")
 
 
+def with_public_target(df: DataFrame, suffixes: DataFrame, host: str = "host", out: str = "is_public") -> DataFrame:
+    """Add whether a host is a global IP address, or a name with a registrable domain under rules that are not private."""
+    rules = suffixes.filter("NOT private") if "private" in suffixes.columns else suffixes
+    known = registrable(df, rules, host).select(F.col("host").alias("_host"), F.lit(True).alias("_known"))
+    joined = df.join(known, F.lower(df[host]) == known["_host"], "left").drop("_host")
+    return joined.withColumn(out, F.when(is_ip(F.col(host)), is_public_target(F.col(host))).otherwise(F.coalesce("_known", F.lit(False)))).drop("_known")
+
+
 def query_netloc(text: Column) -> Column:
     """Struct of host and port asked for: a URL, host:port, [v6]:port, or a host alone.
 

@@ -331,18 +331,34 @@ def port_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.with_port(asked).select("page_id", F.col("target.host").alias("host"), F.col("target.port").alias("port"))
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of files that arrive in the order of their weeks.
+
+    So a watermark of some days drops state behind it, and no event is late.
+    """
+    from webstrata.sources.shared import shared_dir
+
+    base = f"{shared_dir(spark)}/webstrata-{spark.sparkContext.applicationId}/events-{uuid.uuid4().hex}"
+    week = F.floor(F.unix_timestamp("ts") / (7 * 86_400)).alias("week")
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props", week)
+    weeks = [r[0] for r in events.select("week").distinct().orderBy("week").collect()]  # one value a week of time
+    for w in weeks:
+        events.filter(F.col("week").eqNullSafe(w)).drop("week").write.mode("append").parquet(base)
+    return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 8).parquet(base)
+
+
 @register("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def stream_day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by day and type of a file stream, run until nothing is left, kept by the newest update."""
     from webstrata.sources.shared import shared_dir
 
     base = f"{shared_dir(spark)}/webstrata-stream-{uuid.uuid4().hex}"
-    events = spark.readStream.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet*")
+    events = event_stream(spark, sf_dir)
 
     def keep(df: DataFrame, number: int) -> None:
         df.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/b={number}")
 
-    counts = ingest.day_counts(events, "event_type", late="36500 days")
+    counts = ingest.day_counts(events, "event_type", late="8 days")
     counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(f"{base}/out")
     return rows.groupBy("day", "event_type").agg(F.max_by("n", "batch").alias("n"))
@@ -355,10 +371,16 @@ def query_netlocs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(rf"""
-WITH h AS (SELECT DISTINCT {_HOST} AS host FROM pages)
-SELECT host, CASE WHEN regexp_matches(host, '\.(com|org|net)$') THEN 5 END AS rate FROM h""")
+WITH h AS (SELECT DISTINCT {_HOST} AS host FROM pages UNION SELECT '10.0.' || page_id % 250 || '.1' FROM pages UNION SELECT '9.9.' || page_id % 250 || '.1' FROM pages)
+SELECT host, CASE WHEN host LIKE '10.%' THEN false WHEN host LIKE '9.%' THEN true ELSE NOT ends_with(host, '.example.org') AND host <> 'example.org' AND len(string_split(host, '.')) > CASE WHEN ends_with(host, '.example.net') THEN 3 ELSE 1 END END AS is_public,
+  CASE WHEN regexp_matches(host, '^[0-9.]+$') THEN '' WHEN ends_with(host, '.example.net') AND len(string_split(host, '.')) > 3 THEN array_to_string(list_slice(string_split(host, '.'), -4, -1), '.') ELSE array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') END AS domain FROM h""")
 def public_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_facts(spark, sf_dir).select("host").distinct().select("host", urls.rate_class(F.col("host")).alias("rate"))
+    """Hosts and addresses under rules of a suffix table: a plain one, one with '*', and none for org."""
+    rules = spark.createDataFrame([("com", False), ("net", False), ("*.example.net", False), ("other.org", True)], "suffix string, private boolean")
+    pages = page_facts(spark, sf_dir).select("page_id", "host")
+    address = lambda head: pages.select(F.concat(F.lit(head), F.col("page_id") % 250, F.lit(".1")).alias("host"))
+    hosts = pages.select("host").unionByName(address("10.0.")).unionByName(address("9.9.")).distinct()
+    return urls.with_domain(urls.with_public_target(hosts, rules), suffixes=rules).select("host", "is_public", "domain")
 
 
 @register("""
@@ -446,11 +468,17 @@ def parsed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_findings(items)[0].select("target", F.md5("markdown").alias("markdown_md5"))
 
 
-@register()
+@register("""
+WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, w, unnest(range(CASE WHEN len(w) <= 119 THEN 1 ELSE 1 + CAST(ceil((len(w) - 119) / 104.0) AS BIGINT) END)) AS i FROM w)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_ix, CAST(256 AS INTEGER) AS size, CASE WHEN regexp_matches(array_to_string(list_slice(w, i * 104 + 1, i * 104 + 119), ' '), '\\S') THEN 1.0 ELSE 0.0 END AS norm, '' AS embedding_error FROM c""")
 def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the default embedder over their first 4096 characters."""
-    rows = search.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    return rows.select("doc_id", F.size("embedding").alias("size"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"), "embedding_error")
+    """Chunks of all documents with the default embedder, whole: vectors of 256 components and of unit length."""
+    words, overlap = documents.chunk_sizes(256, 2048)
+    chunks = documents.chunk_words(table(spark, sf_dir, "documents").filter("text IS NOT NULL"), "text", words, overlap, ["doc_id"])
+    rows = search.embed(chunks, "chunk", first_chars=None)
+    norm = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4)
+    return rows.select("doc_id", "chunk_ix", F.size("embedding").alias("size"), norm.alias("norm"), F.coalesce("embedding_error", F.lit("")).alias("embedding_error"))
 
 
 @register("""SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events""")
@@ -459,8 +487,8 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     from webstrata.sources.shared import shared_dir
 
     base = f"{shared_dir(spark)}/webstrata-stream-{uuid.uuid4().hex}"
-    events = spark.readStream.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet*")
+    events = event_stream(spark, sf_dir)
     keyed = events.withColumn("day", F.to_date("ts")).withColumn("doc_id", F.concat_ws("|", "user_id", "event_type", "day"))
-    first = ingest.first_seen(keyed, "36500 days").select("user_id", "event_type", "day")
+    first = ingest.first_seen(keyed, "8 days").select("user_id", "event_type", "day")
     first.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out")
