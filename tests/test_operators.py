@@ -83,7 +83,7 @@ def test_chunk_documents(docs):
 @pytest.mark.parametrize(
     ("kind", "before", "after"),
     [
-        ("html", "<!DOCTYPE html><P Nonce=1 b='2' A=1>x \n &amp; y", '<p a="1" b="2">x & y'), ("json", "{b: 1, 'a': [1,2,], // c\n}", '{"a":[1,2],"b":1}'), ("json", "{broken", "{broken"),
+        ("html", "<!DOCTYPE html><P Nonce=1 b='2' A=1>x \n &amp; y", '<html><head></head><body><p a="1" b="2">x & y</p></body></html>'), ("json", "{b: 1, 'a': [1,2,], // c\n}", '{"a":[1,2],"b":1}'), ("json", "{broken", "{broken"),
         ("css", "b , a>p{ COLOR:#AABBCC; margin:0px; margin : 1.0; background:url('x.png?v=1') } /* c */ @import  url(z.css);", "a>p,b{background:url(x.png);color:#abc;margin:1;}@import url(z.css);"),
         ("css", "@media print{a{b:c}}", "@media print{a{b:c;}}"), ("xml", "<a><b>x</b> <c d='1'/></a>", '<a>\n  <b>\n    x\n  </b>\n  <c d="1">\n  </c>\n</a>'), ("xml", "<!DOCTYPE a><a/>", "<!DOCTYPE a><a/>"),
     ],
@@ -284,3 +284,17 @@ def test_content_length_follows_the_clean_body(spark):
     df = spark.createDataFrame([row], "content_sha256 string, doc_type string, content_type string, content string, normalized boolean, response_headers array<struct<name:string,value:string>>")
     got = documents.normalize_documents(df).first()
     assert got.content == '{"b":1}' and got.normalized and [tuple(h) for h in got.response_headers] == [("Content-Length", "7"), ("A", "b")]
+
+
+@pytest.mark.parametrize(
+    ("page", "clean"),
+    [
+        ("hi", "<html><head></head><body>hi</body></html>"), ("", "<html><head></head><body></body></html>"),
+        ("<!DOCTYPE html><title>T</title><p>a<p>b<div>c", "<html><head><title>T</title></head><body><p>a</p><p>b</p><div>c</div></body></html>"),
+        ("<html><head><meta B=1 a='2' nonce=x></head><body class=k><ul><li>a<li>b</ul></i></body></html>", '<html><head><meta a="2" b="1"/></head><body class="k"><ul><li>a</li><li>b</li></ul></body></html>'),
+        ("<table><tr><td>1<td>2<tr><td>3</table>x<br>y", "<html><head></head><body><table><tr><td>1</td><td>2</td></tr><tr><td>3</td></tr></table>x<br/>y</body></html>"),
+        ("<script>if (a < b) { }</script><b>z", "<html><head><script>if (a < b) { }</script></head><body><b>z</b></body></html>"),
+    ],
+)
+def test_pages_become_whole_trees(page, clean):
+    assert documents._html(page) == clean and documents._html(clean) == clean
