@@ -752,3 +752,31 @@ def test_probing_reads_few_rows_and_finds_the_nearest(sf):
             hits += len(set(np.argsort(-score)[:20]) & set(near))
         n = len(range(0, len(x), 20))
         assert read / n / len(x) <= most and hits / n / 20 >= least
+
+
+CLASHING = "score kept shard slot sequence_id offset length start class cell number rank n base added spans base_failed rep band row row_ component_id size u v i q id trusted hit title t w k at first key".split()
+
+
+def test_columns_named_like_results_change_nothing(spark):
+    """Each operator over the same rows with and without columns of the names it uses itself."""
+    texts = [(i, PROSE.replace("mill", f"mill{i % 7}") + ("" if i % 3 else " token=abcdef123456")) for i in range(40)] + [(None, None), (41, ""), (41, "")]
+    plain = spark.createDataFrame([(i, t, "en" if i is None or i % 2 else "fr", "s", None) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    wide = plain.withColumns({c: F.lit(f"own {c}") for c in CLASHING}).select(*CLASHING, *plain.columns)
+    labels = spark.createDataFrame([(i, 1, "x") for i in range(0, 40, 3)], "doc_id long, quality int, text string")
+    model = licenses.train([PROSE])
+    samples = language.learn_samples(plain)
+    path, words = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+    runs = [
+        lambda d: packing.pack_documents(d, path), lambda d: quality.judge_documents(d, labels), lambda d: secrets.summarize_secrets(secrets.find_secrets(d)), dedup.near_duplicates,
+        lambda d: automaton.encode_documents(d, words), lambda d: language.identify_languages(d, samples), lambda d: licenses.scan_licenses(d, model), sharding.shard_documents,
+        lambda d: extraction.extract_pages(d, id_col="doc_id", url_col="source", html_col="text"),
+    ]
+    for run in runs:
+        a, b = run(plain), run(wide)
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    for keep in (lambda d: quality.keep_good(d, labels), lambda d: language.keep_known(d, samples, 0.6), dedup.keep_one):
+        a, b = keep(plain), keep(wide)
+        assert b.columns == wide.columns and sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    vectors = spark.createDataFrame([(i, [float(i % 5), float(i % 7), 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    a, b = neighbours.search(vectors), neighbours.search(vectors.withColumns({c: F.lit("own") for c in [*CLASHING, "query_id", "code"]}))
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
