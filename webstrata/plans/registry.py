@@ -171,7 +171,15 @@ def scrub_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(values.scrubbed(F.col("text"))).alias("scrubbed_md5"))
 
 
-@register()
+@register(r"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS w, regexp_split_to_array(text, '[\p{L}\p{N}_]+') AS s FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d), k AS (SELECT doc_id, len(w) AS n, unnest(range(1, len(w) // 2 + 1)) AS k FROM d),
+b AS (SELECT doc_id, k, n - k * unnest(range(2, n // k + 1)) AS i FROM k),
+c AS (SELECT b.* FROM b JOIN p x ON x.doc_id = b.doc_id AND x.i = b.i JOIN p y ON y.doc_id = b.doc_id AND y.i = b.i + b.k AND y.word = x.word),
+f AS (SELECT doc_id, min([i, k]) AS f FROM c JOIN d USING (doc_id) WHERE list_slice(w, i + 1, i + k) = list_slice(w, i + k + 1, i + 2 * k) GROUP BY 1),
+g AS (SELECT doc_id, f[1] AS i, f[2] AS k FROM f)
+SELECT doc_id, md5(CASE WHEN k IS NOT NULL AND list_slice(w, i + 1, len(w) - k) = list_slice(w, i + k + 1, len(w))
+  THEN array_to_string(list_transform(range(1, i + k + 1), lambda j: s[j] || w[j]), '') || regexp_extract(s[i + k + 1], '^[^\s]*') ELSE text END) AS collapsed_md5 FROM d LEFT JOIN g USING (doc_id)""")
 def collapsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(values.collapse_repeats("text")).alias("collapsed_md5"))
 
