@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from webstrata.sources.shared import discard, materialize, shared_dir
 
-__all__ = ["WORD", "discard", "hashed_sample", "materialize", "shared_dir", "slices"]
+__all__ = ["WORD", "discard", "hashed_sample", "materialize", "shared_dir", "sized", "slices"]
 
 #: White space that separates words in every contract here: space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +29,11 @@ def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 31)) < bound).limit(2 * rows)
 
 
+def sized(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """The smaller side of a join, a few columns wide: broadcast if it has ``rows`` rows at most, else merged by key."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a worker never holds more than ``rows`` texts as Python objects."""
     for batch in batches:

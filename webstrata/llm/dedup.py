@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webstrata.llm.common import WORD, discard, materialize, slices
+from webstrata.llm.common import WORD, discard, materialize, sized, slices
 
 _WORDS = re.compile(WORD)
 SHINGLE = 5
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6, id_c
                 sets = [shingle_set(t or "").tobytes() for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
-        texts = rows.withColumnRenamed("doc_id", "rep").join(ids, "rep", "left_semi")
+        texts = rows.withColumnRenamed("doc_id", "rep").join(sized(ids), "rep", "left_semi")
         return texts.select("rep", "text").mapInArrow(build, "rep long, shingles binary").dropDuplicates(["rep", "shingles"])
 
     sets = materialize(joined(first), "sets")
@@ -250,11 +250,18 @@ def keep_one(docs: DataFrame, percent: int = 75, miss: float = 1e-6, id_col: str
     A row is known by a hash of all its columns, so rows without an id and rows that share one are
     documents of their own.  Of a group the row with the smallest id stays (rows without one come last,
     then the smallest hash).  Repeated rows are one.  Rows without words are in no group and stay.
+
+    Texts are shuffled only where more than two million rows go, or rows repeat.
     """
     row = next(n for n in ("row", "row_", *(f"row_{k}" for k in range(len(docs.columns)))) if n not in docs.columns)
     named = docs.withColumn(row, F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))  # nulls alone add nothing to a hash
-    groups = near_duplicates(named, percent, miss, row, text_col).select("doc_id", "component_id").distinct()
+    found = materialize(near_duplicates(named, percent, miss, row, text_col).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "groups")
     ids = named.select(F.col(row).alias("doc_id"), F.col(id_col).alias("id")).distinct()
-    first = groups.join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "doc_id")).alias("m"))
-    first = materialize(first.select(F.col("m.doc_id").alias(row)), "kept")
-    return named.dropDuplicates([row]).join(first, row, "left_semi").select(*docs.columns)
+    first = found.join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "doc_id")).alias("m"))
+    gone = materialize(found.select(F.col("doc_id").alias(row)).join(first.select(F.col("m.doc_id").alias(row)), row, "left_anti"), "gone")
+    left = named.join(sized(gone), row, "left_anti")
+    twice = found.filter("n > 1").select(F.col("doc_id").alias(row))
+    if twice.isEmpty():
+        return left.select(*docs.columns)
+    some = sized(twice)
+    return left.join(some, row, "left_anti").unionByName(left.join(some, row, "left_semi").dropDuplicates([row])).select(*docs.columns)

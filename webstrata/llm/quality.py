@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm.common import WORD, slices
+from webstrata.llm.common import WORD, sized, slices
 
 _WORDS = re.compile(WORD)
 _HAS_WORD = re.compile(WORD).search
@@ -81,8 +81,8 @@ def ngram_ratios(docs: DataFrame, labels: DataFrame, n: int = 4, bits: int = 16,
     """Log ratio of target to raw probability for each of the 2**bits buckets.
 
     The raw multinomial counts every n-gram of every document; the target those of every trusted
-    row (quality 1 in some label of its id).  Texts are shuffled once, by id, to meet their labels; then tasks add their rows up to
-    vectors of fixed length, so what the driver gets (2**bits rows) does not depend on texts.
+    row (quality 1 in some label of its id).  Up to two million trusted ids are broadcast, and texts stay where they are; more meet
+    the texts by a merge join.  Tasks add their rows up to vectors of fixed length, so what the driver gets (2**bits rows) does not depend on texts.
     """
     size = 1 << bits
 
@@ -102,8 +102,8 @@ def ngram_ratios(docs: DataFrame, labels: DataFrame, n: int = 4, bits: int = 16,
         at = np.flatnonzero(totals[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[0][at]), pa.array(totals[1][at])], names=["bucket", "raw", "target"])
 
-    good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("id")).filter("id IS NOT NULL").distinct().withColumn("trusted", F.lit(True)).hint("merge")  # one plan at every size
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(good, "id", "left").select("text", "trusted")
+    good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("id")).filter("id IS NOT NULL").distinct().withColumn("trusted", F.lit(True))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(sized(good), "id", "left").select("text", "trusted")
     got = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(size), np.zeros(size)
     raw[got.bucket], target[got.bucket] = got.raw, got.target
