@@ -29,7 +29,7 @@ def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 31)) < bound).limit(2 * rows)
 
 
-def sized(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+def sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """The smaller side of a join, a few columns wide: broadcast if it has ``rows`` rows at most, else merged by key."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 

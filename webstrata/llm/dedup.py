@@ -251,7 +251,7 @@ def keep_one(docs: DataFrame, percent: int = 75, miss: float = 1e-6, id_col: str
     documents of their own.  Of a group the row with the smallest id stays (rows without one come last,
     then the smallest hash).  Repeated rows are one.  Rows without words are in no group and stay.
 
-    Texts are shuffled only where more than two million rows go, or rows repeat.
+    Texts are shuffled only where more than a million rows go, or rows repeat.
     """
     row = next(n for n in ("row", "row_", *(f"row_{k}" for k in range(len(docs.columns)))) if n not in docs.columns)
     named = docs.withColumn(row, F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))  # nulls alone add nothing to a hash

@@ -81,7 +81,7 @@ def ngram_ratios(docs: DataFrame, labels: DataFrame, n: int = 4, bits: int = 16,
     """Log ratio of target to raw probability for each of the 2**bits buckets.
 
     The raw multinomial counts every n-gram of every document; the target those of every trusted
-    row (quality 1 in some label of its id).  Up to two million trusted ids are broadcast, and texts stay where they are; more meet
+    row (quality 1 in some label of its id).  Up to a million trusted ids are broadcast, and texts stay where they are; more meet
     the texts by a merge join.  Tasks add their rows up to vectors of fixed length, so what the driver gets (2**bits rows) does not depend on texts.
     """
     size = 1 << bits
