@@ -68,8 +68,8 @@ def is_ip(host: Column) -> Column:
 
 
 def is_valid_host(host: Column) -> Column:
-    """localhost, an IP address, or a dotted name."""
-    return F.coalesce(is_ip(host) | (host == "localhost") | (host.rlike(HOSTNAME) & host.contains(".")), F.lit(False))
+    """localhost, an IP address, or a dotted name whose last label is no number."""
+    return F.coalesce(is_ip(host) | (host == "localhost") | (host.rlike(HOSTNAME) & host.contains(".") & ~host.rlike(r"\.\d+\.?$")), F.lit(False))
 
 
 def is_valid_network(text: Column) -> Column:
