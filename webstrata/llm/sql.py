@@ -81,3 +81,14 @@ hx AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(
 crc AS (SELECT doc_id, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(h) // 2), lambda i: CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT))), lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1])), CAST(4294967295 AS BIGINT)) AS text_crc32 FROM hx, tab),
 j AS (SELECT crc.doc_id, CAST(size AS BIGINT) AS size, text_crc32, a_s.shard, g_s.shard AS grown_shard, CAST(('0x' || substr(md5(concat_ws(':', CAST(crc.doc_id AS VARCHAR), size, text_crc32)), 17, 8)) AS BIGINT) % greatest(256, (SELECT count(*) FROM documents) // 4000000) AS cell FROM crc JOIN a_s USING (doc_id) JOIN g_s USING (doc_id))
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY cell, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM j"""
+
+_ITEM_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]'), lambda w: w <> '')"
+SQL["op11_fm_index"] = f"""
+WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents), b AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(list_slice(w, i, i + 9), ' ') AS k FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
+place AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM win) WHERE len(w) >= size),
+hit AS (SELECT doc_id, i, win.size, item_id FROM (SELECT doc_id, size, i, array_to_string(list_slice(w, i, i + size - 1), ' ') AS k FROM place) p JOIN win ON p.size = win.size AND p.k = win.k),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY 1),
+it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)"""
