@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webstrata.llm import automaton, contamination, dedup, extraction, language, licenses, neighbours, packing, quality, secrets, sharding
+from webstrata.llm import alignment, automaton, contamination, dedup, extraction, language, licenses, neighbours, packing, quality, runs, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,14 @@ def op11_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.summarize(contamination.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op12_merge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.summarize(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_baier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.summarize(runs.detect_runs(runs.with_periods(_table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     import corpus_pipeline
