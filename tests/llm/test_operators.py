@@ -729,7 +729,8 @@ def test_probing_finds_every_code_in_reach():
             found = index.probe(codes[q], flips)
             assert found.tolist() == np.flatnonzero((differing <= flips).any(axis=1)).tolist()
             assert set(np.flatnonzero(differing.sum(axis=1) <= 4 * (flips + 1) - 1)) <= set(found)
-    assert len(index.candidates(codes[0], 0, 50)) >= 50 and len(index.candidates(codes[0], 0, 10_000)) == 3000
+    every = np.ones(3000, bool)
+    assert len(index.candidates(codes[0], 0, 50, every)) >= 50 and len(index.candidates(codes[0], 0, 10_000, every)) == 3000
 
 
 def test_probing_reads_few_rows_and_finds_the_nearest(sf):
@@ -745,7 +746,7 @@ def test_probing_reads_few_rows_and_finds_the_nearest(sf):
         index = neighbours.SubstringIndex(codes)
         hits = read = 0
         for q in range(0, len(x), 20):
-            near = index.candidates(codes[q], coder.flips, 21)
+            near = index.candidates(codes[q], coder.flips, 21, np.ones(len(codes), bool))
             read += len(near)
             score = x @ x[q]
             score[q] = -np.inf

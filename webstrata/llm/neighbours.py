@@ -125,13 +125,15 @@ class SubstringIndex:
         found[self.order[read]] = True
         return np.flatnonzero(found)
 
-    def candidates(self, code: np.ndarray, flips: int, least: int) -> np.ndarray:
-        """What probing finds; while that is fewer than ``least`` rows, with one bit more flipped."""
-        found = self.probe(code, flips)
-        while len(found) < min(least, self.rows):
-            flips += 1
+    def candidates(self, code: np.ndarray, flips: int, least: int, others: np.ndarray) -> np.ndarray:
+        """Rows of ``others`` that probing finds; while these are fewer than ``least``, with one bit more flipped."""
+        least = min(least, int(others.sum()))
+        while True:
             found = self.probe(code, flips)
-        return found
+            found = found[others[found]]
+            if len(found) >= least:
+                return found
+            flips += 1
 
 
 def exact_scores(x: np.ndarray, vector: np.ndarray) -> np.ndarray:
@@ -216,8 +218,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, block: int = 8192,
             x, ids = np.stack(base["embedding"].to_numpy()), base["vec_id"].to_numpy()
             found = SubstringIndex(np.stack([np.frombuffer(c, np.uint16) for c in base["code"]]))
             for query, vector, code in zip(asked["vec_id"].tolist(), asked["embedding"], asked["code"], strict=True):
-                near = found.candidates(np.frombuffer(code, np.uint16), flips, k + 1)
-                near = near[ids[near] != query]
+                near = found.candidates(np.frombuffer(code, np.uint16), flips, k, ids != query)
                 best, score = best_of(x[near], ids[near], np.asarray(vector), k)
                 got[0].extend([query] * len(best))
                 got[1].extend(ids[near[best]].tolist())
