@@ -14,23 +14,57 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex
+from tokenizers.normalizers import NFC, Lowercase
+from tokenizers.pre_tokenizers import Split
 
 from webstrata.llm.common import slices
 
 #: Fixed value: Unicode White_Space by code point.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-#: Fixed value: the pre-tokenizer's pattern.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 END = "</w>"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def _class_of(pattern: str) -> str:
+    """The code points of a class, as ranges: what the tokenizers library takes for it, by its own Unicode tables.
+
+    Planes without letters, numbers or spaces in any version (unassigned and private ones) are left out.
+    """
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000)]))
+    found = Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every)
+    return "".join(f"\\U{ord(run[0]):08X}-\\U{ord(run[-1]):08X}" for run, _ in found)
+
+
+@cache
+def letter_run() -> regex.Pattern:
+    return regex.compile(f"[{_class_of(r'\p{L}+')}]+")
+
+
+@cache
+def piece_pattern() -> regex.Pattern:
+    """The pre-tokenizer's pattern; letters, numbers and white space are those of the library."""
+    letters = letter_run().pattern
+    number, space = _class_of(r"\p{N}+"), _class_of(r"\s+")
+    return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{letters}|[{number}]|[^{space}{letters[1:-2]}{number}]+")
+
+
+@cache
+def newer_points() -> regex.Pattern:
+    """Code points that this Python doesn't know, but the library may: it is asked for their composition and case."""
+    unknown = [c for c in range(0x40000) if unicodedata.category(chr(c)) == "Cn"]
+    first = [c for c, before in zip(unknown, [-1, *unknown], strict=False) if c != before + 1]
+    last = [c for c, after in zip(unknown, [*unknown[1:], -1], strict=True) if after != c + 1]
+    return regex.compile("[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in zip(first, last, strict=True)) + "]")
+
+
 class TokenAutomaton:
     """Tables of the automaton for one tokenizer file whose last symbols carry an end mark."""
 
@@ -277,13 +311,17 @@ class TextEncoder:
     def pieces(run: str) -> list[str]:
         """Canonical composition, lower case by character, split by the pattern."""
         if run.isascii():
-            run = run.lower()
+            run, letters = run.lower(), str.isalpha
         else:
-            run = unicodedata.normalize("NFC", run)
-            run = "".join([c.lower() for c in run]) if "Σ" in run else run.lower()
-        if run.isalpha():
+            letters = letter_run().fullmatch
+            if newer_points().search(run):
+                run = Lowercase().normalize_str(NFC().normalize_str(run))
+            else:
+                run = unicodedata.normalize("NFC", run)
+                run = "".join([c.lower() for c in run]) if "Σ" in run else run.lower()
+        if letters(run):
             return [run]
-        return [run[:-1], run[-1]] if run[-1] in ".," and run[:-1].isalpha() else PIECE.findall(run)
+        return [run[:-1], run[-1]] if run[-1] in ".," and letters(run[:-1]) else piece_pattern().findall(run)
 
     def _learn(self, runs: list[str]) -> dict[str, tuple[int, str, str]]:
         split = {run: self.pieces(run) for run in runs}
