@@ -247,21 +247,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6, id_c
 def keep_one(docs: DataFrame, percent: int = 75, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, one of each group of near-duplicates.
 
-    A row is known by a hash of all its columns, so rows without an id and rows that share one are
+    A row is known by two hashes of all its columns, so rows without an id and rows that share one are
     documents of their own.  Of a group the row with the smallest id stays (rows without one come last,
-    then the smallest hash).  Repeated rows are one.  Rows without words are in no group and stay.
+    then the smallest hash).  Repeated rows are one.  Rows without words are in no group and stay, and so
+    do different rows that share the first hash: 128 bits would have to agree for a text to be lost.
 
     Texts are shuffled only where more than a million rows go, or rows repeat.
     """
-    row = next(n for n in ("row", "row_", *(f"row_{k}" for k in range(len(docs.columns)))) if n not in docs.columns)
-    named = docs.withColumn(row, F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))  # nulls alone add nothing to a hash
+    row, other = (next(n for n in (name + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns) for name in ("row", "other"))
+    whole = [*docs.columns, *[F.col(c).isNull() for c in docs.columns]]  # nulls alone add nothing to a hash
+    named = docs.withColumn(row, F.xxhash64(*whole)).withColumn(other, F.xxhash64(F.lit(1), *whole))
     found = materialize(near_duplicates(named, percent, miss, row, text_col).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "groups")
-    ids = named.select(F.col(row).alias("doc_id"), F.col(id_col).alias("id")).distinct()
-    first = found.join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "doc_id")).alias("m"))
-    gone = materialize(found.select(F.col("doc_id").alias(row)).join(first.select(F.col("m.doc_id").alias(row)), row, "left_anti"), "gone")
+    ids = named.groupBy(F.col(row).alias("doc_id")).agg(F.min(id_col).alias("id"), (F.min(other) != F.max(other)).alias("clash"))
+    placed = found.join(ids, "doc_id")
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "doc_id")).alias("m"))
+    gone = materialize(placed.filter("NOT clash").select(F.col("doc_id").alias(row)).join(first.select(F.col("m.doc_id").alias(row)), row, "left_anti"), "gone")
     left = named.join(sized(gone), row, "left_anti")
     twice = found.filter("n > 1").select(F.col("doc_id").alias(row))
     if twice.isEmpty():
         return left.select(*docs.columns)
     some = sized(twice)
-    return left.join(some, row, "left_anti").unionByName(left.join(some, row, "left_semi").dropDuplicates([row])).select(*docs.columns)
+    return left.join(some, row, "left_anti").unionByName(left.join(some, row, "left_semi").dropDuplicates([row, other])).select(*docs.columns)
