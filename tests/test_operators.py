@@ -235,22 +235,63 @@ def test_embed_calls_the_model_with_batches(spark):
 
 
 def test_upsert_is_idempotent(docs, tmp_path):
-    root, staging = f"{tmp_path}/corpus", f"{tmp_path}/staging"
-    sinks.upsert_documents(docs, root, staging)
-    sinks.upsert_documents(docs, root, staging)
-    spark = docs.sparkSession
-    assert spark.read.parquet(root).count() == docs.count()
+    root, spark = f"{tmp_path}/corpus", docs.sparkSession
+    for _ in range(2):
+        sinks.upsert_documents(docs, root)
+    assert sinks.stored_documents(spark, root).count() == docs.count()
     newer = docs.filter("doc_type = 'network'").withColumns({"ts": F.col("ts") + F.expr("INTERVAL 1 DAY"), "title": F.lit("new")})
-    sinks.upsert_documents(newer, root, staging)
-    stored = spark.read.parquet(root)
+    sinks.upsert_documents(newer, root)
+    stored = sinks.stored_documents(spark, root)
     assert stored.count() == docs.count() and stored.filter("title = 'new'").count() == newer.count()
     older = newer.withColumns({"ts": F.col("ts") - F.expr("INTERVAL 9 DAYS"), "title": F.lit("again")})
-    sinks.upsert_documents(older, root, staging)
-    assert spark.read.parquet(root).filter("title = 'again'").count() == newer.count()
+    sinks.upsert_documents(older, root, batch=("w", 3))
+    sinks.upsert_documents(newer, root, batch=("w", 3))
+    assert sinks.stored_documents(spark, root).filter("title = 'again'").count() == newer.count()
     scan = listing.scan_corpus(spark, root, 1, ["url", "ts"], F.col("doc_type") == "network", True)
     assert scan.columns == ["url", "ts"] and scan.count() == newer.count()
     plan = scan._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(version" in plan and "content" not in plan.split("ReadSchema")[-1]
+    assert "PartitionFilters: [isnotnull(" in plan and "content" not in plan.split("ReadSchema")[-1]
+
+
+def _files(root):
+    return {p: p.stat().st_size for p in (root / "data").rglob("*.parquet")}
+
+
+def test_a_batch_writes_what_it_holds(docs, tmp_path):
+    """Bytes follow the batch, compaction touches the buckets it was asked for, readers of the version before keep their files."""
+    root, spark = tmp_path / "corpus", docs.sparkSession
+    sinks.upsert_documents(docs, str(root), 8)
+    whole = _files(root)
+    few = docs.orderBy("doc_id").limit(3).withColumn("title", F.lit("few"))
+    for k in range(3):
+        sinks.upsert_documents(few, str(root), 8, ("w", k))
+        sinks.upsert_documents(few, str(root), 8, ("w", k))
+    after = _files(root)
+    assert all(after[p] == n for p, n in whole.items())
+    added = [p for p in after if p not in whole]
+    assert len(added) <= 9 and spark.read.parquet(*map(str, added)).count() == 9
+    rows = sorted(map(repr, sinks.stored_documents(spark, str(root)).collect()))
+    before = sinks.stored_documents(spark, str(root))
+    seen = []
+    while chosen := sinks.compact(spark, str(root), 3):
+        seen += chosen
+        assert len(chosen) <= 3 and sorted(map(repr, sinks.stored_documents(spark, str(root)).collect())) == rows
+        if len(seen) == 3:
+            assert sorted(map(repr, before.collect())) == rows
+    assert len(seen) == len(set(seen)) and sinks.stored_documents(spark, str(root)).filter("title = 'few'").count() == 3
+    sinks.upsert_documents(few.withColumn("title", F.lit("late")), str(root), 8, ("v", 0))
+    assert sinks.stored_documents(spark, str(root)).filter("title = 'late'").count() == 3
+
+
+def test_an_uncommitted_batch_is_not_seen(docs, tmp_path):
+    root, spark = f"{tmp_path}/corpus", docs.sparkSession
+    assert not sinks.store_exists(spark, root)
+    sinks.upsert_documents(docs, root, 4)
+    torn = sinks.partition_by_collection(docs.withColumn("title", F.lit("torn")), 4)
+    torn.write.partitionBy(*sinks.FOLDERS).parquet(f"{root}/data/number=2/kind=delta")
+    assert sinks.stored_documents(spark, root).filter("title = 'torn'").count() == 0
+    sinks.upsert_documents(docs.limit(2).withColumn("title", F.lit("good")), root, 4)
+    assert {r.title for r in sinks.stored_documents(spark, root).select("title").distinct().collect()} & {"torn", "good"} == {"good"}
 
 
 def test_logs_and_replay(docs, tmp_path):
@@ -270,7 +311,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for _ in range(2):
         ingest.ingest(ingest.stream_items(spark, str(inbox)), root, state, rejects, as_of()).awaitTermination()
         (inbox / "2.txt").write_text(json.dumps(item) + "\n")
-    stored = spark.read.parquet(root)
+    stored = sinks.stored_documents(spark, root)
     assert {(r.doc_type, r.url) for r in stored.collect()} == {("content", "https://a.example.com/x"), ("network", "https://a.example.com/x")} and stored.count() == 2
     assert [r.item for r in spark.read.parquet(rejects).collect()] == ["garbage"]
     log = spark.read.parquet(f"{state}/log")
@@ -292,7 +333,7 @@ def test_content_length_follows_the_clean_body(spark):
         ("hi", "<html><head></head><body>hi</body></html>"), ("", "<html><head></head><body></body></html>"),
         ("<!DOCTYPE html><title>T</title><p>a<p>b<div>c", "<html><head><title>T</title></head><body><p>a</p><p>b</p><div>c</div></body></html>"),
         ("<html><head><meta B=1 a='2' nonce=x></head><body class=k><ul><li>a<li>b</ul></i></body></html>", '<html><head><meta a="2" b="1"/></head><body class="k"><ul><li>a</li><li>b</li></ul></body></html>'),
-        ("<table><tr><td>1<td>2<tr><td>3</table>x<br>y", "<html><head></head><body><table><tr><td>1</td><td>2</td></tr><tr><td>3</td></tr></table>x<br/>y</body></html>"),
+        ("<table><tr><td>1<td>2<tr><td>3</table>x<br>y", "<html><head></head><body><table><tbody><tr><td>1</td><td>2</td></tr><tr><td>3</td></tr></tbody></table>x<br/>y</body></html>"),
         ("<script>if (a < b) { }</script><b>z", "<html><head><script>if (a < b) { }</script></head><body><b>z</b></body></html>"),
     ],
 )

@@ -6,7 +6,6 @@ import html
 import json
 import re
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
 from math import floor
 from xml.parsers import expat
 
@@ -17,6 +16,7 @@ from pyspark.sql.types import StringType
 
 from webstrata.functions.urls import with_domain, with_url_facts
 from webstrata.functions.values import cache_key, day_bucket, doc_type_of, header_value, is_binary, plain_text, scrubbed, sha_id, with_timestamp
+from webstrata.operators.html_tree import rebuilt
 from webstrata.sources.schema import CODE_TOKENS, DEFAULT_TOKENS, DOC_TYPES, WEB_RESOURCE_VERSION
 
 TITLE_METAS = (("property", "og:title"), ("name", "twitter:title"), ("itemprop", "name"))
@@ -205,108 +205,10 @@ def chunk_documents(df: DataFrame) -> DataFrame:
 # --- content jobs -------------------------------------------------------------------------------
 
 DYNAMIC = {"nonce", "data-reactroot", "data-hydration-id"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
-
-HEAD_PARTS = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
-RAW_TEXT = {"script", "style", "title", "textarea"}
-#: Fixed values of HTML: open elements that a start tag ends, and those it doesn't look beyond.
-ENDS = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
-    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-}
-ENDS_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-
-
-class _Page(HTMLParser):
-    """Writes a page again as a whole tree: html, head and body are there, what is open is closed.
-
-    No doctype, lower-case names, ordered attributes, squeezed text; an end tag of nothing open is dropped.
-    """
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.open: list[str] = []
-        self.seen: set[str] = set()
-
-    def _start(self, tag: str, attrs: list[tuple[str, str | None]] = []) -> None:  # noqa: B006
-        kept = sorted({k.lower(): v for k, v in attrs if k.lower() not in DYNAMIC}.items())
-        self.out.append("<" + tag + "".join(f' {k}="{v or ""}"' for k, v in kept) + (">" if tag not in VOID else "/>"))
-        if tag not in VOID:
-            self.open.append(tag)
-        self.seen.add(tag)
-
-    def _end(self, tag: str) -> None:
-        while self.open:
-            last = self.open.pop()
-            self.out.append(f"</{last}>")
-            if last == tag:
-                break
-
-    def _place(self, tag: str) -> None:
-        """Open html, head or body before what needs them."""
-        if "html" not in self.seen and tag != "html":
-            self._start("html")
-        if tag in ("html", "head") or "body" in self.seen or "frameset" in self.seen:
-            return
-        if tag in HEAD_PARTS and (self.open[-1:] == ["head"] or "head" not in self.seen):
-            if "head" not in self.seen:
-                self._start("head")
-            return
-        if "head" in self.open:
-            self._end("head")
-        elif "head" not in self.seen:
-            self._start("head")
-            self._end("head")
-        if tag not in ("body", "frameset"):
-            self._start("body")
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in ("html", "head", "body") and tag in self.seen:
-            return
-        self._place(tag)
-        if tag in ENDS_P and "p" in self.open and not {"button", "td", "th"} & set(self.open[len(self.open) - self.open[::-1].index("p") :]):
-            self._end("p")
-        ended, within = ENDS.get(tag, (set(), set()))
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at] in within or not ended:
-                break
-            if self.open[at] in ended:
-                while len(self.open) > at:
-                    self._end(self.open[-1])
-                if tag != "tr":
-                    break
-        self._start(tag, attrs)
-
-    handle_startendtag = handle_starttag
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in self.open and tag not in ("html", "body"):
-            self._end(tag)
-
-    def handle_data(self, data: str) -> None:
-        if not data.strip() and "body" not in self.seen:
-            return
-        if not self.open or self.open[-1] not in RAW_TEXT:
-            self._place("#text")
-        self.out.append(re.sub(r"\s+", " ", data))
-
-    def handle_comment(self, data: str) -> None:
-        self.out.append(f"<!--{data}-->")
-
-    def finish(self) -> str:
-        self.close()
-        self._place("#end")
-        while self.open:
-            self._end(self.open[-1])
-        return "".join(self.out).strip()
-
 
 def _html(text: str) -> str:
-    page = _Page()
-    page.feed(text)
-    return page.finish()
+    """The page's whole tree, see html_tree: no doctype, lower-case names, ordered attributes, squeezed text. References are escaped."""
+    return rebuilt(text, DYNAMIC)
 
 
 def _xml(text: str) -> str:

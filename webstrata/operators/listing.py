@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from webstrata.functions.urls import target_struct, target_url, url_struct, url_variants
 from webstrata.functions.values import page_slice
 from webstrata.operators.documents import sort_unique
+from webstrata.operators.sinks import stored_documents
 
 
 def clamp(limit: int | None, low: int = 10, high: int = 1000, default: int = 100) -> int:
@@ -17,8 +18,8 @@ def clamp(limit: int | None, low: int = 10, high: int = 1000, default: int = 100
 
 
 def scan_corpus(spark: SparkSession, path: str, version: int, columns: Sequence[str] | None = None, predicate: Column | None = None, newest_first: bool = False) -> DataFrame:
-    """Rows of one version, some columns and a predicate; both reach the Parquet scan."""
-    rows = spark.read.parquet(path).filter(F.col("version") == version)
+    """Stored rows of one version, some columns and a predicate; columns and partitions reach the Parquet scan."""
+    rows = stored_documents(spark, path).filter(F.col("version") == version)
     rows = rows if predicate is None else rows.filter(predicate)
     rows = rows.orderBy(F.desc("ts")) if newest_first else rows
     return rows if columns is None else rows.select(*columns)

@@ -169,15 +169,28 @@ SELECT sha256(url || ':network:2025-01-01T') AS doc_id, 'network' AS doc_type, p
 UNION ALL SELECT sha256(url || ':content:2025-01-01T:'), 'content', page_id % 3 = 0 FROM pages""")
 def upserted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of all pages stored, those of every third one stored again with an older time, and scanned."""
-    root, staging = folder(spark, "corpus"), folder(spark, "staging")
-    pages = page_exchanges(spark, sf_dir)
-    sinks.upsert_documents(documents.derive_documents(pages, as_of()), root, staging, buckets=4)
+    root, pages = folder(spark, "corpus"), page_exchanges(spark, sf_dir)
+    sinks.upsert_documents(documents.derive_documents(pages, as_of()), root, buckets=4)
     again = documents.derive_documents(pages.filter("page_id % 3 = 0"), as_of()).withColumns({"ts": F.col("ts") - F.expr("INTERVAL 3 DAYS"), "title": F.lit("again")})
-    sinks.upsert_documents(again, root, staging, buckets=4)
+    sinks.upsert_documents(again, root, buckets=4)
     rows = listing.scan_corpus(spark, root, 1, ["doc_id", "doc_type", "title"], F.col("version") == 1)
     return rows.select("doc_id", "doc_type", F.coalesce(F.col("title") == "again", F.lit(False)).alias("replaced"))
 
 
+@register("""
+SELECT CASE WHEN page_id % 3 = 0 THEN 'third' WHEN page_id % 2 = 0 THEN 'second' ELSE 'first' END AS title, doc_type, count(*) AS n FROM pages, (SELECT unnest(['content', 'network']) AS doc_type) GROUP BY ALL""")
+def compacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches with ids in common, two compactions of half the buckets between them, and a batch that comes again."""
+    root, pages = folder(spark, "compacted"), page_exchanges(spark, sf_dir)
+    for number, (title, rows) in enumerate([("first", pages), ("second", pages.filter("page_id % 2 = 0")), ("third", pages.filter("page_id % 3 = 0"))]):
+        docs = documents.derive_documents(rows, as_of()).withColumn("title", F.lit(title))
+        sinks.upsert_documents(docs, root, 4, ("pages", number))
+        sinks.upsert_documents(docs.withColumn("title", F.lit("again")), root, 4, ("pages", number))
+        if number:
+            sinks.compact(spark, root, 2)
+    return sinks.stored_documents(spark, root).groupBy("title", "doc_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("SELECT 'content' AS doc_type, CAST(0 AS INTEGER) AS token_length, count(*) AS n FROM pages UNION ALL SELECT 'network', 0, count(*) FROM pages UNION ALL SELECT 'forms', 256, count(*) FROM pages WHERE page_id % 2 = 0")
 def stored_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by collection, of the collections that there are."""
@@ -208,13 +221,31 @@ def ingested_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     ingest.ingest(ingest.stream_items(spark, inbox), root, state, rejects, as_of(), buckets=4).awaitTermination()
     sinks.append_log(sinks.to_katana(pages.filter("page_id % 4 = 0")), inbox, as_json=False)
     ingest.ingest(ingest.stream_items(spark, inbox), root, state, rejects, as_of(), buckets=4).awaitTermination()
-    kept = spark.read.parquet(root).groupBy("url", "doc_type").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    kept = sinks.stored_documents(spark, root).groupBy("url", "doc_type").agg(F.count(F.lit(1)).cast("int").alias("n"))
     return kept.unionByName(spark.read.parquet(rejects).select(F.col("item").alias("url"), F.lit("rejected").alias("doc_type"), F.lit(1).alias("n")))
 
 
 # --- content jobs -------------------------------------------------------------------------------
 
 
+@register(r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+p AS (SELECT doc_id, '<html><head><title>' || doc_id || '</title></head><body><p class="b a" id="x">' || text || '</p><p><b>' || lang || '</b></p><b><i>' || doc_id || '</i></b><table><tbody><tr><td>'
+  || source || '</td></tr><tr></tr></tbody></table><ul><li><b><i>one</i></b></li><li><b><i>two</i></b></li></ul></body></html>' AS page FROM d),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(page, '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', ' ', 'g'), '\b\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}\b', '<NUMERIC_TOKEN>', 'g'), '\b[0-9a-f]{32,64}\b', '<NUMERIC_TOKEN>', 'g') AS clean FROM p)
+SELECT doc_id, sha256(clean) AS clean_sha256, CAST(length(clean) AS BIGINT) AS n_chars FROM c""")
+def rebuilt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of tag soup around every document's text, whose tree is known: implied parts, a table's strays before it, formatting opened again."""
+    doc = table(spark, sf_dir, "documents").select("doc_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
+    escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.concat(
+        F.lit("<!DOCTYPE html><title>"), "doc_id", F.lit('</title><p nonce=1 id=x class="  b a ">'), escaped, F.lit("<p><b>"), "lang",
+        F.lit("<table><td>"), "source", F.lit("<tr><i>"), "doc_id", F.lit("</table><UL><li>one<li>two</ul>"),
+    )
+    clean = documents.normalized_bodies(doc.select(F.col("doc_id").cast("string").alias("key"), F.lit("html").alias("kind"), page.alias("content")), "key", "kind", "content")
+    return clean.select(F.col("key").cast("long").alias("doc_id"), F.sha2("clean", 256).alias("clean_sha256"), F.length("clean").cast("long").alias("n_chars"))
+
+
 def content_rows(df: DataFrame, content: Column, mime: Column | str) -> DataFrame:
     """Rows with a body and what the content jobs need beside it."""
     mime = F.lit(mime) if isinstance(mime, str) else mime

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from webstrata.operators.documents import chunk_documents, derive_documents, new_by_id, normalize_documents
-from webstrata.operators.sinks import _exists, quarantine, stored_like, upsert_documents
+from webstrata.operators.sinks import _exists, quarantine, store_exists, stored_like, upsert_documents
 from webstrata.sources.captures import route_formats
 from webstrata.sources.shared import discard, materialize
 
@@ -20,9 +20,9 @@ def stream_items(spark: SparkSession, directory: str, files_per_batch: int = 100
 def ingest(items: DataFrame, root: str, checkpoint: str, rejects: str, as_of: Column, buckets: int = 16) -> StreamingQuery:
     """Tier 1: parse, derive, drop what is stored, normalize, log, upsert; rejects go to a side table.
 
-    The new documents of a batch are written once, to ``<checkpoint>/log/batch=<n>``, and upserted
-    from there.  A batch that is run again after a failure takes what its log has, so nothing is lost
-    between log and table, and upserts replace by id.  Tier 2 reads the log.
+    The new documents of a batch are written once, to ``<checkpoint>/log/batch=<n>``, and appended to
+    the store from there as one delta.  A batch that is run again after a failure takes what its log has, and
+    is not appended twice.  Tier 2 reads the log.
     """
 
     def batch(df: DataFrame, number: int) -> None:
@@ -31,12 +31,12 @@ def ingest(items: DataFrame, root: str, checkpoint: str, rejects: str, as_of: Co
         if not _exists(df, f"{log}/_SUCCESS"):
             exchanges = materialize(good, "exchanges")  # short plans: each step reads what the one before wrote
             docs = derived = materialize(derive_documents(exchanges, as_of), "derived")
-            if _exists(df, root):
+            if store_exists(spark, root):
                 docs = new_by_id(docs, stored_like(docs, root, buckets))
             normalize_documents(docs).write.mode("overwrite").parquet(log)
             for done in (exchanges, derived):
                 discard(done)
-        upsert_documents(spark.read.parquet(log), root, f"{checkpoint}/staging/{number}", buckets)
+        upsert_documents(spark.read.parquet(log), root, buckets, (checkpoint, number))
         if not _exists(df, f"{rejects}/batch={number}/_SUCCESS"):
             quarantine(bad, f"{rejects}/batch={number}", as_of)
 
