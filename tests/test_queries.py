@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from webstrata.plans import more as registry
+from webstrata.plans import rows as registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

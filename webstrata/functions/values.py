@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -144,28 +144,66 @@ def map_column(text: Column, separator: str = "=", pair_separator: str = ",") ->
     return out.otherwise(F.map_from_arrays(F.array(plain), F.array(F.lit(""))))
 
 
-def expand_ports(spec: Column) -> Column:
-    """'80,443,8000-8002' as a sorted array of ports in range; a spec that names none is null: all ports."""
+def bound(column: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a column that is evaluated once, however often the body names it."""
+    return F.transform(F.array(column), body)[0]
+
+
+def bit_at(bitmap: str, position: Column) -> Column:
+    """Whether a bit of a bitmap column is set; positions as ``bitmap_bit_position`` gives them."""
+    byte = F.conv(F.hex(F.substring(bitmap, (position.cast("int") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, F.pmod(position, F.lit(8)).cast("int")) == 1
+
+
+def port_ranges(spec: Column) -> Column:
+    """'80,443,8000-8002' as sorted ranges (low, high) that neither overlap nor touch; a spec that names none is null: all ports."""
     parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p.rlike(r"^\d+(\s*-\s*\d+)?$"))
 
     def one(p: Column) -> Column:
-        a = F.trim(F.split_part(p, F.lit("-"), F.lit(1))).try_cast("int")
-        b = F.coalesce(F.when(p.contains("-"), F.trim(F.split_part(p, F.lit("-"), F.lit(2))).try_cast("int")), a)
-        b = F.least(b, F.lit(65535))
-        return F.when((a <= b), F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+        ends = F.transform(F.split(p, "-"), lambda x: F.trim(x).try_cast("int"))
+        return bound(ends, lambda e: F.struct(e[0].alias("low"), F.least(F.coalesce(F.get(e, F.lit(1)), e[0]), F.lit(65535)).alias("high")))
+
+    def merge(done: Column, r: Column) -> Column:
+        last = F.element_at(done, -1)
+        grown = F.struct(last["low"].alias("low"), F.greatest(last["high"], r["high"]).alias("high"))
+        return F.when((F.size(done) > 0) & (r["low"] <= F.get(done, F.size(done) - 1)["high"] + 1), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(r)))
+
+    ranges = F.array_sort(F.filter(F.transform(parts, one), lambda r: r["low"] <= r["high"]))
+    merged = bound(ranges, lambda x: F.when(F.size(x) < 2, x).otherwise(F.aggregate(x, F.slice(x, 1, 0), merge)))
+    return bound(merged, lambda x: F.when(F.size(x) > 0, x))
+
+
+def listed_ports(ranges: Column) -> Column:
+    """The ports of ranges, one by one."""
+    return F.flatten(F.transform(ranges, lambda r: F.sequence(r["low"], r["high"])))
+
+
+def expand_ports(spec: Column) -> Column:
+    """'80,443,8000-8002' as a sorted array of ports in range; a spec that names none is null: all ports."""
+    return listed_ports(port_ranges(spec))
+
+
+def common_ranges(a: Column, b: Column) -> Column:
+    """Ranges of the ports in both sets; null is all ports. Work goes with the ranges, not with their ports."""
+    both = lambda x, y: F.struct(F.greatest(x["low"], y["low"]).alias("low"), F.least(x["high"], y["high"]).alias("high"))
+    meet = lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: (y["low"] <= x["high"]) & (y["high"] >= x["low"])), lambda y: both(x, y))))
+    return bound(a, lambda a: bound(b, lambda b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(meet(a, b))))
+
 
-    ports = F.array_sort(F.array_distinct(F.flatten(F.transform(parts, one))))
-    return F.when(F.size(ports) > 0, ports)
+def covers_ranges(wanted: Column, covered: Column) -> Column:
+    """Whether every wanted port is covered; null is all ports. A wanted range lies in one covered range or is not covered."""
+    inside = lambda w, c: F.forall(w, lambda x: F.exists(c, lambda y: (y["low"] <= x["low"]) & (y["high"] >= x["high"])))
+    return bound(wanted, lambda w: bound(covered, lambda c: c.isNull() | (w.isNotNull() & inside(w, c))))
 
 
 def common_ports(a: Column, b: Column) -> Column:
     """Ports in both sets; a null set is all ports."""
-    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.array_sort(F.array_intersect(a, b)))
+    return bound(a, lambda a: bound(b, lambda b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.array_sort(F.array_intersect(a, b)))))
 
 
 def covers_ports(wanted: Column, covered: Column) -> Column:
     """Whether every wanted port is covered; a null set is all ports."""
-    return covered.isNull() | (wanted.isNotNull() & (F.size(F.array_except(wanted, covered)) == 0))
+    return bound(wanted, lambda w: bound(covered, lambda c: c.isNull() | (w.isNotNull() & (F.size(F.array_except(w, c)) == 0))))
 
 
 def page_slice(content: Column, start: int, length: int) -> Column:

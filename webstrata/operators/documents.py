@@ -16,7 +16,9 @@ from pyspark.sql.types import StringType
 
 from webstrata.functions.urls import with_domain, with_url_facts
 from webstrata.functions.values import cache_key, day_bucket, doc_type_of, header_value, is_binary, plain_text, scrubbed, sha_id, with_timestamp
+from webstrata.operators.bodies import known_bodies, store_bodies
 from webstrata.operators.html_tree import rebuilt
+from webstrata.operators.sinks import _exists
 from webstrata.sources.schema import CODE_TOKENS, DEFAULT_TOKENS, DOC_TYPES, WEB_RESOURCE_VERSION
 
 TITLE_METAS = (("property", "og:title"), ("name", "twitter:title"), ("itemprop", "name"))
@@ -348,17 +350,35 @@ def normalized_bodies(df: DataFrame, key: str, kind: str, content: str) -> DataF
     return parsed.unionByName(text)
 
 
-def normalize_documents(df: DataFrame) -> DataFrame:
+def clean_bodies(distinct: DataFrame, store: str) -> DataFrame:
+    """Clean bodies (content_sha256, kind, clean) of distinct ones, taken from a store as far as it has them.
+
+    What the store lacks is normalized and appended to it, so a body that came in an earlier batch costs a
+    look-up.  A batch that runs again finds its own bodies.
+    """
+    spark, keys = distinct.sparkSession, distinct.select("content_sha256", "kind")
+    lacking = distinct
+    if _exists(distinct, store):
+        lacking = distinct.join(known_bodies(spark, store, keys).select("content_sha256", "kind"), ["content_sha256", "kind"], "left_anti")
+    store_bodies(normalized_bodies(lacking, "content_sha256", "kind", "content").withColumnRenamed("key", "content_sha256"), store)
+    return known_bodies(spark, store, keys)
+
+
+def normalize_documents(df: DataFrame, store: str | None = None) -> DataFrame:
     """Clean the bodies of content rows by MIME class, each distinct body once.
 
     Rows of other kinds, already normalized, without MIME or binary pass unchanged.  A changed row
-    gets normalized = true and a Content-Length that fits.
+    gets normalized = true and a Content-Length that fits.  ``store`` names a folder of clean bodies
+    (see ``clean_bodies``) that spares bodies of earlier batches.
     """
     fits = (F.col("doc_type") == "content") & ~F.col("normalized") & (F.coalesce(F.col("content_type"), F.lit("")) != "") & ~is_binary(F.col("content"), F.col("content_type"))
     marked = df.withColumn("_fits", F.coalesce(fits, F.lit(False))).withColumn("_kind", doc_type_of(F.col("content_type")))
     todo = marked.filter("_fits")
     distinct = todo.groupBy("content_sha256", "_kind").agg(F.first("content").alias("content"))
-    clean = normalized_bodies(distinct, "content_sha256", "_kind", "content").select(F.col("key").alias("content_sha256"), F.col("kind").alias("_kind"), "clean")
+    if store:
+        clean = clean_bodies(distinct.withColumnRenamed("_kind", "kind"), store).withColumnRenamed("kind", "_kind")
+    else:
+        clean = normalized_bodies(distinct, "content_sha256", "_kind", "content").select(F.col("key").alias("content_sha256"), F.col("kind").alias("_kind"), "clean")
     done = todo.join(clean, ["content_sha256", "_kind"], "left")
     done = done.withColumn("_changed", F.col("clean").isNotNull() & (F.col("clean") != F.col("content")))  # before content is replaced
     changed = F.col("_changed")

@@ -167,6 +167,18 @@ def append_log(df: DataFrame, path: str, as_json: bool = True) -> None:
     writer.json(path) if as_json else writer.text(path)
 
 
+def rename_parts(spark: SparkSession, path: str, column: str, ending: str) -> None:
+    """Files of a table written in folders ``column=value`` get the folder's value as their name: one file for each value."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in [n for n in _listed(spark, path) if n.startswith(f"{column}=")]:
+        parts = [n for n in _listed(spark, f"{path}/{name}") if n.startswith("part-")]
+        if len(parts) != 1:
+            raise ValueError(f"{name} has {len(parts)} files")
+        old, new = (jvm.org.apache.hadoop.fs.Path(x) for x in (f"{path}/{name}/{parts[0]}", f"{path}/{name[len(column) + 1:]}{ending}"))
+        old.getFileSystem(conf).rename(old, new)
+        _delete(spark, f"{path}/{name}")
+
+
 def quarantine(rejects: DataFrame, path: str, as_of: Column) -> None:
     """Append rejected items with their reason and time; they are not retried."""
     rejects.select("item", "reason", as_of.alias("rejected_at")).write.mode("append").parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webstrata.functions import urls, values
 from webstrata.operators import documents, listing, search, sinks
-from webstrata.plans.registry import _BM25, _DOMAIN, _HOST, _PORT, AS_OF, QUERIES, SQL, bm25_topk, page_exchanges, page_facts, register, table
+from webstrata.plans.registry import _BM25, _DOMAIN, _HOST, _PORT, AS_OF, QUERIES, SQL, bm25_topk, dealt, page_exchanges, page_facts, register, table
 from webstrata.sources import captures, findings
 from webstrata.sources.shared import shared_dir
 from webstrata.streaming import ingest
@@ -29,7 +29,7 @@ def as_of() -> Column:
 
 def event_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as exchanges: a URL each, a status by id, the value as time taken."""
-    event = table(spark, sf_dir, "events")
+    event = dealt(spark, sf_dir, "events")
     status = F.element_at(F.array(*[F.lit(s) for s in (200, 404, 429, 503, 301)]), (F.col("event_id") % 5 + 1).cast("int"))
     none = F.array().cast(NO_HEADERS)
     return event.select(
@@ -121,7 +121,7 @@ def scan_xml_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
     byte = lambda n: (F.floor(key / n) % 256).cast("string")
     address = F.struct(F.concat_ws(".", F.lit("10"), byte(65536), byte(256), byte(1)).alias("_addr"), F.lit("ipv4").alias("_addrtype"))
     name = F.struct(F.struct(F.concat(F.lit("h"), key, F.lit(".example.com")).alias("_name")).alias("hostname"))
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(port).alias("ports"))  # a few items an order
+    items = dealt(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(port).alias("ports"))  # a few items an order
     items.select(address.alias("address"), name.alias("hostnames"), F.struct(F.col("ports").alias("port")).alias("ports")).write.format("xml").option("rootTag", "run").option("rowTag", "host").save(path)
     _, found = findings.read_scan_xml(spark, path, as_of())
     return found.select("hostname", "ip_address", "netloc", "port", "state", "service_name", "service_notes")
@@ -134,7 +134,7 @@ SELECT event_id, event_type || ' on ' || targets[1] AS title, CASE WHEN m = 1 TH
   'cve=CVE-2024-' || event_id || ' cwe=79 cvss=7.5 reference=r1 reference=r2 shodan-query=q' AS classification FROM t""")
 def scanner_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as objects of a scanner, normalized: title, severity, ordered targets, classification."""
-    event = table(spark, sf_dir, "events")
+    event = dealt(spark, sf_dir, "events")
     kind, host = F.col("event_id") % 3, F.concat(F.lit("u"), F.col("user_id"), F.lit(".example.com"))
     info = F.struct(
         F.col("event_type").alias("name"), F.when(kind != 1, "high").alias("severity"), F.array(F.lit("r1"), F.lit("r2"), F.lit("r1")).alias("reference"),
@@ -191,6 +191,41 @@ def compacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.stored_documents(spark, root).groupBy("title", "doc_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("""
+SELECT doc_id, sha256('{"id":' || doc_id % 50 || ',"lang":' || CASE WHEN doc_id % 2 = 0 THEN '"' || lang || '"' ELSE 'null' END || '}') AS clean_sha256, doc_id % 3 <> 0 AS was_stored FROM documents WHERE lang IS NOT NULL""")
+def reused_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON bodies of all documents in two batches over one store of clean bodies: the second finds those of the first."""
+    root, docs = folder(spark, "bodies"), table(spark, sf_dir, "documents").filter("lang IS NOT NULL")
+    body = F.concat(F.lit("{lang: "), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("'"), "lang", F.lit("'"))).otherwise("null"), F.lit(", id: "), F.col("doc_id") % 50, F.lit("}"))
+    rows = content_rows(docs.select("doc_id", "lang"), body, "application/json")
+    parts = [documents.normalize_documents(rows.filter(F.col("doc_id") % 3 != 0), root), documents.normalize_documents(rows.filter(F.col("doc_id") % 3 == 0), root)]
+    return parts[0].withColumn("was_stored", F.lit(True)).unionByName(parts[1].withColumn("was_stored", F.lit(False))).select("doc_id", F.sha2("content", 256).alias("clean_sha256"), "was_stored")
+
+
+@register("""
+WITH e AS (SELECT event_id, 'u' || user_id AS url, md5(event_type) AS h, date_trunc('hour', ts) AS t, event_id % 3 AS batch FROM events),
+a AS (SELECT * FROM e WHERE batch = 0),
+b AS (SELECT * FROM e WHERE batch = 1 AND NOT EXISTS (SELECT 1 FROM a WHERE a.url = e.url AND (a.h = e.h OR a.t = e.t))),
+ab AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+c AS (SELECT * FROM e WHERE batch = 2 AND NOT EXISTS (SELECT 1 FROM ab WHERE ab.url = e.url AND (ab.h = e.h OR ab.t = e.t)))
+SELECT url, h AS content_sha256, count(*) AS n FROM (SELECT url, h FROM ab UNION ALL SELECT url, h FROM c) GROUP BY ALL""")
+def stream_new_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in three batches through a stateful stream: rows with neither the hash nor the hour of an earlier one of their URL."""
+    inbox, out, state = (folder(spark, n) for n in ("typed-in", "typed-out", "typed-state"))
+    rows = table(spark, sf_dir, "events").select((F.col("event_id") % 3).alias("batch"), F.lit(1).alias("version"), F.concat(F.lit("u"), "user_id").alias("url"), F.md5("event_type").alias("content_sha256"), F.date_trunc("hour", "ts").alias("ts"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for batch in range(3):
+            rows.filter(F.col("batch") == batch).drop("batch").write.mode("append").parquet(inbox)
+            found = ingest.new_typed_stream(spark.readStream.schema(ingest.TYPED).parquet(inbox))
+            found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.parquet(out).groupBy("url", "content_sha256").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("SELECT 'content' AS doc_type, CAST(0 AS INTEGER) AS token_length, count(*) AS n FROM pages UNION ALL SELECT 'network', 0, count(*) FROM pages UNION ALL SELECT 'forms', 256, count(*) FROM pages WHERE page_id % 2 = 0")
 def stored_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by collection, of the collections that there are."""
@@ -236,7 +271,7 @@ c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(page, '[\s\x0B
 SELECT doc_id, sha256(clean) AS clean_sha256, CAST(length(clean) AS BIGINT) AS n_chars FROM c""")
 def rebuilt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of tag soup around every document's text, whose tree is known: implied parts, a table's strays before it, formatting opened again."""
-    doc = table(spark, sf_dir, "documents").select("doc_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
+    doc = dealt(spark, sf_dir, "documents").select("doc_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
     escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     page = F.concat(
         F.lit("<!DOCTYPE html><title>"), "doc_id", F.lit('</title><p nonce=1 id=x class="  b a ">'), escaped, F.lit("<p><b>"), "lang",
@@ -259,7 +294,7 @@ def json_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON bodies with comments, bare names and trailing commas: names in order, tight separators, a fitting length."""
     k = F.get_json_object("props", "$.k")
     body = F.concat(F.lit("{b : '"), F.col("event_type"), F.lit("', // c\n \"a\": {\"y\": [1, 2, ], \"x\": "), k, F.lit("}, }"))
-    got = documents.normalize_documents(content_rows(table(spark, sf_dir, "events").select("event_id", "event_type", "props"), body, "application/vnd.x+json"))
+    got = documents.normalize_documents(content_rows(dealt(spark, sf_dir, "events").select("event_id", "event_type", "props"), body, "application/vnd.x+json"))
     return got.select("event_id", "content", "normalized", F.col("response_headers")[0]["value"].alias("size"))
 
 
@@ -268,7 +303,7 @@ SELECT p_partkey, 'a,h1>p{background:url(x.png);color:#abc;margin:' || p_size ||
 def css_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSS bodies: ordered selectors and declarations, short values, no queries, no hashes."""
     body = F.concat(F.lit("h1 > p , a { width: 0px; color:#000; Margin: "), F.col("p_size"), F.lit(".0; color:#AABBCC; background:url(\"x.png?v="), F.col("p_partkey"), F.lit("\") } /* c */\nb{id:"), F.md5(F.col("p_name")), F.lit("}"))
-    return documents.normalize_documents(content_rows(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), body, "text/css")).select("p_partkey", "content")
+    return documents.normalize_documents(content_rows(dealt(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), body, "text/css")).select("p_partkey", "content")
 
 
 @register("""
@@ -276,14 +311,14 @@ SELECT c_custkey, '<a>' || chr(10) || '  <b x="1">' || chr(10) || '    ' || c_na
 def xml_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """XML bodies: blank text dropped, indented again."""
     body = F.concat(F.lit("<a>\n\n<b x='1'>"), F.col("c_name"), F.lit(" &amp; "), F.col("c_mktsegment"), F.lit("</b>   </a>"))
-    return documents.normalize_documents(content_rows(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), body, "application/xml")).select("c_custkey", "content")
+    return documents.normalize_documents(content_rows(dealt(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), body, "application/xml")).select("c_custkey", "content")
 
 
 @register(r"""
 SELECT doc_id, md5(nfc_normalize(trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \t\x0B\f\r]+', ' ', 'g'), ' ?(\n ?)+', chr(10), 'g'), '^\n|\n$', '', 'g'), ' '))) AS content_md5 FROM documents""")
 def plain_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with empty lines dropped and white space squeezed, each distinct body once."""
-    rows = content_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"), "text/x-unknown").withColumn("text", F.lit(None).cast("string"))
+    rows = content_rows(dealt(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"), "text/x-unknown").withColumn("text", F.lit(None).cast("string"))
     return documents.normalize_documents(rows).select("doc_id", F.md5("content").alias("content_md5"))
 
 
@@ -294,7 +329,7 @@ i AS (SELECT *, unnest(range(CASE WHEN len(w) <= words THEN 1 ELSE 1 + CAST(ceil
 SELECT sha256('http://d' || doc_id || '.example.com:' || kind || ':' || coalesce(CAST(size AS VARCHAR), '') || ':2025-01-01T:e' || doc_id) || '_' || i AS chunk_id, CAST(coalesce(size, 0) AS INTEGER) AS token_length, md5(array_to_string(list_slice(w, i * step + 1, i * step + words), ' ')) AS chunk_md5 FROM i""")
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as typed rows, chunked at the token lengths of their types, with their ids."""
-    docs = table(spark, sf_dir, "documents").filter("text <> ''")
+    docs = dealt(spark, sf_dir, "documents").filter("text <> ''")
     headers = F.array(F.struct(F.lit("ETag").alias("name"), F.concat(F.lit("e"), F.col("doc_id")).alias("value")), F.struct(F.lit("Server").alias("name"), F.lit("s").alias("value")))
     rows = docs.select(
         F.concat(F.lit("http://d"), F.col("doc_id"), F.lit(".example.com")).alias("url"), F.when(F.col("doc_id") % 2 == 0, "html").otherwise("default").alias("doc_type"), F.lit("text/plain").alias("content_type"),
@@ -310,7 +345,7 @@ def page_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<html><head><meta name="Description" content="first"><META property="og:title" content=" T  '), F.col("source"), F.lit('"><meta content="x" name="twitter:title"><meta property=\'og:description\' content="'),
         F.col("source"), F.lit(" &amp; "), F.col("lang"), F.lit('"><meta itemprop="description" content=""></head>'),
     )
-    rows = table(spark, sf_dir, "documents").select("doc_id", head.alias("page"), F.lit("text/html").alias("mime"))
+    rows = dealt(spark, sf_dir, "documents").select("doc_id", head.alias("page"), F.lit("text/html").alias("mime"))
     return documents.with_title_description(rows, "page", "mime").select("doc_id", "title", "description")
 
 
@@ -498,10 +533,12 @@ WITH p AS (SELECT l_orderkey, l_linenumber, l_suppkey % 9 AS s, range(l_linenumb
 SELECT l_orderkey, l_linenumber, s, array_to_string(list_sort(CASE WHEN s = 0 THEN a ELSE list_intersect(a, [2, 4, s]) END), ',') AS common, s = 0 OR list_has_all([2, 4, s], a) AS covered FROM p""")
 def port_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ports in two sets, and whether one covers the other; no set at all means all ports."""
-    a = values.expand_ports(F.concat_ws("-", "l_linenumber", F.col("l_linenumber") + 3))
-    b = values.expand_ports(F.when(F.col("s") != 0, F.concat_ws(",", F.lit("2"), F.lit("4"), "s")).otherwise(" , "))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 9).alias("s"))
-    return rows.select("l_orderkey", "l_linenumber", "s", F.array_join(values.common_ports(a, b), ",").alias("common"), values.covers_ports(a, b).alias("covered"))
+    a = values.port_ranges(F.concat_ws("-", "l_linenumber", F.col("l_linenumber") + 3))
+    b = values.port_ranges(F.when(F.col("s") != 0, F.concat_ws(",", F.lit("2"), F.lit("4"), "s")).otherwise(" , "))
+    rows = dealt(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 9).alias("s"))
+    sets = rows.select("*", F.inline(F.array(F.struct(a.alias("a"), b.alias("b")))))
+    common = F.array_join(values.listed_ports(values.common_ranges(F.col("a"), F.col("b"))), ",")
+    return sets.select("l_orderkey", "l_linenumber", "s", common.alias("common"), values.covers_ranges(F.col("a"), F.col("b")).alias("covered"))
 
 
 @register(f"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from webstrata.functions import urls, values
 from webstrata.operators import documents, listing, search
+from webstrata.sources.shared import spread
 from webstrata.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that is heavy row by row."""
+    return spread(table(spark, sf_dir, name))
+
+
 def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.with_domain(urls.with_url_facts(table(spark, sf_dir, "pages").select("page_id", "url")))
 
@@ -43,7 +49,7 @@ def page_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as captured exchanges: GET, status 200, an HTML body."""
     none = F.array().cast("array<struct<name:string,value:string>>")
     kind = F.array(F.struct(F.lit("Content-Type").alias("name"), F.lit("text/html; charset=utf-8").alias("value")))
-    return table(spark, sf_dir, "pages").select(
+    return dealt(spark, sf_dir, "pages").select(
         "page_id", "url", F.lit("GET").alias("method"), none.alias("request_headers"), F.lit(None).cast("string").alias("request_body"), F.lit(200).alias("status_code"),
         kind.alias("response_headers"), F.col("html").alias("response_body"), F.lit("2025-01-01T00:00:00Z").alias("timestamp"), F.lit(None).cast("double").alias("response_rtt"),
         F.lit(None).cast("double").alias("response_rtt_ms"), F.lit(None).cast("array<string>").alias("technologies"), F.lit(None).cast("array<map<string,string>>").alias("forms"),
@@ -106,7 +112,7 @@ def url_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(r"""SELECT page_id, replace(replace(replace(replace(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title FROM pages""")
 def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.with_title_description(table(spark, sf_dir, "pages").withColumn("mime", F.lit("text/html")), "html", "mime").select("page_id", "title")
+    return documents.with_title_description(dealt(spark, sf_dir, "pages").withColumn("mime", F.lit("text/html")), "html", "mime").select("page_id", "title")
 
 
 @register(rf"""
@@ -161,14 +167,14 @@ c AS (SELECT doc_id, w, unnest(range(CASE WHEN len(w) <= 119 THEN 1 ELSE 1 + CAS
 SELECT doc_id, CAST(i AS INTEGER) AS chunk_ix, CAST(i * 104 AS INTEGER) AS word_start, md5(array_to_string(list_slice(w, i * 104 + 1, i * 104 + 119), ' ')) AS chunk_md5 FROM c""")
 def word_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, overlap = documents.chunk_sizes(256, 2048)
-    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    docs = dealt(spark, sf_dir, "documents").filter("text IS NOT NULL")
     return documents.chunk_words(docs, "text", words, overlap, ["doc_id"]).select("doc_id", "chunk_ix", "word_start", F.md5("chunk").alias("chunk_md5"))
 
 
 @register(r"""
 SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\b\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}\b', '<NUMERIC_TOKEN>', 'g'), '\b[0-9a-f]{32,64}\b', '<NUMERIC_TOKEN>', 'g')) AS scrubbed_md5 FROM documents""")
 def scrub_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(values.scrubbed(F.col("text"))).alias("scrubbed_md5"))
+    return dealt(spark, sf_dir, "documents").select("doc_id", F.md5(values.scrubbed(F.col("text"))).alias("scrubbed_md5"))
 
 
 @register(r"""
@@ -181,13 +187,13 @@ g AS (SELECT doc_id, f[1] AS i, f[2] AS k FROM f)
 SELECT doc_id, md5(CASE WHEN k IS NOT NULL AND list_slice(w, i + 1, len(w) - k) = list_slice(w, i + k + 1, len(w))
   THEN array_to_string(list_transform(range(1, i + k + 1), lambda j: s[j] || w[j]), '') || regexp_extract(s[i + k + 1], '^[^\s]*') ELSE text END) AS collapsed_md5 FROM d LEFT JOIN g USING (doc_id)""")
 def collapsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(values.collapse_repeats("text")).alias("collapsed_md5"))
+    return dealt(spark, sf_dir, "documents").select("doc_id", F.md5(values.collapse_repeats("text")).alias("collapsed_md5"))
 
 
 @register("""
 SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''""")
 def pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.text_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    return search.text_hits(dealt(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
 _BM25 = r"""
@@ -203,7 +209,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 
 @register(_BM25 + "SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.sparse_topk(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 10, "item_id", "doc_id").select("item_id", "doc_id", "score", "rank")
+    return search.sparse_topk(table(spark, sf_dir, "benchmark"), dealt(spark, sf_dir, "documents"), 10, "item_id", "doc_id").select("item_id", "doc_id", "score", "rank")
 
 
 _DENSE = """
@@ -226,7 +232,7 @@ g AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM u
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM g)
 SELECT query_id, doc_id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM h WHERE rank <= 10""")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    vectors, docs = table(spark, sf_dir, "embeddings"), dealt(spark, sf_dir, "documents").select("doc_id", "text")
     asked = vectors.filter("vec_id % 100 = 0")
     dense = search.dense_topk(asked.withColumnRenamed("vec_id", "query_id"), vectors, 20, "query_id", "vec_id").withColumnRenamed("vec_id", "doc_id")
     texts = docs.join(asked.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
@@ -395,7 +401,7 @@ def public_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_orderkey, l_linenumber, array_to_string(list_sort(list_distinct(list_concat(range(l_linenumber, l_linenumber + 3), [CAST(l_suppkey AS BIGINT)]))), ',') AS ports FROM lineitem""")
 def expanded_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = F.concat_ws(",", F.concat_ws("-", "l_linenumber", F.col("l_linenumber") + 2), F.col("l_suppkey").cast("string"))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", values.expand_ports(spec).alias("p"))
+    rows = dealt(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", values.expand_ports(spec).alias("p"))
     return rows.select("l_orderkey", "l_linenumber", F.array_join("p", ",").alias("ports"))
 
 
@@ -483,7 +489,7 @@ SELECT doc_id, CAST(i AS INTEGER) AS chunk_ix, CAST(256 AS INTEGER) AS size, CAS
 def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all documents with the default embedder, whole: vectors of 256 components and of unit length."""
     words, overlap = documents.chunk_sizes(256, 2048)
-    chunks = documents.chunk_words(table(spark, sf_dir, "documents").filter("text IS NOT NULL"), "text", words, overlap, ["doc_id"])
+    chunks = documents.chunk_words(dealt(spark, sf_dir, "documents").filter("text IS NOT NULL"), "text", words, overlap, ["doc_id"])
     rows = search.embed(chunks, "chunk", first_chars=None)
     norm = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4)
     return rows.select("doc_id", "chunk_ix", F.size("embedding").alias("size"), norm.alias("norm"), F.coalesce("embedding_error", F.lit("")).alias("embedding_error"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.functions.urls import url_struct
-from webstrata.functions.values import parsed_time, title_case
+from webstrata.functions.values import bound, parsed_time, title_case
 from webstrata.sources.schema import EXCHANGE, HAR, HEADERS, KATANA
 from webstrata.sources.shared import lines_or_whole
 
@@ -32,14 +32,18 @@ def _split_schema(schema: str) -> list[str]:
 def joined_headers(headers: Column, separator: str | None, name: str = "title") -> Column:
     """Ordered headers with one entry a name: values joined, or the last one (separator null)."""
     shape = {"title": lambda h: title_case(F.trim(h["name"])), "lower": lambda h: F.lower(F.trim(h["name"])), "as is": lambda h: F.trim(h["name"])}[name]
-    clean = F.filter(F.transform(headers, lambda h: F.struct(shape(h).alias("name"), h["value"].alias("value"))), lambda h: h["name"] != "")
-    names = F.array_distinct(F.transform(clean, lambda h: h["name"]))
+    named = F.filter(F.transform(headers, lambda h: F.struct(shape(h).alias("name"), h["value"].alias("value"))), lambda h: h["name"] != "")
 
-    def entry(n: Column) -> Column:
+    def entry(clean: Column, n: Column) -> Column:
         values = F.transform(F.filter(clean, lambda h: h["name"] == n), lambda h: F.coalesce(h["value"], F.lit("")))
         return F.struct(n.alias("name"), (F.element_at(values, -1) if separator is None else F.array_join(values, separator)).alias("value"))
 
-    return F.coalesce(F.transform(names, entry), F.array().cast(HEADERS))
+    return F.coalesce(bound(named, lambda clean: F.transform(F.array_distinct(F.transform(clean, lambda h: h["name"])), lambda n: entry(clean, n))), F.array().cast(HEADERS))
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """More columns, evaluated once a row: filters and later columns don't repeat what a generator gives."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def _map_headers(headers: Column) -> Column:
@@ -124,45 +128,41 @@ def _header_lines(lines: Column) -> Column:
     return joined_headers(parsed, ", ")
 
 
-def _until_blank(lines: Column) -> Column:
-    blank = F.array_position(F.transform(lines, lambda x: F.trim(x) == ""), F.lit(True)).cast("int")
-    return F.when(blank == 0, F.size(lines) + 1).otherwise(blank)
-
-
 def parse_http_raw(items: DataFrame, as_of: Column, value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Exchanges of raw HTTP texts: a request, then the response from a line that begins HTTP/."""
-    got = items.withColumn("_lines", F.split(value, r"\r?\n"))
-    lines = F.col("_lines")
-    cut = F.array_position(F.transform(lines, lambda x: x.startswith("HTTP/")), F.lit(True)).cast("int")
-    got = got.withColumn("_req", F.when(cut > 1, F.slice(lines, 1, cut - 1))).withColumn("_res", F.when(cut > 1, F.slice(lines, cut, F.size(lines))))
-    q, r = F.col("_req"), F.col("_res")
-    got = got.withColumn("_qb", _until_blank(q)).withColumn("_rb", _until_blank(r))
-    start = F.split(F.trim(q[0]), r"\s+")
-    request = _header_lines(F.slice(q, 2, F.greatest(F.col("_qb") - 2, F.lit(0))))
-    response = _header_lines(F.slice(r, 2, F.greatest(F.col("_rb") - 2, F.lit(0))))
-    got = got.withColumns({"_start": start, "_rh": request, "_sh": response, "_status": F.split(r[0], r"\s+")[1].try_cast("int")})
+    """Exchanges of raw HTTP texts: a request, then the response from a line that begins HTTP/.
+
+    A head ends at its first blank line; bodies are cut off whole, not line by line.
+    """
+    text = F.col(value)
+    at = F.regexp_instr(text, F.lit(r"\nHTTP/"))
+    got = _once(items, _at=F.when(~text.startswith("HTTP/") & (at > 0), at))
+    got = _once(got, _q=F.regexp_replace(F.substring(text, F.lit(1), F.col("_at") - 1), r"\r$", ""), _r=F.substring(text, F.col("_at") + 1, F.length(text)))
+    head = lambda c: F.regexp_extract(c, r"(?s)^(.*?)(?:\r?\n *(?:\r?\n.*)?)?$", 1)
+    body = lambda c: F.when(F.col(c).rlike(r"\n *\r?\n"), F.regexp_replace(F.regexp_extract(c, r"(?s)^.*?\n *\r?\n(.*)$", 1), "\r\n", "\n"))
+    got = _once(got, _ql=F.split(head("_q"), r"\r?\n"), _rl=F.split(head("_r"), r"\r?\n"), _qb=body("_q"), _rb=body("_r"))
+    rest = lambda c: F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0)))
+    got = _once(got, _start=F.split(F.trim(F.get("_ql", F.lit(0))), r"\s+"), _rh=_header_lines(rest("_ql")), _sh=_header_lines(rest("_rl")), _status=F.get(F.split(F.get("_rl", F.lit(0)), r"\s+"), F.lit(1)).try_cast("int"))
     host = F.get(F.transform(F.filter("_rh", lambda h: h["name"] == "Host"), lambda h: h["value"]), F.lit(0))
     date = F.get(F.transform(F.filter("_sh", lambda h: h["name"] == "Date"), lambda h: h["value"]), F.lit(0))
     path = F.get("_start", F.lit(1))
-    url = F.when(path.contains("://"), path).when(host.isNotNull(), F.concat(F.lit("http://"), host, path))
+    got = _once(got, _url=F.when(path.contains("://"), path).when(host.isNotNull(), F.concat(F.lit("http://"), host, path)), _date=date)
     reason = (
-        F.when(cut.isNull() | (cut < 2), "no response")
+        F.when(F.col("_at").isNull(), "no response")
         .when(F.size("_start") != 3, "request line without three parts")
         .when(F.col("_status").isNull(), "status not a number")
-        .when(url.isNull() | url_struct(url).isNull(), "no Host, or not a URL")
+        .when(F.col("_url").isNull() | url_struct(F.col("_url")).isNull(), "no Host, or not a URL")
     )
-    got = got.withColumn("_url", url).withColumn("_reason", reason)
-    body = lambda part, blank: F.when(F.size(part) > F.col(blank), F.array_join(F.slice(part, F.col(blank) + 1, F.size(part)), "\n"))
+    got = _once(got, _reason=reason)
     good = _exchange(
         got.filter("_reason IS NULL"),
         url=F.col("_url"),
         method=F.upper(F.col("_start")[0]),
         request_headers=F.col("_rh"),
-        request_body=body(q, "_qb"),
+        request_body=F.col("_qb"),
         status_code=F.col("_status"),
         response_headers=F.col("_sh"),
-        response_body=body(r, "_rb"),
-        timestamp=F.when(parsed_time(date).isNotNull(), date).otherwise(F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")),
+        response_body=F.col("_rb"),
+        timestamp=F.when(parsed_time(F.col("_date")).isNotNull(), F.col("_date")).otherwise(F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")),
     )
     return good, got.filter("_reason IS NOT NULL").select(F.col(value).alias("item"), F.col("_reason").alias("reason"))
 
@@ -196,31 +196,33 @@ def parse_csv_cells(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = F.array_position(F.transform("cells", lambda c: F.lower(c).rlike(r"^(response\.)?rtt$")), F.lit(True))
     at = rows.select(F.max(named)).first()[0]  # one number for all rows
     rows = rows.withColumn("rtt_at", F.lit(at or None).cast("int"))
-    each = rows.select("row", "rtt_at", F.posexplode("cells").alias("pos", "cell"))
-    c = F.col("cell")
-    plain = F.expr("cast(try_to_binary(cell, 'base64') AS string)")
-    header_lines = F.filter(F.split(c, r"\r?\n"), lambda x: x.contains(":"))
-    clean = ~F.exists(header_lines, lambda x: ~F.trim(F.split_part(x, F.lit(":"), F.lit(1))).rlike(r"^[!#$%&'*+\-.^_`|~0-9a-zA-Z]+$"))
-    decoded = F.when(F.length(c) >= 16, plain)
-    role = (
-        F.when(F.col("pos") + 1 == F.col("rtt_at"), "rtt")
-        .when(c.contains("://") & ~c.contains("\n") & url_struct(c).isNotNull(), "url")
-        .when((F.length(c) < 40) & parsed_time(c).isNotNull(), "time")
-        .when(c.rlike(r"^[1-5]\d\d$"), "status")
-        .when((F.size(header_lines) > 2) & clean, "headers")
-        .when(decoded.rlike(r"(?s)^[A-Z]+ \S+ HTTP/\d"), "request")
-        .when(decoded.rlike(r"(?s)^HTTP/\d"), "response")
-        .when(c.rlike(r"^(GET|HEAD|POST|PUT|DELETE|PATCH|OPTIONS|TRACE|CONNECT)$"), "method")
-    )
-    each = each.withColumn("role", role).withColumn("decoded", decoded)
-    pick = lambda name, value="cell": F.min_by(F.when(F.col("role") == name, F.col(value)), F.when(F.col("role") == name, F.col("pos")))
-    found = each.groupBy("row").agg(
-        *[pick(n).alias(n) for n in ("rtt", "url", "time", "status", "method")],
-        pick("request", "decoded").alias("request"),
-        pick("response", "decoded").alias("response"),
-        F.array_sort(F.collect_list(F.when(F.col("role") == "headers", F.struct("pos", "cell")))).alias("plain"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cell"))), lambda x: F.coalesce(x["cell"], F.lit(""))), ",").alias("item"),
-    )
+
+    def role(c: Column, pos: Column) -> Column:
+        decoded = F.when(F.length(c) >= 16, F.try_to_binary(c, F.lit("base64")).cast("string"))
+        lines = F.filter(F.split(c, r"\r?\n"), lambda x: x.contains(":"))
+        token = r"^[!#$%&'*+\-.^_`|~0-9a-zA-Z]+$"
+
+        def of(x: Column) -> Column:
+            kind = (
+                F.when(pos + 1 == F.col("rtt_at"), "rtt")
+                .when(c.contains("://") & ~c.contains("\n") & url_struct(c).isNotNull(), "url")
+                .when((F.length(c) < 40) & parsed_time(c).isNotNull(), "time")
+                .when(c.rlike(r"^[1-5]\d\d$"), "status")
+                .when((F.size(x["lines"]) > 2) & F.forall(x["lines"], lambda h: F.trim(F.split_part(h, F.lit(":"), F.lit(1))).rlike(token)), "headers")
+                .when(x["decoded"].rlike(r"(?s)^[A-Z]+ \S+ HTTP/\d"), "request")
+                .when(x["decoded"].rlike(r"(?s)^HTTP/\d"), "response")
+                .when(c.rlike(r"^(GET|HEAD|POST|PUT|DELETE|PATCH|OPTIONS|TRACE|CONNECT)$"), "method")
+            )
+            return F.struct(c.alias("cell"), x["decoded"].alias("decoded"), kind.alias("role"))
+
+        return bound(F.struct(decoded.alias("decoded"), lines.alias("lines")), of)
+
+    rows = _once(rows, _cells=F.transform("cells", role))
+    pick = lambda name, value="cell": F.get(F.filter("_cells", lambda x: x["role"] == name), F.lit(0))[value]
+    found = _once(
+        rows, **{n: pick(n) for n in ("rtt", "url", "time", "status", "method")}, request=pick("request", "decoded"), response=pick("response", "decoded"),
+        plain=F.filter("_cells", lambda x: x["role"] == "headers"), item=F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), ","),
+    )
     parse = lambda text: joined_headers(F.transform(F.filter(F.split(text, r"\r?\n"), lambda x: x.contains(":")), lambda x: F.struct(F.trim(F.split_part(x, F.lit(":"), F.lit(1))).alias("name"), F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("value"))), ", ", "as is")
     head = lambda x: F.regexp_replace(F.regexp_extract(x, r"(?s)^[^\n]*\n(.*?)(\r?\n\r?\n|$)", 1), r"^\r?\n", "")
     body = lambda x: F.regexp_extract(x, r"(?s)\r?\n\r?\n(.*)$", 1)
@@ -229,11 +231,11 @@ def parse_csv_cells(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     response_text = F.coalesce(F.when(r.isNotNull(), head(r)), F.get("plain", F.when(q.isNull(), F.lit(1)).otherwise(F.lit(0)))["cell"])
     method = F.coalesce(F.regexp_extract(q, r"^([A-Z]+) ", 1), F.col("method"), F.lit("GET"))
     status = F.coalesce(F.col("status").try_cast("int"), F.regexp_extract(r, r"^HTTP/\S+ (\d{3})", 1).try_cast("int"))
-    found = found.withColumns({"_rh": F.when(request_text.isNotNull(), parse(request_text)), "_sh": F.when(response_text.isNotNull(), parse(response_text)), "_status": status})
+    found = _once(found, _rh=F.when(request_text.isNotNull(), parse(request_text)), _sh=F.when(response_text.isNotNull(), parse(response_text)), _status=status)
     date = F.get(F.transform(F.filter("_sh", lambda h: F.lower(h["name"]) == "date"), lambda h: h["value"]), F.lit(0))
     time = F.coalesce("time", F.when(parsed_time(date).isNotNull(), date))
-    reason = F.when(F.col("url").isNull(), "no URL").when(F.col("_rh").isNull() | F.col("_sh").isNull(), "headers missing").when(F.col("_status").isNull(), "no status").when(time.isNull(), "no time")
-    found = found.withColumn("_reason", reason)
+    reason = F.when(F.col("url").isNull(), "no URL").when(F.col("_rh").isNull() | F.col("_sh").isNull(), "headers missing").when(F.col("_status").isNull(), "no status").when(F.col("_time").isNull(), "no time")
+    found = _once(_once(found, _time=time), _reason=reason)
     good = _exchange(
         found.filter("_reason IS NULL"),
         url=F.trim("url"),
@@ -243,7 +245,7 @@ def parse_csv_cells(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         status_code=F.col("_status"),
         response_headers=F.col("_sh"),
         response_body=F.when(body(r) != "", body(r)),
-        timestamp=time,
+        timestamp=F.col("_time"),
         response_rtt=F.col("rtt").try_cast("double"),
         response_rtt_ms=F.col("rtt").try_cast("double"),
     )

@@ -41,6 +41,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table's rows over all cores, for work that is heavy row by row.
+
+    Only a scan of fewer splits than there are cores is dealt out, once; a large table's splits stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``materialize`` that nothing reads any more."""
     spark, path = df.sparkSession, df._webstrata_path

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from webstrata.operators.documents import chunk_documents, derive_documents, new_by_id, normalize_documents
 from webstrata.operators.sinks import _exists, quarantine, store_exists, stored_like, upsert_documents
@@ -17,12 +20,13 @@ def stream_items(spark: SparkSession, directory: str, files_per_batch: int = 100
     return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(directory)
 
 
-def ingest(items: DataFrame, root: str, checkpoint: str, rejects: str, as_of: Column, buckets: int = 16) -> StreamingQuery:
+def ingest(items: DataFrame, root: str, checkpoint: str, rejects: str, as_of: Column, buckets: int = 16, bodies: str | None = None) -> StreamingQuery:
     """Tier 1: parse, derive, drop what is stored, normalize, log, upsert; rejects go to a side table.
 
     The new documents of a batch are written once, to ``<checkpoint>/log/batch=<n>``, and appended to
     the store from there as one delta.  A batch that is run again after a failure takes what its log has, and
-    is not appended twice.  Tier 2 reads the log.
+    is not appended twice.  ``bodies`` names a store of clean bodies, so that one that came in an earlier
+    batch isn't normalized again.  Tier 2 reads the log.
     """
 
     def batch(df: DataFrame, number: int) -> None:
@@ -33,7 +37,7 @@ def ingest(items: DataFrame, root: str, checkpoint: str, rejects: str, as_of: Co
             docs = derived = materialize(derive_documents(exchanges, as_of), "derived")
             if store_exists(spark, root):
                 docs = new_by_id(docs, stored_like(docs, root, buckets))
-            normalize_documents(docs).write.mode("overwrite").parquet(log)
+            normalize_documents(docs, bodies).write.mode("overwrite").parquet(log)
             for done in (exchanges, derived):
                 discard(done)
         upsert_documents(spark.read.parquet(log), root, buckets, (checkpoint, number))
@@ -61,6 +65,53 @@ def first_seen(docs: DataFrame, horizon: str = "1 day") -> DataFrame:
     return docs.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["doc_id"])
 
 
+TYPED = "version int, url string, content_sha256 string, ts timestamp"
+
+
+class _NewTyped(StatefulProcessor):
+    """For one version and URL: the hashes and the times that were seen, each kept for ``ttl_ms``."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.hashes = handle.getMapState("hashes", "hash string", "seen boolean", self.ttl_ms)
+        self.times = handle.getMapState("times", "time timestamp", "seen boolean", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """Rows of a batch are told apart from what earlier batches held; among themselves they all count as new."""
+        new, seen = [], []
+        for frame in rows:
+            known = [bool(h) and self.hashes.containsKey((h,)) or (t is not None and self.times.containsKey((t,))) for h, t in zip(frame["content_sha256"], _times(frame["ts"]), strict=True)]
+            new.append(frame[[not k for k in known]])
+            seen.extend(zip(new[-1]["content_sha256"], _times(new[-1]["ts"]), strict=True))
+        for h, t in seen:
+            if h:
+                self.hashes.updateValue((h,), (True,))
+            if t is not None:
+                self.times.updateValue((t,), (True,))
+        yield from (f for f in new if len(f))
+
+    def close(self) -> None:
+        pass
+
+
+def _times(column: pd.Series) -> list:
+    return [None if pd.isna(t) else t.to_pydatetime() for t in column]
+
+
+def new_typed_stream(docs: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Stream form of ``documents.new_typed``: rows with neither the hash nor the time of an earlier row of the same version and URL.
+
+    State is two maps for each (version, url), spread by key over the shuffle partitions in RocksDB (the
+    session's state store provider must be it); entries go ``ttl_ms`` after they were written, and beyond that the
+    join against the corpus decides.  Rows of one micro-batch are not compared with each other.  Columns are
+    those of ``TYPED``; a null or empty hash and a null time match nothing.
+    """
+    rows = docs.select(*(c.split()[0] for c in TYPED.split(", ")))
+    return rows.groupBy("version", "url").transformWithStateInPandas(_NewTyped(ttl_ms), TYPED, "Append", "ProcessingTime" if ttl_ms else "None")
+
+
 def day_counts(events: DataFrame, key: str, ts: str = "ts", late: str = "7 days") -> DataFrame:
     """Streaming counts by day and key."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w"), F.col(key)).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("day"), key, "n")
