@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from webstrata.llm import automaton, dedup, neighbours
+from webstrata.llm import automaton, dedup, extraction, neighbours
 
 DOCS = "doc_id long, text string"
 
@@ -47,3 +47,9 @@ def test_rows_that_share_a_hash_are_not_taken_for_repeats(spark, monkeypatch):
     monkeypatch.setattr(dedup.F, "xxhash64", lambda *cols: F.pmod(own(*cols), F.lit(3)) if cols and isinstance(cols[0], str) and cols[0] == "doc_id" else own(*cols))
     kept = dedup.keep_one(spark.createDataFrame([*rows, rows[5], rows[5]], DOCS)).collect()
     assert sorted(map(tuple, kept)) == rows
+
+
+def test_names_of_containers_go_through_the_threshold(spark, sf):
+    """On the given pages nothing is dropped ahead of it but navigation and the like: without a threshold menus and comments stay."""
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    assert sum(extraction.main_text(p, share=0.0) != extraction.main_text(p) for p in pages) > 0.9 * len(pages)

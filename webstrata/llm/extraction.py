@@ -377,8 +377,14 @@ def overruled_names(found: list[Block], named: list[Named], paths: Paths) -> fro
         lifted |= new
 
 
-def choose_paths(found: list[Block], paths: Paths, share: float) -> set[int]:
-    """Paths whose fused ratio reaches ``share`` of the page's mean, weighted by text."""
+def choose_paths(found: list[Block], named: list[Named], paths: Paths, share: float) -> set[tuple[int, int]]:
+    """Paths (and the named container around each, if any) whose score reaches ``share`` of the page's mean, weighted by text.
+
+    The score is the fused ratio, smoothed over the paths around; within a named container it is
+    multiplied by the name's factor, and meets the same threshold.  Named text doesn't count in the mean.
+    """
+    every = found
+    found = [b for b in every if b.name == NONE]
     chars, marks, linked, nodes = (defaultdict(int) for _ in range(4))
     for b in found:
         chars[b.path] += len(b.text)
@@ -420,7 +426,15 @@ def choose_paths(found: list[Block], paths: Paths, share: float) -> set[int]:
         far = deep and paths.depth[meets[path]] <= 2 and paths.tag[path] not in HEADING
         return FAR * share if far else share
 
-    return {p for p, s in smooth.items() if s >= need(p) * level}
+    keep = {(p, NONE) for p, s in smooth.items() if s >= need(p) * level}
+    boxes: dict[tuple[int, int], list[Block]] = defaultdict(list)
+    for b in every:
+        if b.name != NONE:
+            boxes[b.path, b.name].append(b)
+    for (path, name), inside in boxes.items():
+        if _ratio(inside)[0] * (WHOLE_NAME if named[name].whole else PART_NAME) >= need(path) * level:
+            keep.add((path, name))
+    return keep
 
 
 def main_text(page: str | None, share: float = 0.25) -> str:
@@ -428,10 +442,9 @@ def main_text(page: str | None, share: float = 0.25) -> str:
     found, named, paths = blocks(page or "")
     lifted = overruled_names(found, named, paths)
     if lifted:
-        found, _, paths = blocks(page or "", lifted)
-    found = [b for b in found if b.name == NONE]
-    keep = choose_paths(found, paths, share)
-    return "\n".join(b.text for b in found if b.path in keep)
+        found, named, paths = blocks(page or "", lifted)
+    keep = choose_paths(found, named, paths, share)
+    return "\n".join(b.text for b in found if (b.path, b.name) in keep)
 
 
 def extract_pages(pages: DataFrame, share: float = 0.25, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
