@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from webstrata.llm import automaton, dedup, extraction, neighbours
+from webstrata.llm import automaton, dedup, extraction, language, neighbours
 
 DOCS = "doc_id long, text string"
 
@@ -53,3 +54,16 @@ def test_names_of_containers_go_through_the_threshold(spark, sf):
     """On the given pages nothing is dropped ahead of it but navigation and the like: without a threshold menus and comments stay."""
     pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     assert sum(extraction.main_text(p, share=0.0) != extraction.main_text(p) for p in pages) > 0.9 * len(pages)
+
+
+def test_parsings_that_never_meet_take_linear_time():
+    parser = language.CrossParser({"a": "abc é " * 3 + "aaa abé", "b": "the cat ééé", "c": "aé" * 9})
+    rng = random.Random(5)
+    texts = ["a" * 5000, "ab" * 4000, "the " * 3000, "x", "", "aaaa" * 2000 + "b" + "a" * 3000, "é" * 4000, "aé" * 3000]
+    texts += ["".join(rng.choice("abé ") for _ in range(rng.randint(1, 6000))) for _ in range(30)]
+    for text, got in zip(texts, parser.phrases(texts)[0].tolist(), strict=True):
+        codes = parser.alphabet.codes(text).tolist()
+        assert got == [a.walk(0, codes, [False] * len(codes))[0] + 1 if codes else 0 for a in parser.automata]
+    began = time.process_time()
+    parser.phrases(["a" * 1_000_000])
+    assert time.process_time() - began < 4

@@ -21,6 +21,8 @@ GUESSES = "doc_id long, lang_pred string, score double, n_letters long, phrase_r
 UNKNOWN = "und"
 #: Characters of a lane, the unit that is parsed in step with others, and classes with a column in the tables.
 LANE, DENSE = 512, 64
+#: Rounds in which all lanes are mended side by side.
+ROUNDS = 2
 
 
 class Alphabet:
@@ -87,6 +89,7 @@ class SuffixAutomaton:
             rare += [(state * size + c, 2 * t) for c, t in arcs.items() if c >= self.wide]
         self.table = np.ascontiguousarray(table).ravel()
         rare.sort()
+        self.rare = dict(rare)
         self.rare_keys, self.rare_next = np.array([k for k, _ in rare] or [-1], np.int64), np.array([t for _, t in rare] or [0], np.int64)
 
     def follow(self, state: np.ndarray, c: np.ndarray, rare: bool) -> np.ndarray:
@@ -102,6 +105,22 @@ class SuffixAutomaton:
         return got
 
 
+    def walk(self, state: int, classes: list[int], starts: list[bool]) -> tuple[int, int, bool]:
+        """Phrases more than ``starts`` has, the last state, and whether a phrase begins where one began: one lane, step by step."""
+        table, wide, more = memoryview(self.table), self.wide, 0
+        for c, old in zip(classes, starts, strict=True):
+            if c < wide:
+                got = table[state * wide + c]
+            else:
+                got = self.rare.get(state * self.size + c)
+                got = int(self.fresh[c]) - (state == 0) if got is None else got
+            state, new = got >> 1, got & 1
+            more += new - old
+            if new and old:
+                return more, state, True
+        return more, state, False
+
+
 class CrossParser:
     """Suffix automata of all languages over one alphabet."""
 
@@ -159,9 +178,15 @@ class CrossParser:
 
     @staticmethod
     def _mend(automaton: SuffixAutomaton, flat: np.ndarray, rare: bool, starts: np.ndarray, ends: np.ndarray, begin: np.ndarray, span: np.ndarray, lanes: np.ndarray) -> np.ndarray:
-        """How many phrases more each lane has when it goes on from the lane before it; lanes: those that do."""
+        """How many phrases more each lane has when it goes on from the lane before it; lanes: those that do.
+
+        Nearly all lanes settle in two rounds.  Where parsings don't meet (a run of one letter, say), each change
+        would go on to the next lane round by round; what is left is parsed lane after lane instead, each lane once.
+        """
         own_ends, more, later = ends.copy(), np.zeros(len(begin), np.int64), lanes
-        while len(lanes):
+        for _ in range(ROUNDS):
+            if not len(lanes):
+                return more
             state, before = ends[lanes - 1], ends[lanes]
             more[lanes], ends[lanes] = 0, own_ends[lanes]
             at, step = np.arange(len(lanes)), 0
@@ -177,6 +202,16 @@ class CrossParser:
                 ends[lane[last]] = state[at[last]]
                 at = at[~(new & old) & (span[lane] > step)]
             lanes = np.intersect1d(lanes[ends[lanes] != before] + 1, later)
+        if not len(lanes):
+            return more
+        goes_on, open_ = np.zeros(len(begin) + 1, bool), np.zeros(len(begin) + 1, bool)
+        goes_on[later], open_[lanes] = True, True
+        for lane in range(int(lanes[0]), len(begin)):
+            if open_[lane]:
+                before, part = ends[lane], slice(begin[lane], begin[lane] + span[lane])
+                more[lane], end, met = automaton.walk(int(ends[lane - 1]), flat[part].tolist(), starts[part].tolist())
+                ends[lane] = own_ends[lane] if met else end
+                open_[lane + 1] |= ends[lane] != before and goes_on[lane + 1]
         return more
 
     def guess(self, texts: list[str]) -> list[tuple[str, float, int, float]]:
