@@ -67,3 +67,16 @@ def test_parsings_that_never_meet_take_linear_time():
     began = time.process_time()
     parser.phrases(["a" * 1_000_000])
     assert time.process_time() - began < 4
+
+
+def test_hubs_that_meet_their_pairs_in_parts(spark, monkeypatch):
+    """Buckets of many near copies, in parts of two: the same components as in one part."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(400)]
+    base = [rng.choice(words) for _ in range(120)]
+    rows = [(k, " ".join([*base[:100], *[rng.choice(words) for _ in range(k % 3)], *base[100:]])) for k in range(40)]
+    rows += [(100 + k, " ".join(rng.choice(words) for _ in range(60))) for k in range(20)]
+    docs = spark.createDataFrame(rows, DOCS)
+    whole = sorted(map(tuple, dedup.near_duplicates(docs).collect()))
+    monkeypatch.setattr(dedup, "PART", 2)
+    assert sorted(map(tuple, dedup.near_duplicates(docs).collect())) == whole and sum(r[2] == 0 for r in whole) >= 40

@@ -128,8 +128,16 @@ def may_link(threshold: float, miss: float) -> Column:
     return ok & (parity <= (F.expr("a.n_shingles + b.n_shingles") * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-9)))
 
 
+def in_parts(pairs: DataFrame, rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Pairs (u, v) with the row of their u; a u of the table hot (u, parts) meets its pairs part by part, one copy of the row in each."""
+    hot = sized(hot)
+    left = pairs.join(hot, "u", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("v"), F.col("parts"))).otherwise(0)).drop("parts")
+    right = rows.join(hot, "u", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
+    return left.join(right, ["u", "part"])
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) whose full sets hold 100 * |A and B| >= percent * |A or B|."""
+    """Pairs (u, v) whose full sets hold 100 * |A and B| >= percent * |A or B|; ``pairs`` is a written table."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
@@ -142,7 +150,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = sets.select(F.col("rep").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("rep").alias("v"), F.col("shingles").alias("y"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(check, "u long, v long")
+    hot = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")).filter("parts > 1")
+    return in_parts(pairs.join(right, "v"), left, hot).select("u", "v", "x", "y").mapInArrow(check, "u long, v long")
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -195,8 +204,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6, id_c
     plausible = may_link(threshold, miss)
 
     pairs = met.filter("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
-    a, b = data.withColumnRenamed("rep", "u").alias("a"), data.withColumnRenamed("rep", "v").alias("b")
-    first = materialize(pairs.join(a, "u").join(b, "v").filter(plausible).select("u", "v"), "pairs")
+    hot = met.filter("rep = hub AND parts > 1").groupBy(F.col("hub").alias("u")).agg(F.max("parts").cast("long").alias("parts"))
+    kept = ("n_shingles", "bits", "parity")
+    a = data.select(F.col("rep").alias("u"), F.struct(*kept).alias("a"))
+    b = data.select(F.col("rep").alias("v"), F.struct(*kept).alias("b"))
+    first = materialize(in_parts(pairs.join(b, "v"), a, hot).filter(plausible).select("u", "v"), "pairs")
 
     def joined(wanted: DataFrame) -> DataFrame:
         """Full sets of the representatives that some pair needs."""
