@@ -65,6 +65,13 @@ def newer_points() -> regex.Pattern:
     return regex.compile("[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in zip(first, last, strict=True)) + "]")
 
 
+@cache
+def letters_known() -> bool:
+    """Whether Python and the library agree on which of the code points that Python knows are letters."""
+    letters = letter_run()
+    return all((letters.match(c) is not None) == c.isalpha() for c in map(chr, range(0x40000)) if not 0xD800 <= ord(c) < 0xE000 and unicodedata.category(c) != "Cn")
+
+
 class TokenAutomaton:
     """Tables of the automaton for one tokenizer file whose last symbols carry an end mark."""
 
@@ -317,6 +324,7 @@ class TextEncoder:
             if newer_points().search(run):
                 run = Lowercase().normalize_str(NFC().normalize_str(run))
             else:
+                letters = str.isalpha if letters_known() else letters
                 run = unicodedata.normalize("NFC", run)
                 run = "".join([c.lower() for c in run]) if "Σ" in run else run.lower()
         if letters(run):
