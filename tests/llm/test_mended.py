@@ -80,3 +80,24 @@ def test_hubs_that_meet_their_pairs_in_parts(spark, monkeypatch):
     whole = sorted(map(tuple, dedup.near_duplicates(docs).collect()))
     monkeypatch.setattr(dedup, "PART", 2)
     assert sorted(map(tuple, dedup.near_duplicates(docs).collect())) == whole and sum(r[2] == 0 for r in whole) >= 40
+
+
+def test_a_block_is_indexed_once_and_copies_are_dealt_over_blocks(spark, monkeypatch):
+    """Batches that cut blocks and queries anywhere give the same rows; copies of one row fill no block."""
+    rng = np.random.default_rng(31)
+    hot = rng.standard_normal(8).tolist()
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(300)] + [(7, hot)] * 150
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    whole = neighbours.search(frame).toPandas()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        cut = neighbours.search(frame, most_tasks=1).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    order = ["query_id", "rank"]
+    assert whole.sort_values(order).reset_index(drop=True).equals(cut.sort_values(order).reset_index(drop=True))
+    assert (whole.groupby("query_id").size() == 20).all()
+    coder = neighbours.learn_coder(np.array([r[1] for r in rows]), len(rows))
+    index = neighbours.index_vectors(neighbours.usable_vectors(frame, "vec_id", "embedding"), coder)
+    blocks = index.filter("vec_id = 7").selectExpr("pmod(xxhash64(slot), 4) AS block").groupBy("block").count().toPandas()
+    assert len(blocks) == 4 and blocks["count"].max() < 80 and index.select("slot").distinct().count() == len(rows)

@@ -11,11 +11,11 @@ the sample's own neighbours.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,30 +163,80 @@ def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFram
 
 
 def index_vectors(rows: DataFrame, coder: Coder) -> DataFrame:
-    """Every row with its code, written once: vec_id, embedding, code (two bytes a substring)."""
+    """Every row with its code, written once: vec_id, embedding, code (two bytes a substring), slot.
+
+    ``slot`` tells rows apart, so that copies of one row can be dealt to different blocks.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(coder)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                code = shared.value.encode(x)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in code], pa.binary())], names=["vec_id", "embedding", "code"])
+                code = pa.array([c.tobytes() for c in shared.value.encode(_matrix(part.column(1)))], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), code, part.column(2)], names=["vec_id", "embedding", "code", "slot"])
+
+    numbered = rows.withColumn("slot", F.monotonically_increasing_id())
+    return materialize(numbered.mapInArrow(encode, "vec_id long, embedding array<double>, code binary, slot long"), "codes")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    return materialize(rows.mapInArrow(encode, "vec_id long, embedding array<double>, code binary"), "codes")
 
+def _codes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, block: int = 8192, query_block: int = 1024, sample_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+
+def _answers(x: np.ndarray, ids: np.ndarray, index: SubstringIndex, asked: pa.RecordBatch, k: int, flips: int) -> pa.RecordBatch:
+    """The k best rows of a block for each query of a batch."""
+    got: tuple[list, list, list] = ([], [], [])
+    for query, vector, code in zip(asked.column("vec_id").to_pylist(), _matrix(asked.column("embedding")), _codes(asked.column("code")), strict=True):
+        near = index.candidates(code, flips, k, ids != query)
+        best, score = best_of(x[near], ids[near], vector, k)
+        got[0].extend([query] * len(best))
+        got[1].extend(ids[near[best]].tolist())
+        got[2].extend(score.tolist())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(got, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+
+
+def _meet(k: int, flips: int, at_once: int = 256) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by (block, asked): a block's rows come first and are indexed once, then its queries stream past."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, index = None, [], None
+        for batch in batches:
+            key, asks = batch.column("block").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for begin, end in pairwise([0, *cuts.tolist(), batch.num_rows]):
+                if begin == end:
+                    continue
+                if key[begin] != block:
+                    block, held, index = key[begin], [], None
+                part = batch.slice(begin, end - begin)
+                if not asks[begin]:
+                    held.append(part)
+                    continue
+                if index is None and held:
+                    base = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    held, x, ids, index = [], _matrix(base.column("embedding")), base.column("vec_id").to_numpy(), SubstringIndex(_codes(base.column("code")))
+                for at in range(0, part.num_rows if index else 0, at_once):
+                    yield _answers(x, ids, index, part.slice(at, at_once), k, flips)
+
+    return run
+
+
+def search(vectors: DataFrame, k: int = 20, every: int = 20, block: int = 8192, query_block: int = 65_536, sample_rows: int = 4096, most_tasks: int = 20_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest of all other rows, by inner product, for each id that ``every`` divides.
 
     Returns query_id, rank (from 1), vec_id, score, nearest first, ties to the smaller vec_id.
 
-    All rows are coded once, and lie in blocks of about ``block`` rows by a hash; a block's rows are
-    indexed by each substring.  The stated queries meet the blocks in groups of ``query_block``, so a
-    task holds one of each; a query reads the rows of the buckets it probes and no others, with more
-    bits flipped where these are fewer than k, and k rows a query leave the task.  ``sample_rows``
-    bounds the rows that rotations, substrings and flips are learned on.
+    All rows are coded once, and lie in blocks of about ``block`` rows by a hash.  A block is indexed by
+    each substring once for ``query_block`` queries, which stream past it (fewer, where the table has too
+    few blocks for all cores), so a task holds one block and a batch of queries.  A query reads the rows
+    of the buckets it probes and no others, with more bits flipped where these are fewer than k, and k
+    rows a query leave the task.  ``sample_rows`` bounds the rows that rotations, substrings and flips are
+    learned on.
 
     Vectors that are null, zero or hold null or non-finite components take no part; nor do those whose
     length differs from the sample's most common one.  Repeated rows of one id count as candidates
@@ -206,25 +256,16 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, block: int = 8192,
     coder = learn_coder(chosen, total, k)
     index = index_vectors(rows, coder)
     queries = index.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("embedding", "code")).alias("one")).select("vec_id", "one.*")
-    n_blocks, n_query_blocks = max(1, -(-total // block)), max(1, -(-queries.count() // query_block))
-    flips = coder.flips
-    part = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n_blocks)).cast("int")
-    left = index.withColumn("i", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-    right = queries.withColumn("q", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(n_query_blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def meet(base: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        got: tuple[list, list, list] = ([], [], [])
-        if len(base) and len(asked):
-            x, ids = np.stack(base["embedding"].to_numpy()), base["vec_id"].to_numpy()
-            found = SubstringIndex(np.stack([np.frombuffer(c, np.uint16) for c in base["code"]]))
-            for query, vector, code in zip(asked["vec_id"].tolist(), asked["embedding"], asked["code"], strict=True):
-                near = found.candidates(np.frombuffer(code, np.uint16), flips, k, ids != query)
-                best, score = best_of(x[near], ids[near], np.asarray(vector), k)
-                got[0].extend([query] * len(best))
-                got[1].extend(ids[near[best]].tolist())
-                got[2].extend(score.tolist())
-        return pd.DataFrame({"query_id": np.array(got[0], np.int64), "vec_id": np.array(got[1], np.int64), "score": np.array(got[2], np.float64)})
-
-    found = left.groupBy("i", "q").cogroup(right.groupBy("i", "q")).applyInPandas(meet, out)
+    n_asked, n_blocks = queries.count(), max(1, -(-total // block))
+    dealt = min(-(-n_asked // 256), -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // n_blocks))
+    groups = max(1, -(-n_asked // query_block), dealt)
+    number, group = F.pmod(F.xxhash64("slot"), F.lit(n_blocks)), F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(groups))
+    columns = ["block", "asks", "vec_id", "embedding", "code"]
+    every_group, every_block = (F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))) for n in (groups, n_blocks))
+    left = index.withColumn("_g", every_group).withColumns({"block": number * groups + F.col("_g"), "asks": F.lit(False)}).select(columns)
+    right = queries.withColumn("_b", every_block).withColumns({"block": F.col("_b") * groups + group, "asks": F.lit(True)}).select(columns)
+    parts = min(n_blocks * groups, most_tasks)
+    met = left.unionByName(right).repartitionById(parts, F.pmod("block", F.lit(parts)).cast("int")).sortWithinPartitions("block", "asks")
+    found = met.mapInArrow(_meet(k, coder.flips), out)
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
