@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import base64
 import json
+import random
+from itertools import pairwise
 
 from pyspark.sql import functions as F
 
 from webstrata.operators import sinks
 from webstrata.sources import captures, findings
+from webstrata.sources.har_entries import EntrySplitter
 
 def as_of():
     return F.lit("2025-01-01 00:00:00").cast("timestamp")
@@ -58,6 +61,45 @@ def test_har(spark, tmp_path):
     assert [(h.name, h.value) for h in row.request_headers] == [("X-A", "1;2")]
 
 
+def test_har_splitter_equals_json_loads_however_it_is_cut():
+    rng = random.Random(5)
+    odd = ["", "request", 'a"request"b', "\\", '\\"', "}]{[", "\u00e4\u2028", '"request', "entries", "log", "x" * 50]
+    for _ in range(400):
+        value = lambda d: rng.choice(odd) if d == 0 or rng.random() < 0.4 else {rng.choice(odd): value(d - 1) for _ in range(3)} if rng.random() < 0.5 else [value(d - 1) for _ in range(2)]  # noqa: B023, E731
+        entries = [{"request": value(2), rng.choice(odd): value(2)} for _ in range(rng.randint(0, 4))]
+        log = {"pages": [value(2), {"entries": [{"a": 1}]}], "entries": entries, "z": value(1)}
+        text = json.dumps({"creator": value(2), "log": log, "tail": {"entries": [{"b": 2}], "log": {"c": [{}]}}}, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5)
+        cuts = sorted(rng.randint(0, len(text)) for _ in range(rng.randint(0, 30)))
+        splitter = EntrySplitter()
+        got = [e for a, b in pairwise([0, *cuts, len(text)]) for e in splitter.feed(text[a:b])]
+        assert [json.loads(e) for e in got] == entries and splitter.end() is None, text
+        if entries:
+            short = EntrySplitter()
+            head = list(short.feed(text[: text.index(got[-1]) + len(got[-1]) - 1]))
+            assert len(head) < len(got) and short.end()[1] == "HAR log breaks off"
+
+
+def test_large_har_files_are_read_in_pieces(spark, tmp_path):
+    text = lambda k: f'say \\"request" {k} }}]' + "y" * 400
+    entry = lambda f, k: {"time": 1.0, "request": {"method": "GET", "url": f"https://{f}.b/{k}", "headers": [{"name": "request", "value": "request"}]}, "response": {"status": 200, "headers": [], "content": {"text": text(k)}}}
+    for f in ("a", "b"):
+        (tmp_path / f"{f}.har").write_text(json.dumps({"log": {"version": "1.2", "entries": [entry(f, k) for k in range(300)]}}, indent=2 if f == "a" else None))
+    (tmp_path / "cut.har").write_text(json.dumps({"log": {"entries": [entry("cut", k) for k in range(300)]}})[:-300])
+    (tmp_path / "none.har").write_text(json.dumps({"request": ["x" * 200_000]}))
+    (tmp_path / "empty.har").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        seen = []
+        for bound in (1 << 23, 1000):
+            good, bad = captures.read_har(spark, str(tmp_path), as_of(), bound)
+            seen.append((sorted((r.url, r.response_body, r.request_headers[0].value) for r in good.collect()), sorted((r.reason, r["item"]) for r in bad.collect())))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows, rejects = seen[0]
+    assert seen[1] == seen[0] and len(rows) == 300 * 2 + 299
+    assert rows[:1] == [("https://a.b/0", text(0), "request")] and {r[0] for r in rejects} == {"not a HAR log", "HAR log breaks off"}
+
+
 def test_http_raw(spark, tmp_path):
     (tmp_path / "a.txt").write_text("GET /p?q=1 HTTP/1.1\r\nHost: h.example.com\r\nx-a: 1\r\nX-A: 2\r\n\r\nHTTP/1.1 200 OK\r\nDate: Sat, 19 Jul 2025 13:23:10 GMT\r\n\r\nline1\r\nline2")
     (tmp_path / "b.txt").write_text("GET http://z/ HTTP/1.1\n\nreq body\nHTTP/1.1 204 None\n\n")

@@ -6,9 +6,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from webstrata.functions.urls import url_struct
 from webstrata.functions.values import bound, parsed_time, title_case
+from webstrata.sources.har_entries import har_entries
 from webstrata.sources.schema import EXCHANGE, HAR, HEADERS, KATANA
 from webstrata.sources.shared import lines_or_whole
 
@@ -99,7 +101,12 @@ def parse_har(items: DataFrame, as_of: Column, value: str = "value") -> tuple[Da
     """Exchanges of HAR texts (one a row), and rejected texts and entries with a reason."""
     got = items.withColumn("_j", F.from_json(value, HAR))
     bad = got.filter("_j IS NULL OR _j.log IS NULL").select(F.col(value).alias("item"), F.lit("not a HAR log").alias("reason"))
-    each = got.filter("_j.log IS NOT NULL").select(F.explode("_j.log.entries").alias("e"))
+    good, wrong = _har_exchanges(got.filter("_j.log IS NOT NULL").select(F.explode("_j.log.entries").alias("e")).withColumn("item", F.to_json("e")), as_of)
+    return good, bad.unionByName(wrong)
+
+
+def _har_exchanges(each: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """Exchanges of HAR entries (e, and item: its text), and those rejected."""
     e = F.col("e")
     ok = e["request"].isNotNull() & e["response"].isNotNull() & url_struct(e["request"]["url"]).isNotNull()
     each = each.withColumn("_ok", F.coalesce(ok, F.lit(False)))
@@ -116,11 +123,15 @@ def parse_har(items: DataFrame, as_of: Column, value: str = "value") -> tuple[Da
         response_rtt=e["time"] / 1000,
         response_rtt_ms=e["time"],
     )
-    return good, bad.unionByName(each.filter("NOT _ok").select(F.to_json("e").alias("item"), F.lit("entry without request, response or valid URL").alias("reason")))
+    return good, each.filter("NOT _ok").select("item", F.lit("entry without request, response or valid URL").alias("reason"))
 
 
-def read_har(spark: SparkSession, path: str, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    return parse_har(spark.read.text(path, wholetext=True), as_of)
+def read_har(spark: SparkSession, path: str, as_of: Column, whole_bytes: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
+    """Exchanges of HAR files, and what is rejected; files of more than ``whole_bytes`` are read entry by entry."""
+    rows = har_entries(spark, path, whole_bytes)
+    entry = StructType.fromDDL(HAR)["log"].dataType["entries"].dataType.elementType
+    good, wrong = _har_exchanges(rows.filter("reason IS NULL").select(F.from_json("value", entry).alias("e"), F.col("value").alias("item")), as_of)
+    return good, rows.filter("reason IS NOT NULL").select(F.col("value").alias("item"), "reason").unionByName(wrong)
 
 
 def _header_lines(lines: Column) -> Column:
