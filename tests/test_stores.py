@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from webstrata.functions import values
-from webstrata.operators import bodies, documents, listing, search
+from webstrata.operators import bodies, documents, listing, search, term_index
 from webstrata.sources import captures
 from webstrata.sources.shared import spread
 from webstrata.streaming import ingest
@@ -118,3 +118,21 @@ def test_sparse_vectors_of_a_user(spark):
     asked = search.term_weights(spark.createDataFrame([(9, "aa cc")], "q long, t string"), "q", "t", make)
     for part in (50_000, 1):
         assert [tuple(r) for r in search.sparse_dot_topk(asked, docs, 5, "q", "id", part=part).orderBy("rank").select("q", "id", "score", "rank").collect()] == [(9, 2, 8.0, 1), (9, 1, 4.0, 2)]
+
+
+def test_a_stored_term_index_gives_what_a_scan_gives_and_skips_blocks(spark, tmp_path):
+    rng = random.Random(8)
+    common, rare = [f"c{k}" for k in range(20)], [f"r{k}" for k in range(200)]
+    texts = [" ".join(rng.choices(common, k=rng.randint(1, 30)) + rng.choices(rare, k=rng.randint(0, 2))) for _ in range(600)]
+    docs = spark.createDataFrame([*enumerate([*texts, texts[0], texts[0], "", None])], "doc long, text string").withColumns({"term": F.lit("x"), "block": F.lit(1)})
+    asked = spark.createDataFrame([(1, "c1 r5"), (2, "r7 r7 R9"), (3, "c1 c2 c3"), (4, "nowhere"), (5, None), (6, texts[0])], "q long, text string")
+    index = term_index.build_term_index(docs, str(tmp_path / "index"), "doc", block_docs=16, buckets=3)
+    for k in (1, 4, 50):
+        got, want = (sorted(map(tuple, f.select("q", "doc", "score", "rank").collect())) for f in (term_index.indexed_topk(asked, index, k, "q"), search.sparse_topk(asked, docs, k, "q", "doc")))
+        assert got == want and {r[0] for r in got} == {1, 2, 3, 6}
+    floor = {r.q: r.score for r in search.sparse_topk(asked, docs, 4, "q", "doc").filter("rank = 4").collect()}
+    bounds = term_index.block_bounds(asked, index, "q")[0].collect()
+    skipped = [r for r in bounds if r.q in floor and r.bound < floor[r.q]]
+    assert len(skipped) > len(bounds) / 3
+    empty = term_index.build_term_index(docs.limit(0), str(tmp_path / "empty"), "doc")
+    assert empty.n_docs == 0 and term_index.indexed_topk(asked, empty, 3, "q").count() == 0

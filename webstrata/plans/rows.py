@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webstrata.operators import documents, listing, search, sinks
+from webstrata.operators import documents, listing, search, sinks, term_index
 from webstrata.plans.more import QUERIES, SQL, as_of, folder
-from webstrata.plans.registry import dealt, page_exchanges, register, table
+from webstrata.plans.registry import _BM25, dealt, page_exchanges, register, table
 from webstrata.sources import captures, findings
 from webstrata.sources.shared import materialize
 from webstrata.streaming import ingest
@@ -164,3 +164,13 @@ def sketched_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = listing.distinct_in_days(sketches, ["event_type"], F.lit("2024-01-03").cast("date"), F.lit("9999-12-31").cast("date"))
     exact = events.filter("ts >= TIMESTAMP '2024-01-03'").groupBy("event_type").agg(F.countDistinct("user_id").alias("exact"))
     return found.join(exact, "event_type").select("event_type", F.col("exact").alias("n"), (F.abs(F.col("n") - F.col("exact")) <= F.ceil(F.col("exact") * 0.02)).alias("near"))
+
+
+@register(_BM25.replace("FROM benchmark)", "FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT -1 - page_id, url FROM pages))") + "SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 10")
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two searches, by benchmark texts and by pages' URLs, over postings that are stored once."""
+    docs = dealt(spark, sf_dir, "documents")
+    index = term_index.build_term_index(docs, folder(spark, "term-index"), "doc_id", block_docs=1024)
+    urls = table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("item_id"), F.col("url").alias("text"))
+    found = [term_index.indexed_topk(asked, index, 10, "item_id") for asked in (table(spark, sf_dir, "benchmark").select("item_id", "text"), urls)]
+    return found[0].unionByName(found[1]).select("item_id", "doc_id", "score", "rank")
