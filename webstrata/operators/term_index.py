@@ -50,7 +50,8 @@ def read_postings(spark: SparkSession, index: TermIndex) -> DataFrame:
 
 def _scores(pairs: DataFrame, held: DataFrame, query_id: str, doc_id: str) -> DataFrame:
     """Exact scores of the documents of the blocks asked for; ``pairs``: query, block, term, idf."""
-    met = held.select("term", "block", F.explode("postings").alias("p")).join(pairs, ["term", "block"])
+    needed = held.join(pairs.select("term", "block").distinct(), ["term", "block"], "left_semi")
+    met = needed.select("term", "block", F.explode("postings").alias("p")).join(pairs, ["term", "block"])
     return met.groupBy(query_id, F.col("p.doc").alias(doc_id)).agg(F.round(F.sum(F.col("idf") * F.col("p.weight")), 6).alias("score"))
 
 
