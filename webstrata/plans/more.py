@@ -165,8 +165,9 @@ def finding_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-SELECT sha256(url || ':network:2025-01-01T') AS doc_id, 'network' AS doc_type, page_id % 3 = 0 AS replaced FROM pages
-UNION ALL SELECT sha256(url || ':content:2025-01-01T:'), 'content', page_id % 3 = 0 FROM pages""")
+WITH u AS (SELECT url, bool_or(page_id % 3 = 0) AS replaced FROM pages GROUP BY url)
+SELECT sha256(url || ':network:2025-01-01T') AS doc_id, 'network' AS doc_type, replaced FROM u
+UNION ALL SELECT sha256(url || ':content:2025-01-01T:'), 'content', replaced FROM u""")
 def upserted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of all pages stored, those of every third one stored again with an older time, and scanned."""
     root, pages = folder(spark, "corpus"), page_exchanges(spark, sf_dir)
@@ -178,7 +179,8 @@ def upserted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-SELECT CASE WHEN page_id % 3 = 0 THEN 'third' WHEN page_id % 2 = 0 THEN 'second' ELSE 'first' END AS title, doc_type, count(*) AS n FROM pages, (SELECT unnest(['content', 'network']) AS doc_type) GROUP BY ALL""")
+WITH u AS (SELECT url, CASE WHEN bool_or(page_id % 3 = 0) THEN 'third' WHEN bool_or(page_id % 2 = 0) THEN 'second' ELSE 'first' END AS title FROM pages GROUP BY url)
+SELECT title, doc_type, count(*) AS n FROM u, (SELECT unnest(['content', 'network']) AS doc_type) GROUP BY ALL""")
 def compacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches with ids in common, two compactions of half the buckets between them, and a batch that comes again."""
     root, pages = folder(spark, "compacted"), page_exchanges(spark, sf_dir)
@@ -245,7 +247,7 @@ def form_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-SELECT url, doc_type, 1 AS n FROM pages, (SELECT unnest(['content', 'network']) AS doc_type) WHERE page_id % 2 = 0
+SELECT DISTINCT url, doc_type, 1 AS n FROM pages, (SELECT unnest(['content', 'network']) AS doc_type) WHERE page_id % 2 = 0
 UNION ALL SELECT 'bad ' || page_id, 'rejected', 1 FROM pages WHERE page_id % 2 = 1""")
 def ingested_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that arrive twice in a folder, and some that are none, through the continuous ingest."""
