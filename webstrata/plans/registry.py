@@ -110,7 +110,7 @@ def url_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("page_id", F.col("v.prefix").alias("prefix"), F.explode("v.urls").alias("variant"))
 
 
-@register(r"""SELECT page_id, replace(replace(replace(replace(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title FROM pages""")
+@register(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), ''), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS title FROM pages""")
 def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.with_title_description(dealt(spark, sf_dir, "pages").withColumn("mime", F.lit("text/html")), "html", "mime").select("page_id", "title")
 
