@@ -25,3 +25,13 @@ def test_repeated_urls(spark, repeated, name):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{repeated}/pages.parquet/*.parquet'").fetchall()
     want = con.execute(registry.SQL[name]).fetchdf()
     assert rows(registry.QUERIES[name](spark, repeated).toPandas()) == rows(want)
+
+
+def test_words_whose_signs_cancel_out_have_a_vector_of_unit_length(spark, tmp_path):
+    texts = ["w7 w100", "w100 w7 w7 w100", " ", "  \x1f", "a", "", " ", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'").fetchall()
+    want = con.execute(registry.SQL["embedded_documents"]).fetchdf()
+    assert rows(registry.QUERIES["embedded_documents"](spark, str(tmp_path)).toPandas()) == rows(want)
+    assert sorted(want["norm"]) == [0.0] * 4 + [1.0] * 3

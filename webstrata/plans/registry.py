@@ -485,7 +485,7 @@ def parsed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""
 WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, w, unnest(range(CASE WHEN len(w) <= 119 THEN 1 ELSE 1 + CAST(ceil((len(w) - 119) / 104.0) AS BIGINT) END)) AS i FROM w)
-SELECT doc_id, CAST(i AS INTEGER) AS chunk_ix, CAST(256 AS INTEGER) AS size, CASE WHEN regexp_matches(array_to_string(list_slice(w, i * 104 + 1, i * 104 + 119), ' '), '\\S') THEN 1.0 ELSE 0.0 END AS norm, '' AS embedding_error FROM c""")
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_ix, CAST(256 AS INTEGER) AS size, CASE WHEN regexp_matches(array_to_string(list_slice(w, i * 104 + 1, i * 104 + 119), ' '), '[^\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]') THEN 1.0 ELSE 0.0 END AS norm, '' AS embedding_error FROM c""")
 def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all documents with the default embedder, whole: vectors of 256 components and of unit length."""
     words, overlap = documents.chunk_sizes(256, 2048)
