@@ -195,3 +195,9 @@ def test_collapse_matches_brute_force():
         words = words + words[-rng.randrange(1, 4) :] * rng.randrange(0, 4) if words else words
         assert values.collapse_text(" ".join(words)).split() == brute(words)
     assert len(values.collapse_text("x y z " * 200_000)) == 5 and values.collapse_text(" ".join(map(str, range(300_000)))).endswith("299999")
+
+
+def test_a_url_is_parsed_once_a_row(spark):
+    rows = urls.with_url_facts(spark.createDataFrame([("http://a.example.com/x",)], "url string")).select("host", "port", "netloc", "path", "query")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" in plan and "regexp" not in plan.split("Generate inline")[0]

@@ -58,7 +58,7 @@ def url_struct(url: Column) -> Column:
 
 def with_url_facts(df: DataFrame, url: str = "url") -> DataFrame:
     """Add scheme, host, port, netloc, path, query, fragment; nulls where the URL is not valid."""
-    facts = df.withColumn("_facts", url_struct(F.col(url)))
+    facts = df.select("*", F.inline(F.array(F.struct(url_struct(F.col(url)).alias("_facts")))))  # a generator: parsed once a row
     names = ("scheme", "host", "port", "netloc", "path", "query", "fragment")
     return facts.withColumns({n: F.col("_facts").getField(n) for n in names}).drop("_facts")
 
