@@ -181,3 +181,12 @@ def test_uploads(spark):
     assert set(got) == {("http://a.example.com/1", "GET", 200), ("http://a.example.com/2", "GET", 200), ("http://c.example.com/x", "POST", 201), ("http://d.example.com/p", "GET", 204)}
     assert [tuple(h) for h in got["http://c.example.com/x", "POST", 201].request_headers] == [("Host", "c.example.com"), ("Accept", "a, b"), ("X", '"q"')]
     assert {r.item for r in bad.collect()} == {"nothing", "url,method,time,status,request,response"}
+
+
+def test_rows_of_one_csv_file_are_dealt_out(spark, tmp_path):
+    head = "A: a\nB: b\nC: c"
+    lines = "".join(f'http://h{k}.example.com/,GET,2025-01-01T00:00:00Z,200,"{head}","{head}"\n' for k in range(50))
+    (tmp_path / "one.csv").write_text(lines)
+    good, bad = captures.read_http_csv(spark, str(tmp_path / "one.csv"))
+    assert good.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert good.count() == 50 and bad.count() == 0

@@ -98,7 +98,7 @@ def csv_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("response_rtt").cast("string").alias("rtt"), "url", F.lit("POST").alias("method"), "timestamp", F.when(F.col("event_id") % 7 != 0, F.col("status_code").cast("string")).otherwise("none").alias("status"),
         F.concat(F.lit("Host: h\nAccept: a\nAccept: \"b\"\nX: y")).alias("q"), F.concat(F.lit("Server: s"), F.col("user"), F.lit("\nA: b\nC: d")).alias("r"),
     )
-    head.unionByName(cells).write.option("escape", '"').option("quoteAll", True).csv(path)
+    head.unionByName(cells).write.option("escape", '"').option("quoteAll", True).option("maxRecordsPerFile", 100_000).csv(path)
     header = lambda c, name: F.filter(c, lambda h: h["name"] == name)[0]["value"]
     good, _ = captures.read_http_csv(spark, path)
     return good.select("url", "method", "status_code", header("request_headers", "Accept").alias("accept"), header("response_headers", "Server").alias("server"), "timestamp", F.col("response_rtt").alias("rtt"))
@@ -122,7 +122,7 @@ def scan_xml_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
     address = F.struct(F.concat_ws(".", F.lit("10"), byte(65536), byte(256), byte(1)).alias("_addr"), F.lit("ipv4").alias("_addrtype"))
     name = F.struct(F.struct(F.concat(F.lit("h"), key, F.lit(".example.com")).alias("_name")).alias("hostname"))
     items = dealt(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(port).alias("ports"))  # a few items an order
-    items.select(address.alias("address"), name.alias("hostnames"), F.struct(F.col("ports").alias("port")).alias("ports")).write.format("xml").option("rootTag", "run").option("rowTag", "host").save(path)
+    items.select(address.alias("address"), name.alias("hostnames"), F.struct(F.col("ports").alias("port")).alias("ports")).write.format("xml").option("maxRecordsPerFile", 50_000).option("rootTag", "run").option("rowTag", "host").save(path)
     _, found = findings.read_scan_xml(spark, path, as_of())
     return found.select("hostname", "ip_address", "netloc", "port", "state", "service_name", "service_notes")
 

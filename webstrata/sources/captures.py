@@ -12,7 +12,7 @@ from webstrata.functions.urls import url_struct
 from webstrata.functions.values import bound, parsed_time, title_case
 from webstrata.sources.har_entries import har_entries
 from webstrata.sources.schema import EXCHANGE, HAR, HEADERS, KATANA
-from webstrata.sources.shared import lines_or_whole
+from webstrata.sources.shared import lines_or_whole, spread
 
 
 def _exchange(df: DataFrame, **columns: Column) -> DataFrame:
@@ -187,9 +187,10 @@ def read_http_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
     Roles: rtt (a column whose header cell names it), url, time, status, plain headers (the first
     such cell is the request's), base64 request, base64 response.  A row needs a url, a method,
-    both headers and a status; its time falls back to the response's Date.
+    both headers and a status; its time falls back to the response's Date.  A file is read by one task, as quoted
+    cells may hold line ends; rows of fewer files than cores are dealt out before the roles are inferred.
     """
-    raw = spark.read.csv(path, multiLine=True, escape='"', header=False)
+    raw = spread(spark.read.csv(path, multiLine=True, escape='"', header=False))
     cells = F.array(*[F.col(c) for c in raw.columns])
     return parse_csv_cells(raw.select(F.monotonically_increasing_id().cast("string").alias("row"), cells.alias("cells")))
 
