@@ -172,3 +172,11 @@ def test_queries_of_the_same_indexed_terms_are_one_search(spark, tmp_path):
     assert sorted(map(tuple, searches.collect())) == [(0, "apple"), (1, "apple pie")] and members.count() == 30
     got, want = (sorted(map(tuple, f.select("q", "doc", "score", "rank").collect())) for f in (term_index.indexed_topk(asked, index, 3, "q"), search.sparse_topk(asked, docs, 3, "q", "doc")))
     assert got == want and len(got) == 90
+
+
+def test_bodies_pass_through_python_once(spark):
+    rows = spark.createDataFrame([("a", "html", "<p>x &amp;lt; y"), ("b", "json", "{b: 1}"), ("c", "json", "&amp;"), ("d", "default", "t")], "key string, kind string, content string")
+    clean = documents.normalized_bodies(rows, "key", "kind", "content")
+    assert "EvalPython" not in clean._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.key: r.clean for r in clean.collect()}
+    assert got["b"] == '{"b":1}' and got["c"] == "&amp;" and "x &lt; y" in got["a"]

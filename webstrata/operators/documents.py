@@ -10,6 +10,7 @@ from math import floor
 from xml.parsers import expat
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -333,19 +334,23 @@ def normalized_bodies(df: DataFrame, key: str, kind: str, content: str) -> DataF
     A body whose branch fails stays as it is.  Text kinds are cleaned by column functions alone.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            clean = []
-            for k, c in zip(frame["kind"], frame["content"], strict=True):
-                try:
-                    clean.append(_BRANCHES[k](c))
-                except Exception:  # a body that can't be parsed is kept, whatever is wrong with it
-                    clean.append(c)
-            yield pd.DataFrame({"key": frame["key"], "kind": frame["kind"], "clean": clean})
+    def one(k: str, c: str) -> str:
+        try:
+            clean = _BRANCHES[k](c)
+        except Exception:  # a body that can't be parsed is kept, whatever is wrong with it
+            clean = c
+        return html.unescape(clean) if k == "html" else clean
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):  # a few bodies at a time are Python's
+                part = batch.slice(at, 64)
+                clean = [one(k.as_py(), c.as_py()) for k, c in zip(part.column(1), part.column(2), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(clean, pa.string())], names=["key", "kind", "clean"])
 
     rows = df.select(F.col(key).alias("key"), F.col(kind).alias("kind"), F.col(content).alias("content")).filter("content IS NOT NULL")
-    parsed = rows.filter(F.col("kind").isin(*_BRANCHES)).mapInPandas(run, "key string, kind string, clean string")
-    parsed = parsed.withColumn("clean", F.when(F.col("kind") == "html", scrubbed(unescape("clean"))).otherwise(F.col("clean")))
+    parsed = rows.filter(F.col("kind").isin(*_BRANCHES)).mapInArrow(run, "key string, kind string, clean string")
+    parsed = parsed.withColumn("clean", F.when(F.col("kind") == "html", scrubbed(F.col("clean"))).otherwise(F.col("clean")))
     text = rows.filter(F.col("kind") == "default").select("key", "kind", plain_text(F.col("content")).alias("clean"))
     return parsed.unionByName(text)
 
