@@ -10,6 +10,7 @@ from itertools import pairwise
 from pyspark.sql import functions as F
 
 from webstrata.operators import sinks
+from webstrata.plans import rows as registry
 from webstrata.sources import captures, findings
 from webstrata.sources.har_entries import EntrySplitter
 
@@ -190,3 +191,12 @@ def test_rows_of_one_csv_file_are_dealt_out(spark, tmp_path):
     good, bad = captures.read_http_csv(spark, str(tmp_path / "one.csv"))
     assert good.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert good.count() == 50 and bad.count() == 0
+
+
+def test_a_file_for_each_text_is_written_by_many_tasks_into_one_folder(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry, "folder", lambda _, name: str(tmp_path / name))
+    pages = registry.QUERIES["raw_files"](spark, sf).count()
+    files = [f.name for f in (tmp_path / "raw").iterdir()]
+    parts = [n for n in files if n.startswith("part-")]
+    assert len(parts) == pages == spark.read.parquet(f"{sf}/pages.parquet").count() and len({n.split("-")[1] for n in parts}) == 4
+    assert sorted(set(files) - set(parts)) == ["_SUCCESS"]  # neither folders nor checksum files

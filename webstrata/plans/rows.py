@@ -50,7 +50,7 @@ def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raw HTTP file for every page, read back."""
     path = folder(spark, "raw")
     text = F.concat(F.lit("GET /x HTTP/1.1\r\nHost: p"), "page_id", F.lit(".example.com\r\n\r\nHTTP/1.1 "), 200 + F.col("page_id") % 3, F.lit(" OK\r\nA: b\r\n\r\n"), "url")
-    table(spark, sf_dir, "pages").select("page_id", text.alias("value")).repartition("page_id").write.option("lineSep", "\n").partitionBy("page_id").text(path)
+    sinks.write_files(dealt(spark, sf_dir, "pages").select(text.alias("value")), path)
     good, _ = captures.read_http_raw(spark, path, as_of())
     return good.select("url", "status_code", F.md5(F.regexp_replace("response_body", r"\n$", "")).alias("body_md5"))
 
