@@ -7,6 +7,7 @@ import math
 import random
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from webstrata.functions import values
@@ -71,6 +72,61 @@ def test_stream_dedupe_by_hash_or_time_equals_the_batch(spark, tmp_path):
     assert sorted(map(repr, got)) == sorted(map(repr, kept))
 
 
+class _Counted:
+    """State of one key, as a list or a map, that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.items = 0, {}
+
+    def getListState(self, *_):  # noqa: N802
+        return self
+
+    getMapState = getListState  # noqa: N815
+
+    def get(self):
+        self.calls += 1
+        return iter([*self.items.values()])
+
+    def appendList(self, values):  # noqa: N802
+        self.calls += 1
+        self.items |= {len(self.items) + k: v for k, v in enumerate(values)}
+
+    def containsKey(self, key):  # noqa: N802
+        self.calls += 1
+        return key in self.items
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self.items[key] = value
+
+
+def test_stream_dedupe_calls_its_state_once_a_batch_and_not_once_a_row():
+    state, processor = _Counted(), ingest._NewTyped(None)
+    processor.init(state)
+    frame = lambda numbers: pd.DataFrame({"version": 1, "url": "u", "content_sha256": [f"h{n}" for n in numbers], "ts": [n * 3_600_000_000 for n in numbers]})
+    assert sum(len(f) for f in processor.handleInputRows(("u",), iter([frame(range(5000)), frame(range(4000, 9000))]), None)) == 10_000
+    assert sum(len(f) for f in processor.handleInputRows(("u",), iter([frame(range(8000, 10_000))]), None)) == 1000
+    assert state.calls == 4
+
+
+def test_stream_dedupe_keeps_times_to_the_microsecond_in_any_zone(spark, tmp_path):
+    """In the hour that a zone's clocks go through twice, two instants with one reading are still two."""
+    names = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.session.timeZone")
+    before = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "America/New_York"), strict=True):
+        spark.conf.set(n, v)
+    instants = [1_762_061_400_000_001, 1_762_061_400_000_001 + 3_600_000_000]  # 01:30 of 2 November 2025, twice
+    try:
+        for k, t in enumerate(instants):
+            spark.range(1).select(F.lit(1).alias("version"), F.lit("u").alias("url"), F.lit(f"h{k}").alias("content_sha256"), F.timestamp_micros(F.lit(t)).alias("ts")).write.mode("append").parquet(str(tmp_path / "in"))
+            found = ingest.new_typed_stream(spark.readStream.schema(ingest.TYPED).parquet(str(tmp_path / "in")))
+            found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).select(F.unix_micros("ts")).collect()) == instants
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+
+
 def test_port_ranges_hold_what_the_ports_do(spark):
     rng = random.Random(3)
     spec = lambda: ",".join(rng.choice([str(rng.randrange(12)), f"{rng.randrange(12)}-{rng.randrange(14)}", " ", "x", "3 - 5"]) for _ in range(rng.randint(0, 4)))

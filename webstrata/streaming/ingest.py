@@ -68,48 +68,54 @@ def first_seen(docs: DataFrame, horizon: str = "1 day") -> DataFrame:
 TYPED = "version int, url string, content_sha256 string, ts timestamp"
 
 
+NO_TIME = -(2**63)  # stands for a null time among microseconds; no timestamp reaches it
+
+
 class _NewTyped(StatefulProcessor):
-    """For one version and URL: the hashes and the times that were seen, each kept for ``ttl_ms``."""
+    """For one version and URL: the hashes and the times (microseconds) that were seen, a block or more for each batch that had new ones."""
 
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_ms: int | None, block: int = 4096):
+        self.ttl_ms, self.block = ttl_ms, block
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.hashes = handle.getMapState("hashes", "hash string", "seen boolean", self.ttl_ms)
-        self.times = handle.getMapState("times", "time timestamp", "seen boolean", self.ttl_ms)
+        self.seen = handle.getListState("seen", "hashes array<string>, times array<bigint>", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """Rows of a batch are told apart from what earlier batches held; among themselves they all count as new."""
-        new, seen = [], []
+        hashes, times, kept = set(), set(), []
+        for h, t in self.seen.get():
+            hashes.update(h)
+            times.update(t)
+        more_hashes, more_times = set(), set()
         for frame in rows:
-            known = [bool(h) and self.hashes.containsKey((h,)) or (t is not None and self.times.containsKey((t,))) for h, t in zip(frame["content_sha256"], _times(frame["ts"]), strict=True)]
-            new.append(frame[[not k for k in known]])
-            seen.extend(zip(new[-1]["content_sha256"], _times(new[-1]["ts"]), strict=True))
-        for h, t in seen:
-            if h:
-                self.hashes.updateValue((h,), (True,))
-            if t is not None:
-                self.times.updateValue((t,), (True,))
-        yield from (f for f in new if len(f))
+            new = [h not in hashes and t not in times for h, t in zip(frame["content_sha256"], frame["ts"], strict=True)]
+            if any(new):
+                kept.append(frame[new])
+                more_hashes.update(h for h in kept[-1]["content_sha256"] if isinstance(h, str) and h)
+                more_times.update(kept[-1]["ts"].tolist())
+        h, t, n = list(more_hashes), list(more_times - {NO_TIME}), self.block
+        blocks = [(h[k : k + n], t[k : k + n]) for k in range(0, max(len(h), len(t)), n)]
+        if blocks:
+            self.seen.appendList(blocks)
+        yield from kept
 
     def close(self) -> None:
         pass
 
 
-def _times(column: pd.Series) -> list:
-    return [None if pd.isna(t) else t.to_pydatetime() for t in column]
-
-
 def new_typed_stream(docs: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Stream form of ``documents.new_typed``: rows with neither the hash nor the time of an earlier row of the same version and URL.
 
-    State is two maps for each (version, url), spread by key over the shuffle partitions in RocksDB (the
-    session's state store provider must be it); entries go ``ttl_ms`` after they were written, and beyond that the
-    join against the corpus decides.  Rows of one micro-batch are not compared with each other.  Columns are
-    those of ``TYPED``; a null or empty hash and a null time match nothing.
+    State is a list of blocks for each (version, url), spread by key over the shuffle partitions in RocksDB (the
+    session's state store provider must be it); a batch reads it once for each key that it has, and writes it once, not
+    once a row.  Entries go ``ttl_ms`` after they were written, and beyond that the join against the corpus decides.
+    Rows of one micro-batch are not compared with each other.  Columns are those of ``TYPED``; a null or empty hash
+    and a null time match nothing.
     """
-    rows = docs.select(*(c.split()[0] for c in TYPED.split(", ")))
-    return rows.groupBy("version", "url").transformWithStateInPandas(_NewTyped(ttl_ms), TYPED, "Append", "ProcessingTime" if ttl_ms else "None")
+    micros = F.coalesce(F.unix_micros("ts"), F.lit(NO_TIME))
+    rows = docs.select("version", "url", "content_sha256", micros.alias("ts"))
+    found = rows.groupBy("version", "url").transformWithStateInPandas(_NewTyped(ttl_ms), TYPED.replace("timestamp", "bigint"), "Append", "ProcessingTime" if ttl_ms else "None")
+    return found.withColumn("ts", F.when(F.col("ts") != NO_TIME, F.timestamp_micros("ts")))
 
 
 def day_counts(events: DataFrame, key: str, ts: str = "ts", late: str = "7 days") -> DataFrame:
