@@ -171,7 +171,7 @@ def write_files(texts: DataFrame, path: str) -> None:
     """A file for each text (value), all in one folder.
 
     Tasks put their own files in place (committer version 2), so none waits for the driver.  A local folder gets
-    no checksum files: with them each text costs four processes that set permissions, without them one.
+    no checksum files: with them each text costs two processes that set permissions, without them one.
     """
     texts.select("value").write.options(
         maxRecordsPerFile=1, **{"mapreduce.fileoutputcommitter.algorithm.version": 2, "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": True}
